@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, language_id, quality, token_files, toxicity, url_filter
+from tidemark.llm import bpe, jaccard_join, language_id, quality, token_files, toxicity, url_filter
 from tidemark.llm._io import shared_dir, table
 
 
@@ -41,9 +41,13 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": url_filter.oracle()}
+    return {"op8_url_filter": url_filter.oracle(), "op9_jaccard_join": jaccard_join.ORACLE}
