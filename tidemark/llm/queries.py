@@ -8,10 +8,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontaminate, jaccard_join, language_id, quality, token_files, toxicity, url_filter
+from tidemark.llm import bpe, decontaminate, jaccard_join, language_id, quality, suffix_dedup, token_files, toxicity, url_filter
 from tidemark.llm._io import shared_dir, table
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.spans(table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/tidemark-tokens-{uuid.uuid4().hex}"
     token_files.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
