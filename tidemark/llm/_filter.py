@@ -46,12 +46,19 @@ def passes(filter_words: np.ndarray, ids: pa.Array) -> np.ndarray:
     return (hit == 1) & ids.is_valid().to_numpy(zero_copy_only=False)
 
 
-def thinned(rows: DataFrame, column: str, shared: Broadcast) -> DataFrame:
-    """The rows whose id may be in the filter. The id comes first among the columns kept."""
+def thinned(rows: DataFrame, column: str, shared: Broadcast, inside: bool = True) -> DataFrame:
+    """The rows whose id may be in the filter, or else those whose id isn't."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(column)
-            yield batch.filter(pa.array(passes(shared.value, batch.column(at).cast(pa.int64()))))
+            yield batch.filter(pa.array(passes(shared.value, batch.column(at).cast(pa.int64())) == inside))
 
     return rows.mapInArrow(run, rows.schema)
+
+
+def without(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows whose id is not among ids (null ids stay). Only rows that the filter can't clear are shuffled."""
+    shared = bloom(ids, column)
+    doubtful = thinned(rows, column, shared).join(ids.select(column).hint("merge"), column, "left_anti").select(rows.columns)
+    return thinned(rows, column, shared, inside=False).unionByName(doubtful)

@@ -40,11 +40,20 @@ class Chunk:
         return np.diff(np.searchsorted(at, np.append(self.start, len(self.buf))))
 
 
-def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+ROWS = 512  # of a column that are Python strings at a time
 
 
-def chunks(texts: list[bytes], limit: int = CHUNK) -> Iterator[Chunk]:
+def as_bytes(column: pa.Array) -> pa.Array:
+    return column.cast(pa.binary())
+
+
+def chunks(texts: list[bytes] | pa.Array, limit: int = CHUNK) -> Iterator[Chunk]:
+    if not isinstance(texts, list):
+        for at in range(0, len(texts), ROWS):
+            for chunk in chunks([x or b"" for x in texts.slice(at, ROWS).to_pylist()], limit):
+                chunk.lo, chunk.hi = chunk.lo + at, chunk.hi + at
+                yield chunk
+        return
     lo, size = 0, 0
     for i in range(len(texts) + 1):
         if i == len(texts) or (i > lo and size + len(texts[i]) > limit):

@@ -38,7 +38,7 @@ MAX_COUNTERS = 1 << 24
 HOT = 200  # estimated texts from which a list is joined inside each task first
 PARTS = 4096
 SEGMENT = 1 << 16  # counters in one row of the sketch
-BLOCK_SETS, BLOCK_TOKENS = 1500, 2_000_000  # of a candidate component that meet in one task
+BLOCK_SETS, BLOCK_TOKENS = 1000, 500_000  # of a candidate component that meet in one task
 LIST_BLOCK = 128
 ENTRY = np.dtype([("t", "<u8"), ("v", "<i8"), ("n", "<u4"), ("p", "<u4")])
 
@@ -202,7 +202,7 @@ def candidates(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 if len(hot) > 200_000:
                     held.append(np.array(list(hot.values()), ENTRY))
                     hot = {}
-                if size > 2_000_000:
+                if size > 200_000:
                     yield rows(np.concatenate(held))
                     held, size = [], 0
         held.append(np.array(list(hot.values()), ENTRY))

@@ -194,3 +194,16 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], top: int = TOP) ->
 
     held_out = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out, "text").mapInArrow(run, SCHEMA)
+
+
+def accepted(docs: DataFrame, profiles: dict[str, np.ndarray], least_score: float, top: int = TOP) -> DataFrame:
+    """The rows of docs, with all their columns, whose text has a language with at least that score."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Profiles(profiles, top)
+        for batch in batches:
+            lang, score = model.predict(batch.column(at).to_pylist())
+            yield batch.filter(pa.array([x != "und" and s >= least_score for x, s in zip(lang, score.tolist(), strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

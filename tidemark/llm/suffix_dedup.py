@@ -236,7 +236,7 @@ def _fresh(digest: np.ndarray, seen: set[int], limit: int = 2_000_000) -> np.nda
 
 
 def _texts(docs: DataFrame, wanted, once: bool) -> DataFrame:
-    """Rows whose digest is in the filter: doc_id, digest, text; each text once a task if once."""
+    """Rows of docs(head, text) whose digest is in the filter: head, digest, text; each text once a task if once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -248,9 +248,9 @@ def _texts(docs: DataFrame, wanted, once: bool) -> DataFrame:
                     keep &= _fresh(digest, seen)
                 if keep.any():
                     rows = batch.slice(chunk.lo, chunk.hi - chunk.lo).filter(pa.array(keep))
-                    yield pa.record_batch([rows.column(0), pa.array(digest[keep]), rows.column(1)], names=["doc_id", "digest", "text"])
+                    yield pa.record_batch([rows.column(0), pa.array(digest[keep]), rows.column(1)], names=["head", "digest", "text"])
 
-    return docs.mapInArrow(run, "doc_id long, digest long, text string")
+    return docs.mapInArrow(run, f"head {docs.schema['head'].dataType.simpleString()}, digest long, text string")
 
 
 def _ranked_starts(docs: DataFrame, decided: DataFrame, parts: int) -> DataFrame:
@@ -328,14 +328,27 @@ def cover(raw: bytes, whole: bool, blobs: list[bytes | None]) -> list[tuple[int,
     return list(zip(start[at].tolist(), end[np.append(at[1:], len(v)) - 1].tolist(), strict=True))
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def spans(docs: DataFrame, kept_text: bool = False) -> DataFrame:
-    """The result row of every row of docs(doc_id, text); with kept_text also what is left, as `kept` bytes."""
+def spans(docs: DataFrame) -> DataFrame:
+    """doc_id and the result of every row of docs(doc_id, text)."""
+    out = _cut(docs.select(F.col("doc_id").cast("long").alias("head"), "text"), kept_text=False)
+    return out.withColumnRenamed("head", "doc_id")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """docs, all columns, with what is left of each text; n_chars follows it; texts of which no word is left go."""
+    rest = [c for c in docs.columns if c != "text"]
+    out = _cut(docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("head"), "text"), kept_text=True).where("kept is not null")
+    changed = {"text": F.col("kept"), **({"n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("head.n_chars"))} if "n_chars" in rest else {})}
+    return out.select(*(changed.get(c, F.col(f"head.`{c}`")).alias(c) for c in docs.columns))
+
+
+def _cut(docs: DataFrame, kept_text: bool) -> DataFrame:
+    """head and result of every row of docs(head, text); with kept_text also what is left, null if it has no word."""
     spark = docs.sparkSession
     parts = min(PARTS, 16 * shuffle_partitions(spark))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     first = saved(_by_text(_ranked_runs(docs, parts)), "runs")
     second = saved(_ranked_starts(docs, first, parts), "starts")
 
@@ -350,15 +363,15 @@ def spans(docs: DataFrame, kept_text: bool = False) -> DataFrame:
     decided = saved(decided.select("digest", F.when(F.col("whole"), None).otherwise(F.col("a")).alias("a"), F.when(F.col("whole"), None).otherwise(F.col("b")).alias("b"), F.coalesce("whole", F.lit(False)).alias("whole")), "decided")
     wanted = bloom(decided, "digest")
 
-    def row(names: list, texts: list[bytes], cuts: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+    def row(head: pa.Array, texts: list[bytes], cuts: list[list[tuple[int, int]]]) -> pa.RecordBatch:
         kept = []
         for raw, cut in zip(texts, cuts, strict=True):
             edges = [0, *(x for pair in cut for x in pair), len(raw)]
             kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if cut else raw)
-        columns = [pa.array(names, pa.int64()), pa.array([len(x) for x in texts], pa.int64()), pa.array([len(x) - len(y) for x, y in zip(texts, kept, strict=True)], pa.int64()), pa.array([len(c) for c in cuts], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())]
-        names_of = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+        columns = [head, pa.array([len(x) for x in texts], pa.int64()), pa.array([len(x) - len(y) for x, y in zip(texts, kept, strict=True)], pa.int64()), pa.array([len(c) for c in cuts], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())]
+        names_of = ["head", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
         if kept_text:
-            columns.append(pa.array(kept, pa.binary()))
+            columns.append(pa.array([x.decode("utf-8", "ignore") if x.split() else None for x in kept], pa.string()))
             names_of.append("kept")
         return pa.record_batch(columns, names=names_of)
 
@@ -366,19 +379,18 @@ def spans(docs: DataFrame, kept_text: bool = False) -> DataFrame:
         for batch in batches:
             for chunk in chunks(as_bytes(batch.column(1))):
                 maybe = passes(wanted.value, pa.array(digests(chunk, prefix(chunk.buf)))) & (chunk.end - chunk.start >= LENGTH)
-                names = batch.column(0).slice(chunk.lo, chunk.hi - chunk.lo).to_pylist()
-                own = [i for i in range(len(names)) if not maybe[i]]
-                yield row([names[i] for i in own], [chunk.texts[i] for i in own], [[] for _ in own])
+                own = np.flatnonzero(~maybe).tolist()
+                yield row(batch.column(0).take(pa.array([chunk.lo + i for i in own], pa.int64())), [chunk.texts[i] for i in own], [[] for _ in own])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                names, texts, a, b, whole = (part.column(i).to_pylist() for i in range(5))
+                texts, a, b, whole = (part.column(i).to_pylist() for i in range(1, 5))
                 raws = [x.encode() for x in texts]
-                yield row(names, raws, [cover(*x) for x in zip(raws, whole, zip(a, b, strict=True), strict=True)])
+                yield row(part.column(0), raws, [cover(*x) for x in zip(raws, whole, zip(a, b, strict=True), strict=True)])
 
-    schema = RESULT + (", kept binary" if kept_text else "")
+    schema = f"head {docs.schema['head'].dataType.simpleString()}, {RESULT}" + (", kept string" if kept_text else "")
     touched = _texts(docs, wanted, once=False).join(decided.hint("merge"), "digest", "left")
-    touched = touched.select("doc_id", "text", "a", "b", F.coalesce("whole", F.lit(False)).alias("whole")).mapInArrow(cut, schema)
+    touched = touched.select("head", "text", "a", "b", F.coalesce("whole", F.lit(False)).alias("whole")).mapInArrow(cut, schema)
     return docs.mapInArrow(untouched, schema).unionByName(touched)

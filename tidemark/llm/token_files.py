@@ -18,6 +18,8 @@ no file rows; only the named columns are read, so other columns can't clash.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -34,8 +36,10 @@ from tidemark.llm.bpe import Remembering
 
 FILE_SCHEMA = "part int, block int, before long, documents long, ids long, payload binary"
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
-MARK = "<|startoftext|>"
-GROUP = 1000  # pieces in one call of the library
+WORD_END = "</w>"
+#: A word of letters that keep their number in lower case, with or without a run of marks: one or two word ends.
+PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+([.,!?;:%*#&$|]+)?")
+GROUP = 200  # words in one text for the library
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 
 
@@ -92,27 +96,46 @@ _encoders: dict[str, Remembering] = {}
 
 
 def _encoder(path: str) -> Remembering:
-    """Pieces go to the tokenizers library many in a text, parted by a special token whose id then parts the ids."""
+    """Plain words go to the tokenizers library many in a text, and their ids are parted at the tokens that end a word;
+    a group with another number of word ends than its words have, and all other pieces, go one by one."""
     if path not in _encoders:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        mark = tokenizer.token_to_id(MARK)
+        vocab = tokenizer.get_vocab(with_added_tokens=True)
+        ends = np.zeros(max(vocab.values()) + 1, bool)
+        ends[[i for token, i in vocab.items() if token.endswith(WORD_END)]] = True
+
+        def singly(texts: list[str]) -> list[np.ndarray]:
+            return [np.array(x.ids, np.int64) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
         def encode(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             texts = [p.decode("utf-8", "replace") for p in pieces]
-            if mark is None or any(MARK in t for t in texts):
-                out = [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-                return np.array([i for x in out for i in x], np.int64), np.array([len(x) for x in out], np.int64)
-            joined = [MARK.join(texts[i : i + GROUP]) + MARK for i in range(0, len(texts), GROUP)]
-            ids = np.concatenate([np.array(x.ids, np.int64) for x in tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
-            marks = np.flatnonzero(ids == mark)
-            return ids[ids != mark], np.diff(np.concatenate(([-1], marks))) - 1
+            out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
+            plain, parts, other = [], [], []
+            for i, text in enumerate(texts):
+                if m := PLAIN.fullmatch(text):
+                    plain.append(i)
+                    parts.append(2 if m[1] else 1)
+                else:
+                    other.append(i)
+            groups = [plain[k : k + GROUP] for k in range(0, len(plain), GROUP)]
+            for k, (group, encoding) in enumerate(zip(groups, tokenizer.encode_batch_fast([" ".join(texts[i] for i in g) for g in groups], add_special_tokens=False), strict=True)):
+                ids = np.array(encoding.ids, np.int64)
+                end = np.flatnonzero(ends[ids]) + 1
+                last = np.cumsum(parts[k * GROUP : (k + 1) * GROUP]) - 1
+                if len(end) != last[-1] + 1 or end[-1] != len(ids):
+                    other += group
+                    continue
+                cut = end[last].tolist()
+                for i, x, y in zip(group, [0, *cut], cut):
+                    out[i] = ids[x:y]
+            for i, ids in zip(other, singly([texts[i] for i in other]), strict=True):
+                out[i] = ids
+            return np.concatenate(out) if out else np.zeros(0, np.int64), np.array([len(x) for x in out], np.int64)
 
         _encoders[path] = Remembering(encode, trim=True)
     return _encoders[path]
