@@ -34,7 +34,7 @@ from tidemark.llm._io import saved, shuffle_partitions
 from tidemark.llm._kernels import LOWER, U64, as_bytes, chunks, grams, mix, prefix, span, words
 
 N = 5
-MAX_COUNTERS = 1 << 24
+MAX_COUNTERS = 1 << 26
 HOT = 200  # estimated texts from which a list is joined inside each task first
 PARTS = 4096
 SEGMENT = 1 << 16  # counters in one row of the sketch
@@ -105,12 +105,12 @@ def sketch(docs: DataFrame) -> np.ndarray:
                 part = np.frombuffer(zlib.decompress(raw), np.uint8)
                 total[i] = np.minimum(total.get(i, 0) + part.astype(np.uint16), 255).astype(np.uint16)
         for i, part in total.items():
-            yield pa.record_batch([pa.array([i], pa.int32()), pa.array([part.astype(np.uint8).tobytes()], pa.binary())], names=["segment", "counts"])
+            yield pa.record_batch([pa.array([i], pa.int32()), pa.array([zlib.compress(part.astype(np.uint8).tobytes(), 1)], pa.binary())], names=["segment", "counts"])
 
     schema = "segment int, counts binary"
     out = np.zeros(counters, np.uint8)
     for r in docs.select("text").mapInArrow(count, schema).repartition(min(shuffle_partitions(docs.sparkSession), counters // SEGMENT), "segment").mapInArrow(add, schema).collect():  # MAX_COUNTERS bytes
-        out[r["segment"] * SEGMENT :][:SEGMENT] = np.frombuffer(r["counts"], np.uint8)
+        out[r["segment"] * SEGMENT :][:SEGMENT] = np.frombuffer(zlib.decompress(r["counts"]), np.uint8)
     return out
 
 
