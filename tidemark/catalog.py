@@ -1,4 +1,6 @@
 """All registered queries of the reference's operators, with their SQL equivalents."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tidemark.plans import market, posts, portfolio, relational, texts
+from tidemark.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "market", "portfolio", "posts", "relational", "texts"]
