@@ -9,10 +9,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidemark.llm import bpe, decontaminate, jaccard_join, language_id, quality, suffix_dedup, token_files, toxicity, url_filter
+from tidemark.llm import bpe, chat_format, decontaminate, jaccard_join, language_id, quality, suffix_dedup, token_files, toxicity, url_filter
 from tidemark.llm._io import shared_dir, table
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return chat_format.parse(conversations, chat_format.fit(conversations))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.spans(table(spark, sf_dir, "documents"))
 
