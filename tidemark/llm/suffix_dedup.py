@@ -40,7 +40,7 @@ K = 32  # bytes that a place's hash covers
 WINDOW = (LENGTH - K) // 2  # the two parts of a string in which its least places lie
 NEAR = 16  # how far an outer string's ends may lie from the run's
 PIECE = 96  # longer runs are cut
-PARTS = 4096
+PARTS = 1024  # into which a task deals its rows, at least
 HELD = 150_000  # entries that a task sorts before it sends them on
 OFTEN = 32  # runs of one inner rank in a task from which it is dealt by the outer rank too
 #: c: inner rank, o: outer rank, d: digest of the text, s and n: first start and number of starts, f: flags.
@@ -348,7 +348,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 def _cut(docs: DataFrame, kept_text: bool) -> DataFrame:
     """head and result of every row of docs(head, text); with kept_text also what is left, null if it has no word."""
     spark = docs.sparkSession
-    parts = min(PARTS, 16 * shuffle_partitions(spark))
+    parts = max(PARTS, 2 * shuffle_partitions(spark))
     first = saved(_by_text(_ranked_runs(docs, parts)), "runs")
     second = saved(_ranked_starts(docs, first, parts), "starts")
 
