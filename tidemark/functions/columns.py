@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-#: One partitioning and order for all trailing features, so that Spark plans one exchange and one sort.
-BY_SYMBOL = Window.partitionBy("symbol").orderBy("session")
+def by_symbol():
+    """One partitioning and order for all trailing features, so that Spark plans one exchange and one sort."""
+    return Window.partitionBy("symbol").orderBy("session")
 
 
 def col(x: str | Column) -> Column:
@@ -14,11 +15,11 @@ def col(x: str | Column) -> Column:
 
 
 def last_n(n: int):
-    return BY_SYMBOL.rowsBetween(-(n - 1), 0)
+    return by_symbol().rowsBetween(-(n - 1), 0)
 
 
 def prior_n(n: int):
-    return BY_SYMBOL.rowsBetween(-n, -1)
+    return by_symbol().rowsBetween(-n, -1)
 
 
 def full(aggregate, x: str | Column, n: int, prior: bool = False) -> Column:
@@ -28,7 +29,7 @@ def full(aggregate, x: str | Column, n: int, prior: bool = False) -> Column:
 
 
 def lag(x: str | Column, n: int = 1) -> Column:
-    return F.lag(col(x), n).over(BY_SYMBOL)
+    return F.lag(col(x), n).over(by_symbol())
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -75,4 +76,4 @@ def rolling_percentile(x: str | Column, n: int) -> Column:
 
 def streak_group(flag: Column) -> Column:
     """A number that is constant along each run of true flags."""
-    return F.sum((~flag).cast("int")).over(BY_SYMBOL.rowsBetween(Window.unboundedPreceding, 0))
+    return F.sum((~flag).cast("int")).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import BY_SYMBOL, lag, percentile_in, ratio
+from tidemark.functions.columns import by_symbol, lag, percentile_in, ratio
 from tidemark.operators.indicators import sma
 from tidemark.operators.kernels import cluster
 
@@ -24,9 +24,9 @@ def relative_strength(bars: DataFrame) -> DataFrame:
 
 def beta(bars: DataFrame, n: int = 60) -> DataFrame:
     """Covariance over variance of pair-complete returns; null before n rows, below two pairs, or without variance."""
-    w = BY_SYMBOL.rowsBetween(-(n - 1), 0)
+    w = by_symbol().rowsBetween(-(n - 1), 0)
     paired = F.when(F.col("ret").isNotNull(), F.col("bret"))
-    r = returns(bars).withColumn("rn", F.row_number().over(BY_SYMBOL)).withColumn("var", F.var_samp(paired).over(w)).withColumn("pairs", F.count(paired).over(w))
+    r = returns(bars).withColumn("rn", F.row_number().over(by_symbol())).withColumn("var", F.var_samp(paired).over(w)).withColumn("pairs", F.count(paired).over(w))
     ok = (F.col("rn") >= n) & (F.col("pairs") >= 2) & (F.col("var") > 0)
     return r.withColumn("beta", F.when(ok, F.covar_samp("ret", "bret").over(w) / F.col("var")))
 

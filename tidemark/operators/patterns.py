@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import BY_SYMBOL, full, lag, ratio
-from tidemark.operators.indicators import C, H, L, O, V, relative_volume, roc, sma
+from tidemark.functions.columns import by_symbol, full, lag, ratio
+from tidemark.operators.indicators import relative_volume, roc, sma
 
 #: Retracement ratios, and round-number steps by price.
 RATIOS = {"fib_23_6": 0.236, "fib_38_2": 0.382, "fib_50_0": 0.5, "fib_61_8": 0.618, "fib_78_6": 0.786}
@@ -15,19 +15,19 @@ RATIOS = {"fib_23_6": 0.236, "fib_38_2": 0.382, "fib_50_0": 0.5, "fib_61_8": 0.6
 def swings(bars: DataFrame, side: int = 3) -> DataFrame:
     """swing_high and swing_low: a strict extreme against `side` rows to either side, flagged `side` rows later;
     recent_high and recent_low carry the price of the confirming row."""
-    before, after = BY_SYMBOL.rowsBetween(-2 * side, -side - 1), BY_SYMBOL.rowsBetween(-side + 1, 0)
-    whole = F.count("high").over(BY_SYMBOL.rowsBetween(-2 * side, 0)) >= 2 * side + 1
+    before, after = by_symbol().rowsBetween(-2 * side, -side - 1), by_symbol().rowsBetween(-side + 1, 0)
+    whole = F.count("high").over(by_symbol().rowsBetween(-2 * side, 0)) >= 2 * side + 1
     high = whole & (lag("high", side) > F.max("high").over(before)) & (lag("high", side) > F.max("high").over(after))
     low = whole & (lag("low", side) < F.min("low").over(before)) & (lag("low", side) < F.min("low").over(after))
     s = bars.withColumn("swing_high", F.coalesce(high, F.lit(False))).withColumn("swing_low", F.coalesce(low, F.lit(False)))
-    w = BY_SYMBOL.rowsBetween(Window.unboundedPreceding, 0)
-    return s.withColumn("recent_high", F.last(F.when(F.col("swing_high"), H), True).over(w)).withColumn("recent_low", F.last(F.when(F.col("swing_low"), L), True).over(w))
+    w = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
+    return s.withColumn("recent_high", F.last(F.when(F.col("swing_high"), F.col("high")), True).over(w)).withColumn("recent_low", F.last(F.when(F.col("swing_low"), F.col("low")), True).over(w))
 
 
 def structure_score(bars: DataFrame, lookback: int = 60, pivots: int = 3) -> DataFrame:
     """Mean of the signs of change over the last confirmed swing highs and lows."""
     s = swings(bars)
-    w = BY_SYMBOL.rowsBetween(-(lookback - 1), 0)
+    w = by_symbol().rowsBetween(-(lookback - 1), 0)
     for side in ("high", "low"):
         s = s.withColumn(f"{side}s", F.collect_list(F.when(F.col(f"swing_{side}"), F.col(side))).over(w))
         s = s.withColumn(f"{side}s", F.slice(f"{side}s", F.greatest(F.lit(1), F.size(f"{side}s") - pivots + 1), pivots))
@@ -43,11 +43,11 @@ def structure_score(bars: DataFrame, lookback: int = 60, pivots: int = 3) -> Dat
 def breakout(bars: DataFrame, n: int = 20, volume_factor: float = 1.5) -> DataFrame:
     level, usual = full(F.max, "high", n, prior=True), full(F.avg, "volume", n, prior=True)
     b = bars.withColumn("level", level).withColumn("usual_volume", usual)
-    return b.withColumn("breakout", F.coalesce((C > F.col("level")) & (V > volume_factor * F.col("usual_volume")), F.lit(False)))
+    return b.withColumn("breakout", F.coalesce((F.col("close") > F.col("level")) & (F.col("volume") > volume_factor * F.col("usual_volume")), F.lit(False)))
 
 
 def numbered(bars: DataFrame) -> DataFrame:
-    return bars.withColumn("rn", F.row_number().over(BY_SYMBOL))
+    return bars.withColumn("rn", F.row_number().over(by_symbol()))
 
 
 def first_within(events: DataFrame, rows: DataFrame, ahead: tuple[int, int], holds: Column, name: str) -> DataFrame:
@@ -71,7 +71,7 @@ def failed_breakout(bars: DataFrame, ahead: int = 5) -> DataFrame:
 
 def gap_fill(bars: DataFrame, ahead: int = 10) -> DataFrame:
     """gap_pct, and gap_filled on the first row, 0 to `ahead` later, whose range covers the close before the gap."""
-    b = numbered(bars).withColumn("prev_close", lag("close")).withColumn("gap_pct", ratio(O - F.col("prev_close"), F.col("prev_close")) * 100)
+    b = numbered(bars).withColumn("prev_close", lag("close")).withColumn("gap_pct", ratio(F.col("open") - F.col("prev_close"), F.col("prev_close")) * 100)
     events = b.where("gap_pct <> 0").select("symbol", "rn", F.col("prev_close").alias("level"))
     return first_within(events, b, (0, ahead), (F.col("r_low") <= F.col("level")) & (F.col("level") <= F.col("r_high")), "gap_filled")
 
@@ -101,10 +101,10 @@ def round_number(x: Column) -> Column:
 def confluence(bars: DataFrame, tolerance: float = 1.0) -> DataFrame:
     """How many of four methods have a level within `tolerance` percent of the close."""
     s = swings(bars).select("*", *(v.alias(k) for k, v in pivot_points().items()), sma("close", 20).alias("ma20"), sma("close", 50).alias("ma50"))
-    s = s.select("*", *(v.alias(k) for k, v in fibonacci().items()), round_number(C).alias("round_level"))
+    s = s.select("*", *(v.alias(k) for k, v in fibonacci().items()), round_number(F.col("close")).alias("round_level"))
 
     def near(names: list[str]) -> Column:
-        return F.exists(F.array(*names), lambda v: F.coalesce(F.abs(C - v) / F.abs(C) * 100 <= tolerance, F.lit(False))).cast("int")
+        return F.exists(F.array(*names), lambda v: F.coalesce(F.abs(F.col("close") - v) / F.abs(F.col("close")) * 100 <= tolerance, F.lit(False))).cast("int")
 
     methods = [["recent_high", "recent_low"], ["pivot", "r1", "s1", "r2", "s2"], list(RATIOS), ["round_level"], ["ma20", "ma50"]]
     return s.withColumn("confluence", sum((near(m) for m in methods), F.lit(0)))
@@ -122,14 +122,14 @@ def consolidation(bars: DataFrame, n: int = 10, width: float = 5.0) -> DataFrame
 
 def reclaim(bars: DataFrame, n: int = 10) -> DataFrame:
     """Above the 20-row mean today after a close below it in the prior n rows."""
-    b = bars.withColumn("ma", sma("close", 20)).withColumn("below", (C < F.col("ma")).cast("int"))
-    return b.withColumn("reclaim", F.coalesce((C > F.col("ma")) & (F.max("below").over(BY_SYMBOL.rowsBetween(-n, -1)) == 1), F.lit(False)))
+    b = bars.withColumn("ma", sma("close", 20)).withColumn("below", (F.col("close") < F.col("ma")).cast("int"))
+    return b.withColumn("reclaim", F.coalesce((F.col("close") > F.col("ma")) & (F.max("below").over(by_symbol().rowsBetween(-n, -1)) == 1), F.lit(False)))
 
 
 def pullback(bars: DataFrame, trend: int = 50, near: float = 3.0) -> DataFrame:
     b = bars.withColumn("ma", sma("close", 20)).withColumn("trend", sma("close", trend))
-    rising = F.col("trend") > F.lag("trend", 10).over(BY_SYMBOL)
-    close_by = F.abs(C - F.col("ma")) / F.col("ma") * 100 <= near
-    b = b.withColumn("quiet", F.when(C < lag("close"), V))
-    b = b.withColumn("down_volume", F.avg("quiet").over(BY_SYMBOL.rowsBetween(-4, 0))).withColumn("down_before", F.avg("quiet").over(BY_SYMBOL.rowsBetween(-9, -5)))
-    return b.withColumn("pullback", F.coalesce((C > F.col("trend")) & rising & close_by & (F.col("down_volume") <= F.col("down_before")), F.lit(False)))
+    rising = F.col("trend") > F.lag("trend", 10).over(by_symbol())
+    close_by = F.abs(F.col("close") - F.col("ma")) / F.col("ma") * 100 <= near
+    b = b.withColumn("quiet", F.when(F.col("close") < lag("close"), F.col("volume")))
+    b = b.withColumn("down_volume", F.avg("quiet").over(by_symbol().rowsBetween(-4, 0))).withColumn("down_before", F.avg("quiet").over(by_symbol().rowsBetween(-9, -5)))
+    return b.withColumn("pullback", F.coalesce((F.col("close") > F.col("trend")) & rising & close_by & (F.col("down_volume") <= F.col("down_before")), F.lit(False)))

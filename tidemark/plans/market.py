@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import BY_SYMBOL, lag, ratio, rolling_percentile, rounded
+from tidemark.functions.columns import full, ratio, rolling_percentile, rounded
 from tidemark.operators import cross, indicators as ind, patterns as pat
 from tidemark.registry import query
 from tidemark.sources.adapters import BARS, bars
@@ -125,8 +125,6 @@ def days_since_high(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("levels_52w", _sql({"high52": _full("max", "high", "w252", 252), "low52": _full("min", "low", "w252", 252), "from_high_pct": f"(close - ({_full('max', 'high', 'w252', 252)})) / ({_full('max', 'high', 'w252', 252)}) * 100", "dollar_volume20": _full("avg", "close * volume", "w20", 20)}))
 def levels_52w(spark: SparkSession, sf: str) -> DataFrame:
-    from tidemark.functions.columns import full
-
     b = bars(spark, sf).withColumn("high52", full(F.max, "high", 252)).withColumn("low52", full(F.min, "low", 252)).withColumn("dollar_volume20", full(F.avg, F.col("close") * F.col("volume"), 20))
     return _out(b.withColumn("from_high_pct", ratio(F.col("close") - F.col("high52"), F.col("high52")) * 100), "high52", "low52", "from_high_pct", "dollar_volume20")
 
@@ -319,5 +317,3 @@ def breakout_scan(spark: SparkSession, sf: str) -> DataFrame:
     scored = b.select("symbol", F.col("session").cast("string").alias("session"), rounded(100 * (F.col("close") / F.col("level") - 1) + F.col("volume") / F.col("usual_volume")).alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("session").orderBy(F.desc("score"), "symbol"))).where("rank <= 40")
 
-
-__all__ = ["BY_SYMBOL", "lag"]
