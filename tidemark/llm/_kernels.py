@@ -7,6 +7,7 @@ longer than CHUNK is a chunk of its own. Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +24,10 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    _libc = None
 _power: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -47,12 +52,27 @@ def as_bytes(column: pa.Array) -> pa.Array:
     return column.cast(pa.binary())
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker lives on, and its executor's share is small."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+        give_back()
+
+
 def chunks(texts: list[bytes] | pa.Array, limit: int = CHUNK) -> Iterator[Chunk]:
     if not isinstance(texts, list):
         for at in range(0, len(texts), ROWS):
             for chunk in chunks([x or b"" for x in texts.slice(at, ROWS).to_pylist()], limit):
                 chunk.lo, chunk.hi = chunk.lo + at, chunk.hi + at
                 yield chunk
+        give_back()
         return
     lo, size = 0, 0
     for i in range(len(texts) + 1):

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tidemark.llm._kernels import Chunk, as_bytes, chunks, prefix, span
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-CACHE = 400_000  # distinct pieces that a worker remembers
+CACHE = 150_000  # distinct pieces that a worker remembers
 _NONE = np.int64(1 << 40)
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, 0x09, 0x0A, 0x0D]] = True

@@ -344,7 +344,7 @@ from size s"""
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links (other documents linked) for every row of docs(doc_id, text)."""
-    maybe = components(candidates(docs, sketch(docs)))
+    maybe = components(candidates(docs, sketch(docs)), forest=True)
     rows = saved(nodes_and_sets(docs, bloom(maybe, "node")), "sets")
     per_node = rows.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.first("n").alias("n"))
     member = saved(maybe.join(per_node, "node"), "members")

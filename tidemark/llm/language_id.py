@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._kernels import U64, mix
+from tidemark.llm._kernels import U64, mix, slices
 
 TOP = 300
 MAX_ROWS = 20_000
 FOLDS = 5
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
-LETTERS = 1 << 19  # code points counted at once
+LETTERS = 1 << 18  # code points counted at once
 _alpha: np.ndarray | None = None
 
 
@@ -124,7 +124,7 @@ def train(docs: DataFrame, top: int = TOP, max_rows: int = MAX_ROWS) -> dict[str
             return gram, np.bincount(place, np.concatenate([c for _, c in parts])).astype(np.int64)
 
         held = 0
-        for batch in batches:
+        for batch in slices(batches):
             lang = np.array(batch.column(0).to_pylist(), object)
             for lo, _, doc, gram, n in gram_counts(batch.column(1).to_pylist()):
                 owner = lang[lo + doc]
@@ -188,7 +188,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], top: int = TOP) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Profiles(profiles, top)
-        for batch in batches:
+        for batch in slices(batches):
             lang, score = model.predict(batch.column(2).to_pylist())
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
@@ -202,7 +202,7 @@ def accepted(docs: DataFrame, profiles: dict[str, np.ndarray], least_score: floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Profiles(profiles, top)
-        for batch in batches:
+        for batch in slices(batches):
             lang, score = model.predict(batch.column(at).to_pylist())
             yield batch.filter(pa.array([x != "und" and s >= least_score for x, s in zip(lang, score.tolist(), strict=True)], pa.bool_()))
 

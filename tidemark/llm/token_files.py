@@ -137,7 +137,7 @@ def _encoder(path: str) -> Remembering:
                 out[i] = ids
             return np.concatenate(out) if out else np.zeros(0, np.int64), np.array([len(x) for x in out], np.int64)
 
-        _encoders[path] = Remembering(encode, trim=True)
+        _encoders[path] = Remembering(encode, limit=400_000, trim=True)
     return _encoders[path]
 
 
