@@ -1,0 +1,290 @@
+"""The ten operators on small fixtures with nulls, empty and long texts, ties, repeated rows, empty tables and clashing
+columns, against brute force; and the registered queries on the smallest tables."""
+
+import collections
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers as tok
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tidemark.llm import bpe, chat_format, decontaminate, jaccard_join, language_id, quality, suffix_dedup, token_files, toxicity, url_filter
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string, head string"
+
+
+def rows_of(texts, first=0):
+    return [(first + i, t, "en", "s", len(t or ""), "clash", "clash") for i, t in enumerate(texts)]
+
+
+def docs(spark, texts):
+    return spark.createDataFrame(rows_of(texts), DOCS)
+
+
+def prose(seed, n):
+    rng = random.Random(seed)
+    return " ".join(rng.choice(["tion", "ther", "and", "in", "out", "ble"]) + rng.choice(["", "er", "ing", "s"]) + str(rng.randrange(900)) for _ in range(n))
+
+
+EDGE = [None, "", " \n ", "a b", "A  B", "one two three four five", "x", "é ñ 日本 🙂", "%%% ***", "a\x00b"]
+
+
+def test_url_filter_edges(spark):
+    pages = spark.createDataFrame([(1, "http://A.Example.NET/en/x?q#f", "h"), (2, None, "h"), (3, "no scheme", "h"), (4, "https://x.net", "h"), (5, "https://spam-farm.io/", "h"), (6, "https://q.org/fr/a/../b", "h"), (None, "ftp://a.com/x.exe", "h"), (8, "http://a.com/q.net/z", "h")], "page_id long, url string, host string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(pages).collect()}
+    assert got[1] == ("a.example.net", "/en/x", "example.net/en/", "allow")
+    assert got[2] == got[3] == ("", "", None, "allow")
+    assert got[4] == ("x.net", "", None, "allow") and got[5][3] == "block" and got[6][2:] == ("org/fr/", "allow")
+    assert got[None][3] == "block" and got[8][2:] == (None, "allow")
+    assert url_filter.judge(pages.limit(0)).count() == 0
+
+
+def test_automaton_against_regular_expressions():
+    import re
+
+    globs = ["a*b", "**x?y", "*.net/**", "?", "ab**", "*" * 2 + "q" * 70 + "*"]
+    patterns = [re.compile(url_filter._sql_glob(g), re.S) for g in globs]
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abxy/.netq") for _ in range(rng.randrange(12))) for _ in range(500)] + ["z" + "q" * 71]
+    got = url_filter.GlobAutomaton(globs).match([t.encode() for t in texts])
+    assert [[bool(p.fullmatch(t)) for p in patterns] for t in texts] == got.tolist()
+
+
+def sets_of(texts):
+    import re
+
+    out = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        out.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    return out
+
+
+def brute_components(texts):
+    s, n = sets_of(texts), len(texts)
+    root, links = list(range(n)), [0] * n
+    for i in range(n):
+        for j in range(i):
+            k = len(s[i] & s[j])
+            if s[i] and 100 * k >= 80 * len(s[i] | s[j]) and k:
+                links[i] += 1
+                links[j] += 1
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    return [(i, len(s[i]), root[i], links[i]) for i in range(n)]
+
+
+@pytest.mark.parametrize("hot", [200, 1])
+def test_jaccard_join_is_exact(spark, monkeypatch, hot):
+    monkeypatch.setattr(jaccard_join, "HOT", hot)  # 1: every shared shingle takes the path of frequent ones
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 7)
+    rng, texts = random.Random(1), list(EDGE)
+    for seed in range(6):
+        base = prose(seed, 60).split()
+        for _ in range(12):
+            w = list(base)
+            for _ in range(rng.randrange(4)):
+                w[rng.randrange(len(w))] = "edit" + str(rng.randrange(99))
+            texts.append(" ".join(w))
+    texts += [prose(50, 30)] * 5 + ["shared line of seven words goes here " + prose(100 + i, 3) for i in range(20)]
+    got = sorted(tuple(r) for r in jaccard_join.join(docs(spark, texts)).collect())
+    assert got == brute_components(texts)
+
+
+def test_jaccard_join_empty_table_and_null_ids(spark):
+    assert jaccard_join.join(docs(spark, []).limit(0) if False else spark.createDataFrame([], DOCS)).count() == 0
+    d = spark.createDataFrame([(None, "a b c", "", "", 0, "", ""), (5, "A B C", "", "", 0, "", ""), (5, "z", "", "", 0, "", "")], DOCS)
+    got = sorted((r["doc_id"] or -1, r["component_id"]) for r in jaccard_join.join(d).collect())
+    assert got == [(-1, 5), (5, 5), (5, 5)]
+
+
+def brute_spans(texts, n):
+    raws = [(t or "").encode() for t in texts]
+    seen = collections.Counter(r[i : i + n] for r in raws for i in range(len(r) - n + 1))
+    out = []
+    for k, r in enumerate(raws):
+        gone = np.zeros(len(r), bool)
+        for i in range(len(r) - n + 1):
+            if seen[r[i : i + n]] > 1:
+                gone[i : i + n] = True
+        kept = bytes(b for b, g in zip(r, gone, strict=True) if not g)
+        out.append((k, len(r), int(gone.sum()), int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("often", [32, 1])
+def test_suffix_dedup_is_exact(spark, monkeypatch, often):
+    monkeypatch.setattr(suffix_dedup, "OFTEN", often)  # 1: every repeated inner rank takes the path of frequent ones
+    monkeypatch.setattr(suffix_dedup, "HELD", 50)
+    passage, edge400, edge399 = prose(7, 70), prose(8, 90)[:400], prose(9, 90)[:399]
+    texts = [*EDGE, prose(1, 40) + passage + prose(2, 30), prose(3, 50) + passage, prose(4, 90), prose(4, 90), "x" + edge400 + "y", "z" + edge400 + "w", "x" + edge399 + "y", "z" + edge399 + "w"]
+    texts += ["For " * 400, passage[10:], "é" * 300, "b" + "é" * 300]
+    near = prose(11, 150).split()
+    for i in range(8):
+        w = list(near)
+        w[i * 15 + 5] = "edit" + str(i)
+        texts.append(" ".join(w))
+    got = sorted(tuple(r) for r in suffix_dedup.spans(docs(spark, texts)).collect())
+    assert got == brute_spans(texts, 400)
+
+
+def test_suffix_dedup_keeps_columns(spark):
+    passage = prose(7, 70)
+    d = docs(spark, [passage + " left one", passage + " left two", passage, "clean"])
+    got = {r["doc_id"]: r for r in suffix_dedup.deduplicated(d).collect()}
+    assert set(got) == {0, 1, 3} and got[3]["text"] == "clean" and got[0].asDict().keys() == set(d.columns)
+    assert suffix_dedup.deduplicated(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_bpe_round_trip_equals_the_library(spark):
+    texts = [*EDGE, "it's DON'T we'll  \t\n x", "<|endoftext|> a <|endoftext|>b", "aaaaaaaaaaa bbb", prose(3, 3000), "word" * 3000, "12345 6 ½ \r\n\r\nb "]
+    library = Tokenizer.from_file(tok.path("byte_bpe_50k.json"))
+    got = {r["doc_id"]: tuple(r)[1:] for r in bpe.round_trip(docs(spark, texts), tok.path("byte_bpe_50k.json"), tok.PATTERN).collect()}
+    for i, t in enumerate(texts):
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        assert got[i] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+
+
+def test_token_files_equal_the_library(spark, tmp_path):
+    texts = [*EDGE, "Don't STOP, été; naïve İstanbul o'clock 's <|endoftext|>x", prose(3, 2000), "é combined", "ΣΑΣ"]
+    library = Tokenizer.from_file(tok.path("word_bpe_49k.json"))
+    token_files.write(docs(spark, texts), str(tmp_path / "f"), tok.path("word_bpe_49k.json"), 2)
+    got = {r["doc_id"]: tuple(r)[1:] for r in token_files.summary(spark, str(tmp_path / "f")).collect()}
+    before = 0
+    for i, t in enumerate(texts):
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
+        assert got[i] == (before, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        before += len(ids)
+
+
+def test_variable_length_codes():
+    x = np.array([0, 255, 256, 65535, 65536, 2**24, 2**32 - 1], np.uint64)
+    raw = token_files.code(x)
+    back, at = token_files.decode(raw, 0)
+    assert back.tolist() == x.tolist() and at == len(raw)
+    with pytest.raises(ValueError):
+        token_files.unpack(b"none")
+
+
+def test_language_id(spark):
+    words = {"en": ["the", "and", "with", "this", "that"], "fr": ["les", "des", "avec", "être", "quel"]}
+    rng = random.Random(0)
+    rows = [(i, " ".join(rng.choices(words[lang], k=20)), lang, "s", 0, "", "") for i in range(80) for lang in [("en", "fr")[i % 2]]]
+    train = spark.createDataFrame(rows, DOCS)
+    profiles = language_id.train(train)
+    got = {r["doc_id"]: (r["lang_pred"], r["held_out"]) for r in language_id.predict(train, profiles).collect()}
+    assert all(got[i][0] == ("en", "fr")[i % 2] and got[i][1] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(80))
+    edge = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(docs(spark, EDGE), profiles).collect()}
+    assert edge[0] == edge[1] == edge[8] == ("und", 0.0) and all(0 <= s <= 1 for _, s in edge.values())
+    nothing = language_id.train(spark.createDataFrame([], DOCS))
+    assert {r["lang_pred"] for r in language_id.predict(train, nothing).collect()} == {"und"}
+
+
+def test_long_text_profile_counts_every_piece(monkeypatch):
+    text = prose(5, 400)
+    (_, _, _, gram, n), *_ = language_id.gram_counts([text])
+    monkeypatch.setattr(language_id, "LETTERS", 100)
+    (_, _, _, gram2, n2), *_ = language_id.gram_counts([text])
+    whole, cut = dict(zip(gram.tolist(), n.tolist(), strict=True)), dict(zip(gram2.tolist(), n2.tolist(), strict=True))
+    assert set(whole) == set(cut) and sum(abs(whole[g] - cut[g]) for g in whole) <= 0.05 * sum(whole.values())
+
+
+def test_quality_base_counts(spark):
+    texts = [*EDGE, "a b c d e f g h " * 6, "line one\nline one\n\n\nline  one\nline one", " ".join(f"w{i}" for i in range(40)), "#*$ %&|<>"]
+    d = docs(spark, texts)
+    labels = spark.createDataFrame([(12, 1, 0), (None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality.judge(d, quality.fit(d, labels)).collect()}
+    import re
+
+    for i, t in enumerate(texts):
+        t = t or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        seen = collections.Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        rep = {k + j for k in range(len(w) - 7) if seen[tuple(w[k : k + 8])] > 1 for j in range(8)}
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(rep))
+        r = got[i]
+        assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want, texts[i]
+        assert r["base_failed"] == (len(w) < 20 or 100 * len(rep) > 30 * len(w)) and not (r["base_failed"] and r["kept"])
+
+
+def test_toxicity_learns_and_survives_edges(spark):
+    rng, texts, labels = random.Random(2), [], []
+    for i in range(400):
+        w = prose(i, 60).split()
+        if i % 4 == 0:
+            for _ in range(6):
+                w[rng.randrange(60)] = rng.choice(["idiot", "moron", "scum"])
+        texts.append(" ".join(w))
+        labels.append((i, 1, int(i % 4 == 0)))
+    d = docs(spark, [*texts, *EDGE])
+    known = spark.createDataFrame([*labels, (None, 1, 1), (3, 0, None)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score(d, toxicity.fit(d, known)).collect()}
+    held = [i for i in range(400) if got[i]["held_out"]]
+    assert np.mean([got[i]["predicted"] == (i % 4 == 0) for i in held]) > 0.9
+    assert all(0 <= r["score"] <= 1 for r in got.values()) and len(got) == 410
+    none = toxicity.fit(d, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert toxicity.score(d, none).count() == 410
+
+
+def test_decontamination_recall_and_exactness(spark):
+    rng = random.Random(5)
+    items = [(i, prose(1000 + i, 30)) for i in range(30)] + [(30, None), (31, "short")]
+    texts, planted = [], []
+    for i in range(150):
+        k = rng.randrange(30)
+        x = list(items[k][1])
+        for _ in range(rng.randint(0, int(0.06 * len(x)))):
+            x[rng.randrange(len(x))] = rng.choice("etaoin")
+        texts.append(prose(i, 40) + " " + "".join(x).upper() + "  " + prose(i + 500, 40))
+        planted.append((i, k))
+    clean = [prose(5000 + i, 80) for i in range(50)]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontaminate.matches(docs(spark, texts + clean + EDGE), b).collect()}
+    assert np.mean([p in got for p in planted]) >= 0.9
+    assert all(d < 150 for d, _ in got)
+
+    def distance(item, text):  # least edits between item and any part of text
+        row = [0] * (len(text) + 1)
+        for i, a in enumerate(item, 1):
+            new = [i]
+            for j, c in enumerate(text, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (a != c)))
+            row = new
+        return min(row)
+
+    for (d, k), edits in list(got.items())[:8]:
+        assert edits == distance(items[k][1].lower(), " ".join(texts[d].lower().split()))
+    assert decontaminate.matches(docs(spark, texts[:3]), b.limit(0)).count() == 0
+
+
+def test_chat_roles_and_blocks(spark, monkeypatch):
+    rows = [(c, t, ("user", "assistant")[t % 2] if (c + t) % 5 else None, f"turn {t} of {c}" + ("?" if t % 2 == 0 else " is a longer answer\nwith lines")) for c in range(20) for t in range(9)]
+    rows += [(None, None, None, None), (99, 0, "robot", "User: hello\nAssistant: hi\nthere"), (99, 0, "robot", "User: hello\nAssistant: hi\nthere")]
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("block", F.lit("clash"))
+    model = chat_format.fit(conv)
+    got = chat_format.parse(conv, model).collect()
+    assert len(got) == len(rows)
+    assert all(r["role"] == ("user", "assistant")[r["turn"] % 2] for r in got if r["conv_id"] is not None and r["conv_id"] < 99)
+    odd = [r for r in got if r["conv_id"] == 99]
+    assert odd[0]["rendered"] == "<|user|>\nhello\n<|end|>\n<|assistant|>\nhi\nthere\n<|end|>\n"
+    monkeypatch.setattr(chat_format, "BLOCK", 2)
+    again = chat_format.parse(conv, model).collect()
+    key = lambda r: (r["conv_id"] or -1, r["turn"] or -1, r["rendered"])
+    assert sorted(map(key, again)) == sorted(map(key, got))
+    assert chat_format.parse(conv.limit(0), model).count() == 0
+
+
+def test_pipeline_stages(spark, sf):
+    import corpus_pipeline
+
+    d = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60")
+    for _name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, d, sf).persist()
+        assert out.columns == d.columns and 0 < out.count() <= d.count()
+        d = out
+    assert corpus_pipeline.STAGES[-1][1](spark, d, sf).count() == d.count()

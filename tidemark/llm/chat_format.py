@@ -18,18 +18,22 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 ROLES = ("system", "user", "assistant")
 BLOCK = 512
 #: Names that transcripts use for the roles.
 NAMES = {"system": 0, "instruction": 0, "user": 1, "human": 1, "question": 1, "assistant": 2, "ai": 2, "bot": 2, "gpt": 2, "answer": 2}
 MARKER = re.compile(r"^[ \t]*(?:#{1,6}[ \t]*)?\[?(" + "|".join(NAMES) + r")\]?[ \t]*[:>][ \t]*", re.IGNORECASE)
-MARKED, UNMARKED, OTHER = np.log(0.90), np.log(0.04), np.log(0.03)
+MARKED, UNMARKED, OTHER = np.log(0.98), np.log(0.02), np.log(1e-5)
 LENGTHS = 12
 SCHEMA = "conv_id long, turn long, role string, n_segments int, roles array<string>, rendered string"
 
@@ -146,43 +150,66 @@ def parse(conversations: DataFrame, model: Model) -> DataFrame:
     """For every turn: its recovered roles, the first of them, and its canonical rendering."""
     rows = _blocks(conversations)
 
-    def ordered(f: pd.DataFrame) -> tuple[pd.DataFrame, list]:
-        f = f.sort_values(["at", "role", "text"], ignore_index=True, na_position="first")
-        turns = [(t if isinstance(t, str) else None, r if isinstance(r, str) else None, a == 0) for t, r, a in zip(f["text"], f["role"], f["at"], strict=True)]
-        return f, turns
+    def turns_of(group: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+        rows = sorted(group, key=lambda r: (r[3], r[4] is not None, r[4] or "", r[5] is not None, r[5] or ""))
+        return rows, [(r[5], r[4], r[3] == 0) for r in rows]
 
-    def matrix(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        scores, _ = model.scores(ordered(f)[1])
-        return pd.DataFrame({"conv_id": [key[0]], "block": [key[1]], "first_scores": [scores[0].tolist()], "m": [model.transfer(scores).reshape(-1).tolist()], "rest": [model.transfer(scores[1:]).reshape(-1).tolist()]}).astype({"conv_id": "Int64"})
+    def matrix(key: tuple, group: list[tuple]) -> Iterator[tuple]:
+        scores, _ = model.scores(turns_of(group)[1])
+        yield (*key, scores[0].tolist(), model.transfer(scores).reshape(-1).tolist(), model.transfer(scores[1:]).reshape(-1).tolist())
 
-    def chain(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("block", ignore_index=True)
-        ms = [np.array(x).reshape(3, 3) for x in f["m"]]
+    def chain(key: tuple, group: list[tuple]) -> Iterator[tuple]:
+        blocks = sorted(group, key=lambda r: r[1])
+        ms = [np.array(r[3]).reshape(3, 3) for r in blocks]
         before = [np.zeros(3)]
         # the first block opens with the start scores instead of a move
-        now = (np.array(f["rest"][0]).reshape(3, 3) + (model.start + np.array(f["first_scores"][0]))[:, None]).max(0)
+        now = (np.array(blocks[0][4]).reshape(3, 3) + (model.start + np.array(blocks[0][2]))[:, None]).max(0)
         for m in ms[1:]:
             before.append(now)
             now = (now[:, None] + m).max(0)
         after = [np.zeros(3)]
         for m in ms[:0:-1]:
             after.append((m + after[-1]).max(1))
-        return pd.DataFrame({"conv_id": [key[0]] * len(f), "block": f["block"], "opens": [i == 0 for i in range(len(f))], "before": [b.tolist() for b in before], "after": [a.tolist() for a in after[::-1]]}).astype({"conv_id": "Int64"})
+        for i, (r, x, y) in enumerate(zip(blocks, before, after[::-1], strict=True)):
+            yield key[0], r[1], i == 0, x.tolist(), y.tolist()
 
-    def decode(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f, turns = ordered(f)
+    def decode(key: tuple, group: list[tuple]) -> Iterator[tuple]:
+        rows, turns = turns_of(group)
         scores, texts = model.scores(turns)
-        path = model.decode(scores, np.array(f["before"][0]), bool(f["opens"][0]), np.array(f["after"][0]))
-        out, i = [], 0
-        for parts in texts:
+        path = model.decode(scores, np.array(rows[0][7]), rows[0][6], np.array(rows[0][8]))
+        i = 0
+        for r, parts in zip(rows, texts, strict=True):
             roles = path[i : i + len(parts)]
             i += len(parts)
-            out.append((ROLES[roles[0]], len(parts), [ROLES[r] for r in roles], render(roles, parts)))
-        return pd.concat([f[["conv_id", "turn"]], pd.DataFrame(out, columns=["role", "n_segments", "roles", "rendered"])], axis=1).astype({"conv_id": "Int64", "turn": "Int64"})
+            yield key[0], r[2], ROLES[roles[0]], len(parts), [ROLES[x] for x in roles], render(roles, parts)
 
     arrays = "first_scores array<double>, m array<double>, rest array<double>"
-    matrices = rows.groupBy("conv_id", "block").applyInPandas(matrix, f"conv_id long, block long, {arrays}")
-    edges = matrices.groupBy("conv_id").applyInPandas(chain, "conv_id long, block long, opens boolean, before array<double>, after array<double>")
+    matrices = _grouped(rows.select("conv_id", "block", "turn", "at", "role", "text"), 2, matrix, f"conv_id long, block long, {arrays}")
+    edges = _grouped(matrices, 1, chain, "conv_id long, block long, opens boolean, before array<double>, after array<double>")
     e = edges.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), "opens", "before", "after")
     joined = rows.join(e, rows["conv_id"].eqNullSafe(e["c"]) & (rows["block"] == e["b"]))
-    return joined.select("conv_id", "block", "turn", "at", "role", "text", "opens", "before", "after").groupBy("conv_id", "block").applyInPandas(decode, SCHEMA)
+    return _grouped(joined.select("conv_id", "block", "turn", "at", "role", "text", "opens", "before", "after"), 2, decode, SCHEMA)
+
+
+def _grouped(rows: DataFrame, keys: int, f, schema: str) -> DataFrame:
+    """f(key, rows) for each group of equal values in the first columns: groups lie together and stream through a task, so
+    that many small ones cost no call of their own."""
+    names = rows.columns[:keys]
+    out = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def stream() -> Iterator[tuple]:
+            for batch in batches:
+                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+        held: list[tuple] = []
+        for key, group in groupby(stream(), key=lambda r: r[:keys]):
+            held.extend(f(key, list(group)))
+            if len(held) >= 2000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), arrow.types, strict=True)], schema=arrow)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), arrow.types, strict=True)], schema=arrow)
+
+    return rows.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, out)
