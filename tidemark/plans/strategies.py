@@ -83,10 +83,10 @@ def snapshot_delta(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("symbol", F.col("quarter").cast("string").alias("quarter"), "diff", rounded("diff_pct").alias("diff_pct"))
 
 
-@query("research_overlay", f"with {TRADES}, n as (select trade_id, least(100.0, greatest(0.0, 50 + return_pct)) as score, ((shares * 7)::bigint % 61) - 30.0 as delta, shares::bigint % 3 as revisions from trades), o as (select trade_id, score, case when revisions > 0 then greatest(-20.0, least(20.0, delta)) end as delta from n) select trade_id, round_even(score + 3e-8, 6) as score, round_even(least(100.0, greatest(0.0, score + coalesce(delta, 0) * 0.5)) + 3e-8, 6) as effective from o")
+@query("research_overlay", f"with {TRADES}, u as (select trade_id, min(return_pct) as return_pct, min(shares) as shares from trades group by trade_id), n as (select trade_id, least(100.0, greatest(0.0, 50 + return_pct)) as score, ((shares * 7)::bigint % 61) - 30.0 as delta, shares::bigint % 3 as revisions from u), o as (select trade_id, score, case when revisions > 0 then greatest(-20.0, least(20.0, delta)) end as delta from n) select trade_id, round_even(score + 3e-8, 6) as score, round_even(least(100.0, greatest(0.0, score + coalesce(delta, 0) * 0.5)) + 3e-8, 6) as effective from o")
 def research_overlay(spark: SparkSession, sf: str) -> DataFrame:
     """Scores with the latest research revision's bounded change laid over them."""
-    t = trades(spark, sf)
+    t = trades(spark, sf).groupBy("trade_id").agg(F.min("return_pct").alias("return_pct"), F.min("shares").alias("shares"))
     base = t.select("trade_id", F.least(F.lit(100.0), F.greatest(F.lit(0.0), 50 + F.col("return_pct"))).alias("score"))
     count = F.col("shares").cast("long") % 3
     revisions = t.select("trade_id", F.explode(F.when(count > 0, F.sequence(F.lit(1).cast("long"), count))).alias("revision"), ((F.col("shares") * 7).cast("long") % 61 - 30.0).alias("delta"))
