@@ -262,6 +262,58 @@ def test_decontamination_recall_and_exactness(spark):
     assert decontaminate.matches(docs(spark, texts[:3]), b.limit(0)).count() == 0
 
 
+def edited(rng, text, how):
+    """text after edits up to the full limit, of one kind or place."""
+    k = min(int(decontaminate.MAX_EDITS * len(text)), (len(text) - decontaminate.Q) // decontaminate.Q)
+    x = list(text)
+    if how == "run":
+        return text[:10] + "#" * k + text[10:]
+    if how == "head":
+        return text[:3] + text[3 + k :]
+    for _ in range(k):
+        at = rng.randrange(min(len(x), 100) if how == "near" else len(x))
+        kind = rng.choice(["insert", "delete", "replace"])
+        x[at : at + (kind != "insert")] = [] if kind == "delete" else [rng.choice("#@%&")]
+    return "".join(x)
+
+
+def test_decontamination_finds_every_edit_up_to_the_limit():
+    rng = random.Random(9)
+    items = [prose(2000 + i, 400)[:n].strip() for i, n in enumerate([15, 40, 81, 130, 250, 394, 1100] * 6)]
+    texts, want = [], set()
+    for how in ("even", "near", "run", "head"):
+        for k, item in enumerate(items):
+            want.add((len(texts), k))
+            texts.append(prose(len(texts), 20) + " " + edited(rng, item, how) + " " + prose(len(texts) + 900, 20))
+    matcher = decontaminate.Matcher(list(enumerate(items)) + [(99, items[0])])
+    got = {(d, matcher.ids[i]): edits for d, i, edits, _ in matcher.find([t.encode() for t in texts])}
+    assert want <= set(got)
+    assert all((d, 99) in got for d, k in got if k == 0)
+
+
+@pytest.mark.parametrize("shared", [50, 0])
+def test_decontamination_equals_brute_force(monkeypatch, shared):
+    monkeypatch.setattr(decontaminate, "SHARED", shared, raising=False)  # 0: items leave out as many grams as they may
+    monkeypatch.setattr(decontaminate, "HITS", 100, raising=False)
+    rng = random.Random(4)
+    items = ["the same start of many items " + prose(3000 + i, 6) for i in range(12)]
+    texts = [prose(i, 5) + edited(rng, rng.choice(items), rng.choice(["even", "near"])) + prose(i + 50, 5) + edited(rng, rng.choice(items), "even") for i in range(60)]
+
+    def distance(item, text):
+        row = [0] * (len(text) + 1)
+        for i, a in enumerate(item, 1):
+            new = [i]
+            for j, c in enumerate(text, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (a != c)))
+            row = new
+        return min(row)
+
+    limit = [min(int(0.08 * len(x)), (len(x) - 10) // 10) for x in items]
+    want = {(d, i, e) for d, t in enumerate(texts) for i, x in enumerate(items) if (e := distance(x, t)) <= limit[i]}
+    matcher = decontaminate.Matcher(list(enumerate(items)))
+    assert {x[:3] for x in matcher.find([t.encode() for t in texts])} == want
+
+
 def test_chat_roles_and_blocks(spark, monkeypatch):
     rows = [(c, t, ("user", "assistant")[t % 2] if (c + t) % 5 else None, f"turn {t} of {c}" + ("?" if t % 2 == 0 else " is a longer answer\nwith lines")) for c in range(20) for t in range(9)]
     rows += [(None, None, None, None), (99, 0, "robot", "User: hello\nAssistant: hi\nthere"), (99, 0, "robot", "User: hello\nAssistant: hi\nthere")]
