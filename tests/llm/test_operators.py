@@ -314,6 +314,16 @@ def test_decontamination_equals_brute_force(monkeypatch, shared):
     assert {x[:3] for x in matcher.find([t.encode() for t in texts])} == want
 
 
+def test_decontamination_ignores_unicode_case():
+    import unicodedata
+
+    item = "L'été à Orléans, où l'élève étudiait déjà la géométrie, a été très gênant; après ça, l'évêque hésita: ÉÈÊ çà et là, ПРИВЕТ."
+    texts = ["so: " + item.upper() + " end", "so: " + unicodedata.normalize("NFD", item) + " end", "Straße " + item.title() + " \N{GRINNING FACE}", "ascii only"]
+    raws = [t.encode() for t in texts] + [b"\xff\xfe " + item.encode() + b" \xed\xa0\x80"]
+    matcher = decontaminate.Matcher([(7, item)])
+    assert [x[:3] for x in matcher.find(raws)] == [(0, 0, 0), (1, 0, 0), (2, 0, 0), (4, 0, 0)]
+
+
 def test_chat_roles_and_blocks(spark, monkeypatch):
     rows = [(c, t, ("user", "assistant")[t % 2] if (c + t) % 5 else None, f"turn {t} of {c}" + ("?" if t % 2 == 0 else " is a longer answer\nwith lines")) for c in range(20) for t in range(9)]
     rows += [(None, None, None, None), (99, 0, "robot", "User: hello\nAssistant: hi\nthere"), (99, 0, "robot", "User: hello\nAssistant: hi\nthere")]
