@@ -149,6 +149,20 @@ def test_bpe_round_trip_equals_the_library(spark):
         assert got[i] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest())
 
 
+def test_bpe_white_space_of_all_kinds_equals_the_library():
+    rng = random.Random(6)
+    blanks = [" ", "  ", "\t", "\n", "\r\n", *map(chr, [0x0B, 0x0C, 0x1C, 0x1F, 0x85, 0xA0, 0x1680, 0x2000, 0x200A, 0x200B, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0x180E, 0xFEFF])]
+    texts = ["a \xa0 \xa0 b", "\xa0 x", " \xa0", "\u3000 \n\u3000 y", "\x0b b", "", "é à x"]
+    texts += ["".join(rng.choice(blanks[: 5 + 17 * (k % 2)] + ["\xa0", " ", "a", "été", "9", "!", "日本", "à"]) for _ in range(40)) for k in range(400)]
+    library = Tokenizer.from_file(tok.path("byte_bpe_50k.json"))
+    encoder = bpe.Remembering(bpe.ByteBpe(tok.path("byte_bpe_50k.json"), tok.PATTERN).encode)
+    got = []
+    for chunk in bpe.chunks([t.encode() for t in texts], 3000):
+        ids, n = encoder.ids(chunk)
+        got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_token_files_equal_the_library(spark, tmp_path):
     texts = [*EDGE, "Don't STOP, été; naïve İstanbul o'clock 's <|endoftext|>x", prose(3, 2000), "é combined", "ΣΑΣ"]
     library = Tokenizer.from_file(tok.path("word_bpe_49k.json"))

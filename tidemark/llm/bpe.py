@@ -1,7 +1,7 @@
 """BPE encoding and decoding in batched numpy merge rounds.
 
-Texts are cut before each run of white space, where no token can cross; each distinct piece of a chunk is encoded
-once. The symbols of all new pieces lie in one flat array. A round looks up the ranks of all neighbouring pairs
+Texts are cut before each run of blanks, tabs and line ends that follows no other white space (a token of white space may
+span no-break and plain blanks), where no token can cross; each distinct piece of a chunk is encoded once. The symbols of all new pieces lie in one flat array. A round looks up the ranks of all neighbouring pairs
 by binary search over the sorted pair keys, finds each word's lowest, merges its occurrences from left to right, and
 sets finished words aside. Decoding gathers the bytes of all ids from one table.
 
@@ -29,6 +29,10 @@ CACHE = 150_000  # distinct pieces that a worker remembers
 _NONE = np.int64(1 << 40)
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, 0x09, 0x0A, 0x0D]] = True
+#: Other white space in UTF-8, by its last byte, last two and last three.
+_OTHER = [np.array([0x0B, 0x0C, *range(0x1C, 0x20)]), np.array([0xC285, 0xC2A0]), np.array([0xE19A80, *range(0xE28080, 0xE2808B), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080])]
+_LAST = np.zeros(256, bool)
+_LAST[np.concatenate(_OTHER) & 0xFF] = True
 
 
 def byte_letters() -> dict[str, int]:
@@ -47,6 +51,15 @@ def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, pick: np.ndarr
     return flat[at], n
 
 
+def after_space(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether white space that _GAP lacks ends before each place (places are above 0, and buf ends with a newline)."""
+    code, out = np.zeros(len(at), np.int64), np.zeros(len(at), bool)
+    for k, known in enumerate(_OTHER):
+        code |= buf[at - k - 1].astype(np.int64) << 8 * k
+        out |= np.isin(code, known)
+    return out
+
+
 class Table:
     """Byte strings by id, for decoding by lookup."""
 
@@ -163,6 +176,10 @@ class Remembering:
         else:
             begin = gap.copy()
             begin[1:] &= ~gap[:-1]
+            begin[0] = False
+            at = np.flatnonzero(begin)
+            at = at[_LAST[buf[at - 1]]]
+            begin[at[after_space(buf, at)]] = False
             begin[chunk.start] = True
             begin[chunk.end] = False
             start = np.flatnonzero(begin)
