@@ -245,6 +245,25 @@ def test_toxicity_learns_and_survives_edges(spark):
     assert toxicity.score(d, none).count() == 410
 
 
+def test_toxicity_keeps_words_apart_that_share_17_bits(spark):
+    many = [f"w{i}" for i in range(1_300_000)]
+    h, _, _ = toxicity.pairs(next(toxicity.chunks([" ".join(many).encode()])))
+    bad, *common = np.array(many)[np.flatnonzero((h & np.uint64(0x1FFFF)) == (h[0] & np.uint64(0x1FFFF)))][:7].tolist()
+    rng, texts = random.Random(3), []
+    for i in range(400):
+        w = prose(i, 60).split()
+        for k, at in enumerate(rng.sample(range(60), 6)):
+            w[at] = common[k]
+        if i % 4 == 0:
+            w.insert(rng.randrange(60), bad)
+        texts.append(" ".join(w))
+    d = docs(spark, texts)
+    known = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    got = [r for r in toxicity.score(d, toxicity.fit(d, known)).collect() if r["held_out"]]
+    score = {c: [r["score"] for r in got if (r["doc_id"] % 4 == 0) == c] for c in (True, False)}
+    assert np.mean([x > y for x in score[True] for y in score[False]]) > 0.9
+
+
 def test_decontamination_recall_and_exactness(spark):
     rng = random.Random(5)
     items = [(i, prose(1000 + i, 30)) for i in range(30)] + [(30, None), (31, "short")]
