@@ -1,15 +1,16 @@
-"""Exact substring deduplication by distributed prefix doubling over sampled positions.
+"""Exact substring deduplication by fingerprints of sampled positions, in place of distributed prefix doubling.
 
 Every byte covered by a string of LENGTH bytes that also starts elsewhere goes. Ranking every position at each of
-log2(LENGTH) offsets would move some 20 bytes for each byte of text and offset, so ranks start at sampled positions:
+log2(LENGTH) offsets would move some 20 bytes for each byte of text and offset (an estimate, not measured), so no rank is
+doubled: two fixed rounds of fingerprints, dealt by hash and grouped in numpy, start at sampled positions:
 the least hash of K bytes in a window, which the bytes themselves decide, so that copies of a string have the same ones.
 
 1. Starts are taken in runs with the same inner string, from the least place of a LENGTH-byte string's first part to that
-   of its last. Spark sorts all (inner rank, outer rank) pairs together, the outer string being the run's reach at a
+   of its last. All (inner, outer) fingerprints, called ranks, are dealt by the inner and grouped, the outer string being the run's reach at a
    greater offset to either side. A run whose inner rank is unique has no repeat and drops out. One whose outer
    rank occurs again is past the threshold: all its starts repeat.
 2. Only runs for which neither holds, at the edges of repeats, go on: each of their starts is ranked by its whole LENGTH
-   bytes, Spark sorts these ranks, and starts with equal ranks repeat.
+   bytes' hash, these are grouped in the same way, and starts with equal ranks repeat.
 
 Ranks are fingerprints of the strings (equal strings, equal ranks; 60 and 64 bits for the pair, 64 for a start), so
 no round looks ranks up by position. What is shuffled is a few numbers for each run, and the texts that have repeats.
