@@ -357,6 +357,14 @@ def test_decontamination_ignores_unicode_case():
     assert [x[:3] for x in matcher.find(raws)] == [(0, 0, 0), (1, 0, 0), (2, 0, 0), (4, 0, 0)]
 
 
+def test_decontamination_of_short_items_and_unspaced_runs():
+    items = [(1, "日本"), (2, "Tiny"), (3, "東京都は日本の首都であり世界最大級の都市の一つである"), (4, " ")]
+    texts = ["それで、" * 9 + items[2][1] + "。" * 5, "a TINY one", "x" * 99 + "tiny", "tin y", ""]
+    for chosen, want in ((items, {(0, 1), (0, 3), (1, 2), (2, 2)}), (items[:2], {(0, 1), (1, 2), (2, 2)})):
+        matcher = decontaminate.Matcher(chosen)
+        assert {(d, matcher.ids[i]) for d, i, _, _ in matcher.find([t.encode() for t in texts])} == want
+
+
 def test_chat_roles_and_blocks(spark, monkeypatch):
     rows = [(c, t, ("user", "assistant")[t % 2] if (c + t) % 5 else None, f"turn {t} of {c}" + ("?" if t % 2 == 0 else " is a longer answer\nwith lines")) for c in range(20) for t in range(9)]
     rows += [(None, None, None, None), (99, 0, "robot", "User: hello\nAssistant: hi\nthere"), (99, 0, "robot", "User: hello\nAssistant: hi\nthere")]
