@@ -132,6 +132,46 @@ def test_suffix_dedup_is_exact(spark, monkeypatch, often):
     assert got == brute_spans(texts, 400)
 
 
+def morse_texts():
+    """Two texts that share no string of 400 bytes, but whose polynomial hashes modulo 2**64 are equal for any base."""
+    rng = random.Random(12)
+    context = ["".join(rng.choice("abcdefghijklmnopqrstuvw") for _ in range(3)) for _ in range(1024)]
+    odd = [bin(i).count("1") % 2 for i in range(1024)]
+    return ["".join(c + letters[o] for c, o in zip(context, odd, strict=True)) for letters in ("xy", "yx")]
+
+
+def test_equal_polynomial_hashes_are_told_apart(spark, tmp_path):
+    texts = morse_texts()
+    d = docs(spark, texts + [" \n".join(texts)])
+    d = d.where("doc_id < 2")
+    assert [tuple(r)[2:4] for r in suffix_dedup.spans(d).collect()] == [(0, 0)] * 2
+    assert sorted(r["component_id"] for r in jaccard_join.join(d).collect()) == [0, 1]
+    bytes_library, words_library = (Tokenizer.from_file(tok.path(x)) for x in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+    got = {r["doc_id"]: r["ids_sha256"] for r in bpe.round_trip(d, tok.path("byte_bpe_50k.json"), tok.PATTERN).collect()}
+    token_files.write(d, str(tmp_path / "f"), tok.path("word_bpe_49k.json"), 2)
+    crc = {r["doc_id"]: r["ids_crc32"] for r in token_files.summary(spark, str(tmp_path / "f")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == hashlib.sha256(",".join(map(str, bytes_library.encode(t, add_special_tokens=False).ids)).encode()).hexdigest()
+        assert crc[i] == zlib.crc32(np.array([*words_library.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes())
+    lines = docs(spark, ["\n".join(texts) + "\n" + texts[0]])
+    assert [r["n_dup_lines"] for r in quality.judge(lines, quality.fit(lines, spark.createDataFrame([], "doc_id long, quality int"))).collect()] == [1]
+
+
+def test_exact_numbers_of_strings_that_share_a_hash(monkeypatch):
+    from tidemark.llm import _kernels
+
+    rng = random.Random(3)
+    parts = ["".join(rng.choice("ab") for _ in range(rng.choice([1, 7, 8, 9, 17, 300]))) for _ in range(400)]
+    end = np.cumsum([len(x) for x in parts])
+    start = end - [len(x) for x in parts]
+    strings = _kernels.Strings(np.frombuffer("".join(parts).encode(), np.uint8))
+    for hashed in (strings.hash, lambda a, b: (b - a).astype(np.uint64) % np.uint64(3)):
+        monkeypatch.setattr(strings, "hash", hashed)
+        number, first = strings.ids(start, end)
+        assert len({(n, x) for n, x in zip(number.tolist(), parts, strict=True)}) == len(set(parts)) == len(set(number.tolist()))
+        assert all(number[k] == i for i, k in enumerate(first.tolist()))
+
+
 def test_suffix_dedup_keeps_columns(spark):
     passage = prose(7, 70)
     d = docs(spark, [passage + " left one", passage + " left two", passage, "clean"])

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from tidemark.llm._kernels import U64, mix
 
@@ -24,16 +25,22 @@ def _bit(ids: np.ndarray) -> np.ndarray:
 
 
 def bloom(ids: DataFrame, column: str) -> Broadcast:
-    """The filter, broadcast: at most BITS / 64 words."""
+    """The filter, broadcast: at most BITS / 64 words. Of binary ids the first eight bytes count."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = np.unique(_bit(batch.column(0).drop_null().to_numpy(zero_copy_only=False)))
+            known = batch.column(0).drop_null()
+            if pa.types.is_binary(known.type):
+                known = np.frombuffer(b"".join(x[:8] for x in known.to_pylist()), "<i8")
+            else:
+                known = known.to_numpy(zero_copy_only=False)
+            bit = np.unique(_bit(known))
             word, first = np.unique(bit >> 6, return_index=True)
             value = np.bitwise_or.reduceat(U64(1) << (bit & 63).astype(U64), first) if len(bit) else np.zeros(0, U64)
             yield pa.record_batch([pa.array(word), pa.array(value.view(np.int64))], names=["word", "bits"])
 
-    table = ids.select(F.col(column).cast("long")).mapInArrow(words, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
+    chosen = F.col(column) if ids.schema[column].dataType == BinaryType() else F.col(column).cast("long")
+    table = ids.select(chosen.alias("id")).mapInArrow(words, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
     out = np.zeros(BITS // 64, np.int64)
     out[table["word"].to_numpy()] = table["bits"].to_numpy()
     return ids.sparkSession.sparkContext.broadcast(out)

@@ -1,4 +1,4 @@
-"""Byte-level numpy kernels shared by the operators: chunks of whole texts, words, rolling hashes.
+"""Byte-level numpy kernels shared by the operators: chunks of whole texts, words, hashes of substrings.
 
 A chunk is a group of whole texts in one flat byte array with a newline after each, so that temporary
 arrays stay near CHUNK bytes times a small factor however many rows an Arrow batch holds; one text
@@ -8,6 +8,7 @@ longer than CHUNK is a chunk of its own. Null texts count as empty.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,10 +17,6 @@ import pyarrow as pa
 
 CHUNK = 1 << 20
 U64 = np.uint64
-_M = (6364136223846793005, 2862933555777941757 | 2)  # odd multipliers, 5 and 7 modulo 8 in their low bits
-_rng = np.random.default_rng(20240607)
-#: Two independent random values for every byte.
-_BYTE = _rng.integers(1, 2**63, (2, 256), dtype=np.int64).astype(U64) * U64(2) + U64(1)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -28,7 +25,10 @@ try:
     _libc = ctypes.CDLL("libc.so.6")
 except OSError:  # another C library
     _libc = None
-_power: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: The bytes of a 64-bit word that belong to a string with so many bytes left.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], U64)
+_SEED, _CHAIN = U64(0x8F3B5A1E6C9D2471), U64(0x9E3779B97F4A7C15)
+LONG = 256  # bytes from which a string is hashed by BLAKE2
 
 
 @dataclass
@@ -87,21 +87,6 @@ def chunks(texts: list[bytes] | pa.Array, limit: int = CHUNK) -> Iterator[Chunk]
             size += len(texts[i])
 
 
-def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of a multiplier and of its inverse, modulo 2**64."""
-    if which not in _power or len(_power[which][0]) < n:
-        size = 1 << max(21, (n - 1).bit_length())
-        m = _M[which]
-        out = []
-        for base in (m, pow(m, -1, 2**64)):
-            p = np.full(size, base, U64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        _power[which] = (out[0], out[1])
-    p, q = _power[which]
-    return p[:n], q[:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads all bits."""
     h = h ^ (h >> U64(30))
@@ -112,18 +97,60 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def prefix(buf: np.ndarray, which: int = 0) -> np.ndarray:
-    """Prefix sums from which span() takes the hash of any substring."""
-    p, _ = powers(len(buf) + 1, which)
-    out = np.zeros(len(buf) + 1, U64)
-    np.cumsum(_BYTE[which][buf] * p[:-1], out=out[1:])
-    return out
-
-
-def span(pre: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-    """Hash of the bytes [start, end): equal strings get equal values wherever they lie."""
-    _, q = powers(len(pre), which)
-    return mix((pre[end] - pre[start]) * q[start] + (end - start).astype(U64))
+def eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, zeros after the end."""
+    raw = buf.tobytes() + b"\0" * 8
+    out = np.empty(len(raw), U64)
+    for k in range(8):
+        part = np.frombuffer(raw, "<u8", (len(raw) - k) // 8, k)
+        out[k : k + 8 * len(part) : 8] = part
+    return out[: len(buf) + 1]
+
+
+class Strings:
+    """Substrings of a buffer: their hashes, and numbers that are equal exactly for equal bytes."""
+
+    def __init__(self, buf: np.ndarray):
+        self.buf, self.eight = buf, eights(buf)
+
+    def _rounds(self, n: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Offsets 8, 16, ... and which of the strings with n bytes, up to LONG, reach beyond them."""
+        live = np.flatnonzero((n > 8) & (n <= LONG))
+        k = 8
+        while len(live):
+            yield k, live
+            k += 8
+            live = live[n[live] > k]
+
+    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A hash of the bytes [start, end), eight a round through a bijection that spreads all bits."""
+        n = end - start
+        h = mix(mix(n.astype(U64) ^ _SEED) * _CHAIN + (self.eight[start] & _MASK[np.minimum(n, 8)]))
+        for k, live in self._rounds(n):
+            h[live] = mix(h[live] * _CHAIN + (self.eight[start[live] + k] & _MASK[np.minimum(n[live] - k, 8)]))
+        for i in np.flatnonzero(n > LONG).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(self.buf[start[i] : end[i]], digest_size=8).digest(), "little")
+        return h
+
+    def same(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether n bytes from a and from b are equal."""
+        out = ((self.eight[a] ^ self.eight[b]) & _MASK[np.minimum(n, 8)]) == 0
+        for k, live in self._rounds(n):
+            out[live] &= ((self.eight[a[live] + k] ^ self.eight[b[live] + k]) & _MASK[np.minimum(n[live] - k, 8)]) == 0
+        for i in np.flatnonzero(n > LONG).tolist():
+            out[i] = a[i] == b[i] or np.array_equal(self.buf[a[i] : a[i] + n[i]], self.buf[b[i] : b[i] + n[i]])
+        return out
+
+    def ids(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A number for each string, equal for equal bytes only, and the index of the first string of each number."""
+        _, first, back = np.unique(self.hash(start, end), return_index=True, return_inverse=True)
+        n, lead = end - start, first[back]
+        fits = (n == n[lead]) & self.same(start, start[lead], np.minimum(n, n[lead]))
+        if not fits.all():  # two strings share a hash: go by the bytes
+            known: dict[bytes, int] = {}
+            back = np.array([known.setdefault(self.buf[a:b].tobytes(), len(known)) for a, b in zip(start.tolist(), end.tolist(), strict=True)], np.int64)
+            first = np.unique(back, return_index=True)[1]
+        return back, first
 
 
 def words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._kernels import Chunk, as_bytes, chunks, prefix, span
+from tidemark.llm._kernels import Chunk, Strings, as_bytes, chunks
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 CACHE = 150_000  # distinct pieces that a worker remembers
@@ -162,7 +162,7 @@ class Remembering:
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[int, int] = {}
+        self.place: dict[bytes, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -188,16 +188,16 @@ class Remembering:
         per_doc = chunk.per_doc(start)
         if not self.trim:
             end = np.minimum(np.append(start[1:], chunk.end[-1]), np.repeat(chunk.end, per_doc))
-        key, first, back = np.unique(span(prefix(buf), start, end), return_index=True, return_inverse=True)
-        if len(self.place) + len(key) > self.limit:
+        back, first = Strings(buf).ids(start, end)
+        if len(self.place) + len(first) > self.limit:
             self._clear()
-        place = self.place
-        at = [place.get(k, -1) for k in key.tolist()]
-        at = np.array(at, np.int64)
+        place, raw = self.place, buf.tobytes()
+        pieces = [raw[s:e] for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        at = np.array([place.get(x, -1) for x in pieces], np.int64)
         new = np.flatnonzero(at < 0)
         if len(new):
-            raw = buf.tobytes()
-            ids, size = self.encode([raw[s:e] for s, e in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
+            fresh = [pieces[i] for i in new.tolist()]
+            ids, size = self.encode(fresh)
             while self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate((self.flat, np.zeros(len(self.flat), np.uint32)))
             self.flat[self.used : self.used + len(ids)] = ids
@@ -205,7 +205,7 @@ class Remembering:
             self.start = np.concatenate((self.start, self.used + np.cumsum(size) - size))
             self.size = np.concatenate((self.size, size))
             self.used += len(ids)
-            place.update(zip(key[new].tolist(), at[new].tolist(), strict=True))
+            place.update(zip(fresh, at[new].tolist(), strict=True))
         ids, n = gather(self.flat, self.start, self.size, at[back])
         total = np.concatenate(([0], np.cumsum(n)))
         last = np.cumsum(per_doc)

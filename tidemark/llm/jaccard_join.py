@@ -20,6 +20,7 @@ columns are read. A set is known by a 64-bit digest and a shingle by a 64-bit ha
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from tidemark.llm._components import Forest, components
 from tidemark.llm._filter import bloom, passes
 from tidemark.llm._io import saved, shuffle_partitions
-from tidemark.llm._kernels import LOWER, U64, as_bytes, chunks, grams, mix, prefix, span, words
+from tidemark.llm._kernels import LOWER, U64, Strings, as_bytes, chunks, grams, mix, words
 
 N = 5
 MAX_COUNTERS = 1 << 26
@@ -49,7 +50,7 @@ def shingles(chunk) -> tuple[np.ndarray, np.ndarray]:
     start, end = words(buf)
     per_doc = chunk.per_doc(start)
     doc = np.repeat(np.arange(len(per_doc)), per_doc)
-    h = span(prefix(buf), start, end)
+    h = Strings(buf).hash(start, end)
     g, at = grams(h, doc, N)
     owner = doc[at]
     first = np.cumsum(per_doc) - per_doc
@@ -69,11 +70,12 @@ def shingles(chunk) -> tuple[np.ndarray, np.ndarray]:
 
 
 def digests(g: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """A 64-bit digest of each set; 0 stands for an empty one."""
-    total = np.concatenate((np.zeros(1, U64), np.cumsum(mix(g ^ U64(0xA5A5A5A5A5A5A5A5)))))
-    end = np.cumsum(n)
-    out = mix(total[end] - total[end - n] + n.astype(U64))
-    return np.where(n > 0, out | U64(1), U64(0)).astype(np.int64)
+    """A 64-bit digest of each set's sorted shingles, by BLAKE2; 0 stands for an empty one."""
+    raw, out, at = g.tobytes(), [], 0
+    for k in (8 * n).tolist():
+        out.append(hashlib.blake2b(raw[at : at + k], digest_size=8).digest() if k else b"\0" * 8)
+        at += k
+    return np.where(n > 0, np.frombuffer(b"".join(out), "<u8") | U64(1), U64(0)).astype(np.int64)
 
 
 def _slots(g: np.ndarray, counters: int) -> np.ndarray:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._kernels import SPACE, U64, as_bytes, chunks, grams, mix, prefix, span, words
+from tidemark.llm._kernels import SPACE, U64, Strings, as_bytes, chunks, grams, mix, words
 
 BUCKETS = 1 << 16
 MAX_TRUSTED = 20_000
@@ -56,11 +56,19 @@ class Text:
 
     def __init__(self, chunk):
         self.chunk, buf = chunk, chunk.buf
-        self.pre = prefix(buf)
+        self.strings = Strings(buf)
         self.start, self.end = words(buf)
         self.n_words = chunk.per_doc(self.start)
         self.doc = np.repeat(np.arange(len(self.n_words)), self.n_words)
-        self.hash = span(self.pre, self.start, self.end)
+        self.hash = self.strings.hash(self.start, self.end)
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """An exact number for each 8-word window of a text, and its first word: numbers of pairs are doubled thrice."""
+        number, _ = self.strings.ids(self.start, self.end)
+        for k in (1, 2, 4):
+            number = np.unique(number[: max(len(number) - k, 0)].astype(np.int64) << 32 | number[k:], return_inverse=True)[1]
+        at = np.flatnonzero(self.doc[: len(number)] == self.doc[7:]) if len(number) else np.zeros(0, np.int64)
+        return number[at], at
 
     def base(self) -> dict[str, np.ndarray]:
         chunk, buf = self.chunk, self.chunk.buf
@@ -71,11 +79,11 @@ class Text:
         full = solid[line_end] > solid[line_start]
         s, e = line_start[full], line_end[full]
         line_doc = np.searchsorted(chunk.end, e)
-        key = span(self.pre, s, e)
+        key, _ = self.strings.ids(s, e)
         order = np.lexsort((key, line_doc))
         d, k = line_doc[order], key[order]
         dup = (d[1:] == d[:-1]) & (k[1:] == k[:-1])
-        window, at = grams(self.hash, self.doc, 8)
+        window, at = self.windows()
         cover = np.zeros(len(self.hash) + 8, np.int64)
         hit = at[_repeated(self.doc[at], window)] if len(at) else at
         np.add.at(cover, hit, 1)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._filter import bloom, passes
 from tidemark.llm._io import saved, shuffle_partitions
-from tidemark.llm._kernels import U64, as_bytes, chunks, mix, prefix, span
+from tidemark.llm._kernels import U64, as_bytes, chunks, eights, mix
 
 LENGTH = 400
 K = 32  # bytes that a place's hash covers
@@ -44,24 +44,48 @@ PIECE = 96  # longer runs are cut
 PARTS = 1024  # into which a task deals its rows, at least
 HELD = 150_000  # entries that a task sorts before it sends them on
 OFTEN = 32  # runs of one inner rank in a task from which it is dealt by the outer rank too
-#: c: inner rank, o: outer rank, d: digest of the text, s and n: first start and number of starts, f: flags.
-ENTRY = np.dtype([("c", "<u8"), ("o", "<u8"), ("d", "<i8"), ("s", "<u4"), ("n", "u1"), ("f", "u1")])
+#: 96 bits of a text's digest.
+DIGEST = np.dtype([("d", "<i8"), ("e", "<u4")])
+#: c: inner rank, o: outer rank, d and e: digest of the text, s and n: first start and number of starts, f: flags.
+ENTRY = np.dtype([("c", "<u8"), ("o", "<u8"), ("d", "<i8"), ("e", "<u4"), ("s", "<u4"), ("n", "u1"), ("f", "u1")])
 MULTI, HOT, MARKER, DECIDED = 1, 2, 4, 8
 #: A decision on n starts from s: repeated, open (to be ranked one by one), or only a reference for open ones.
-VERDICT = np.dtype([("d", "<i8"), ("s", "<u4"), ("n", "u1"), ("k", "u1")])
+VERDICT = np.dtype([("d", "<i8"), ("e", "<u4"), ("s", "<u4"), ("n", "u1"), ("k", "u1")])
 REPEATED, OPEN, REFERENCE = 0, 1, 2
-#: h: rank of one start's LENGTH bytes.
-START = np.dtype([("h", "<u8"), ("d", "<i8"), ("s", "<u4"), ("f", "u1")])
+#: h and g: ranks of the two halves of one start's LENGTH bytes.
+START = np.dtype([("h", "<u8"), ("g", "<u8"), ("d", "<i8"), ("e", "<u4"), ("s", "<u4"), ("f", "u1")])
 DEALT = "part int, data binary"
+_C = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93), U64(0xC2B2AE3D27D4EB4F)
 
 
-def least_places(buf: np.ndarray, pre: np.ndarray, window: int) -> np.ndarray:
+def blocks(buf: np.ndarray) -> np.ndarray:
+    """A hash of the K = 32 bytes from each place on, doubled from 8 by way of 16."""
+    n = len(buf)
+    if n < K:
+        return np.zeros(0, U64)
+    eight = eights(buf)
+    sixteen = mix(eight[: n - 15] * _C[0] + eight[8 : n - 7])
+    return mix(sixteen[: n - 31] * _C[1] + sixteen[16:])
+
+
+def fingerprint(block: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of the bytes [start, end), K at least: their blocks one after the other, the last one at the end."""
+    n = end - start
+    h = mix(n.astype(U64) ^ (U64(seed) * _C[2]))
+    live, k = np.arange(len(n)), 0
+    while len(live):
+        h[live] = mix(h[live] * _C[0] + block[start[live] + k])
+        k += K
+        live = live[n[live] >= k + K]
+    return mix(h * _C[1] + block[end - K])
+
+
+def least_places(block: np.ndarray, window: int) -> np.ndarray:
     """For each place p: where in [p, p + window) the hash of K bytes is least (the last of equals)."""
-    n = len(buf) - K + 1
+    n = len(block)
     if n < window:
         return np.zeros(0, np.int64)
-    at = np.arange(n)
-    key = span(pre, at, at + K) >> U64(32) << U64(32) | (U64(0xFFFFFFFF) - at.astype(U64))
+    key = block >> U64(32) << U64(32) | (U64(0xFFFFFFFF) - np.arange(n).astype(U64))
     size = 1
     while 2 * size <= window:
         key = np.minimum(key[:-size], key[size:])
@@ -71,18 +95,20 @@ def least_places(buf: np.ndarray, pre: np.ndarray, window: int) -> np.ndarray:
     return (U64(0xFFFFFFFF) - (key & U64(0xFFFFFFFF))).astype(np.int64)
 
 
-def digests(chunk, pre: np.ndarray) -> np.ndarray:
-    return (span(pre, chunk.start, chunk.end) | U64(1)).astype(np.int64)
+def digests(chunk) -> tuple[list[bytes], np.ndarray]:
+    """Digests of the texts, as bytes and as numbers."""
+    raw = [hashlib.blake2b(x, digest_size=DIGEST.itemsize).digest() for x in chunk.texts]
+    return raw, np.frombuffer(b"".join(raw), DIGEST)
 
 
-def runs(chunk, pre: np.ndarray, digest: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+def runs(chunk, digest: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Entries of all starts in the wanted texts of a chunk."""
     size = np.where(wanted, np.maximum(chunk.end - chunk.start - LENGTH + 1, 0), 0)
     doc = np.flatnonzero(size)
     if not len(doc):
         return np.zeros(0, ENTRY)
-    buf = chunk.buf
-    place, near = least_places(buf, pre, WINDOW), least_places(buf, pre, NEAR)
+    block = blocks(chunk.buf)
+    place, near = least_places(block, WINDOW), least_places(block, NEAR)
     n = size[doc]
     ends = np.cumsum(n)
     p = np.arange(ends[-1]) + np.repeat(chunk.start[doc] - (ends - n), n)
@@ -97,11 +123,10 @@ def runs(chunk, pre: np.ndarray, digest: np.ndarray, wanted: np.ndarray) -> np.n
     left = np.where(first - NEAR >= start, near[np.maximum(first - NEAR, 0)], start)
     right = np.where(last + LENGTH + NEAR <= end, near[np.minimum(last + LENGTH - K + 1, len(near) - 1)] + K, end)
     out = np.zeros(len(at), ENTRY)
-    out["c"] = mix(span(pre, a[at], b[at] + K) + step[at].astype(U64))
-    second = prefix(buf, 1)
+    out["c"] = mix(fingerprint(block, a[at], b[at] + K, 1) + step[at].astype(U64))
     # where the run lies in its outer string belongs to the outer rank, and so does its length
-    out["o"] = mix(mix(span(second, left, right, 1) + (first - left).astype(U64)) + (last - first).astype(U64))
-    out["d"], out["s"], out["n"] = digest[doc], first - start, last - first + 1
+    out["o"] = mix(mix(fingerprint(block, left, right, 2) + (first - left).astype(U64)) + (last - first).astype(U64))
+    out["d"], out["e"], out["s"], out["n"] = digest["d"][doc], digest["e"][doc], first - start, last - first + 1
     return out
 
 
@@ -178,7 +203,7 @@ def decide(entries: np.ndarray) -> np.ndarray:
 
 def _verdicts(entries: np.ndarray, kind: int) -> np.ndarray:
     out = np.zeros(len(entries), VERDICT)
-    out["d"], out["s"], out["n"], out["k"] = entries["d"], entries["s"], entries["n"], kind
+    out["d"], out["e"], out["s"], out["n"], out["k"] = entries["d"], entries["e"], entries["s"], entries["n"], kind
     return out
 
 
@@ -187,27 +212,26 @@ def _by_text(dealt: DataFrame) -> DataFrame:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _gathered(batches, VERDICT)
-        v = v[np.lexsort((v["k"], v["s"], v["d"]))]
-        group, size = _groups(v["d"])
+        v = v[np.lexsort((v["k"], v["s"], v["e"], v["d"]))]
+        group, size = _groups(v["d"], v["e"])
         cut = np.concatenate(([0], np.cumsum(size)))
         for lo in range(0, len(size), 5000):
             rows = [v[cut[i] : cut[i + 1]] for i in range(lo, min(lo + 5000, len(size)))]
             sure = [x[x["k"] == REPEATED] for x in rows]
             todo = [x[x["k"] != REPEATED] for x in rows]
-            yield pa.record_batch([pa.array([int(x["d"][0]) for x in rows], pa.int64()), pa.array([x.tobytes() if len(x) else None for x in sure], pa.binary()), pa.array([x.tobytes() if len(x) else None for x in todo], pa.binary())], names=["digest", "sure", "todo"])
+            yield pa.record_batch([pa.array([x[["d", "e"]][:1].astype(DIGEST).tobytes() for x in rows], pa.binary()), pa.array([x.tobytes() if len(x) else None for x in sure], pa.binary()), pa.array([x.tobytes() if len(x) else None for x in todo], pa.binary())], names=["digest", "sure", "todo"])
 
-    return dealt.repartition(shuffle_partitions(dealt.sparkSession), "part").mapInArrow(gather, "digest long, sure binary, todo binary")
+    return dealt.repartition(shuffle_partitions(dealt.sparkSession), "part").mapInArrow(gather, "digest binary, sure binary, todo binary")
 
 
 def _ranked_runs(docs: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         held, size = [], 0
         for batch in batches:
             for chunk in chunks(as_bytes(batch.column(0))):
-                pre = prefix(chunk.buf)
-                digest = digests(chunk, pre)
-                e = runs(chunk, pre, digest, _fresh(digest, seen))
+                raw, digest = digests(chunk)
+                e = runs(chunk, digest, _fresh(raw, seen))
                 held.append(e)
                 size += len(e)
                 if size > HELD:
@@ -224,12 +248,12 @@ def _ranked_runs(docs: DataFrame, parts: int) -> DataFrame:
     return dealt.repartition(shuffle_partitions(docs.sparkSession), "part").mapInArrow(join, DEALT)
 
 
-def _fresh(digest: np.ndarray, seen: set[int], limit: int = 2_000_000) -> np.ndarray:
+def _fresh(digest: list[bytes], seen: set[bytes], limit: int = 500_000) -> np.ndarray:
     """Texts that a task meets for the first time. It may forget some, which then rank as repeats, as they are."""
     if len(seen) > limit:
         seen.clear()
     out = np.zeros(len(digest), bool)
-    for i, x in enumerate(digest.tolist()):
+    for i, x in enumerate(digest):
         if x not in seen:
             seen.add(x)
             out[i] = True
@@ -240,18 +264,18 @@ def _texts(docs: DataFrame, wanted, once: bool) -> DataFrame:
     """Rows of docs(head, text) whose digest is in the filter: head, digest, text; each text once a task if once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in batches:
             for chunk in chunks(as_bytes(batch.column(1))):
-                digest = digests(chunk, prefix(chunk.buf))
-                keep = passes(wanted.value, pa.array(digest)) & (chunk.end - chunk.start >= LENGTH)
+                raw, digest = digests(chunk)
+                keep = passes(wanted.value, pa.array(digest["d"])) & (chunk.end - chunk.start >= LENGTH)
                 if once:
-                    keep &= _fresh(digest, seen)
+                    keep &= _fresh(raw, seen)
                 if keep.any():
                     rows = batch.slice(chunk.lo, chunk.hi - chunk.lo).filter(pa.array(keep))
-                    yield pa.record_batch([rows.column(0), pa.array(digest[keep]), rows.column(1)], names=["head", "digest", "text"])
+                    yield pa.record_batch([rows.column(0), pa.array([raw[i] for i in np.flatnonzero(keep).tolist()], pa.binary()), rows.column(1)], names=["head", "digest", "text"])
 
-    return docs.mapInArrow(run, f"head {docs.schema['head'].dataType.simpleString()}, digest long, text string")
+    return docs.mapInArrow(run, f"head {docs.schema['head'].dataType.simpleString()}, digest binary, text string")
 
 
 def _ranked_starts(docs: DataFrame, decided: DataFrame, parts: int) -> DataFrame:
@@ -260,8 +284,8 @@ def _ranked_starts(docs: DataFrame, decided: DataFrame, parts: int) -> DataFrame
     rows = _texts(docs, bloom(todo, "digest"), once=True).select("digest", "text").join(todo.hint("merge"), "digest").select("digest", "text", "todo")
 
     def thin(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rows = rows[np.argsort(rows["h"], kind="stable")]
-        group, size = _groups(rows["h"])
+        rows = rows[np.lexsort((rows["g"], rows["h"]))]
+        group, size = _groups(rows["h"], rows["g"])
         lead = np.concatenate(([True], group[1:] != group[:-1])) if len(group) else np.zeros(0, bool)
         twice = size[group] > 1
         done, on = rows[twice & ~lead].copy(), rows[lead].copy()
@@ -276,7 +300,7 @@ def _ranked_starts(docs: DataFrame, decided: DataFrame, parts: int) -> DataFrame
             todo_of = batch.column(2).to_pylist()
             digest = batch.column(0).to_pylist()
             for chunk in chunks(as_bytes(batch.column(1))):
-                pre = prefix(chunk.buf)
+                block = blocks(chunk.buf)
                 for i in range(chunk.hi - chunk.lo):
                     v = np.frombuffer(todo_of[chunk.lo + i], VERDICT)
                     n = v["n"].astype(np.int64)
@@ -284,7 +308,8 @@ def _ranked_starts(docs: DataFrame, decided: DataFrame, parts: int) -> DataFrame
                     at = np.arange(ends[-1]) + np.repeat(v["s"].astype(np.int64) - (ends - n), n)
                     out = np.zeros(len(at), START)
                     base = chunk.start[i] + at
-                    out["h"], out["d"], out["s"] = span(pre, base, base + LENGTH), digest[chunk.lo + i], at
+                    out["h"], out["g"] = (fingerprint(block, x, x + LENGTH // 2, 3) for x in (base, base + LENGTH // 2))
+                    out["d"], out["e"], out["s"] = *np.frombuffer(digest[chunk.lo + i], DIGEST)[0].tolist(), at
                     out["f"] = np.repeat(np.where(v["k"] == REFERENCE, MARKER, 0).astype(np.uint8), n)
                     # a start may be both open and a reference: open comes first
                     out = out[np.lexsort((out["f"], at))]
@@ -301,13 +326,13 @@ def _ranked_starts(docs: DataFrame, decided: DataFrame, parts: int) -> DataFrame
         e = _gathered(batches, START)
         done = e[e["f"] & DECIDED > 0]
         x = e[e["f"] & DECIDED == 0]
-        x = x[np.argsort(x["h"], kind="stable")]
-        group, size = _groups(x["h"])
+        x = x[np.lexsort((x["g"], x["h"]))]
+        group, size = _groups(x["h"], x["g"])
         if len(x):
             x = x[((size[group] > 1) | (np.bincount(group, x["f"] & MULTI)[group] > 0)) & (x["f"] & MARKER == 0)]
         x = np.concatenate((done, x))
         v = np.zeros(len(x), VERDICT)
-        v["d"], v["s"], v["n"], v["k"] = x["d"], x["s"], 1, REPEATED
+        v["d"], v["e"], v["s"], v["n"], v["k"] = x["d"], x["e"], x["s"], 1, REPEATED
         yield _deal(v, v["d"], parts)
 
     dealt = rows.mapInArrow(rank, DEALT)
@@ -356,10 +381,10 @@ def _cut(docs: DataFrame, kept_text: bool) -> DataFrame:
     def list_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(as_bytes(batch.column(0))):
-                yield pa.record_batch([pa.array(digests(chunk, prefix(chunk.buf)))], names=["digest"])
+                yield pa.record_batch([pa.array(digests(chunk)[0], pa.binary())], names=["digest"])
 
     long = docs.select("text").where(F.octet_length("text") >= LENGTH)
-    copies = long.mapInArrow(list_digests, "digest long").groupBy("digest").count().where("count > 1").select("digest", F.lit(True).alias("whole"))
+    copies = long.mapInArrow(list_digests, "digest binary").groupBy("digest").count().where("count > 1").select("digest", F.lit(True).alias("whole"))
     decided = first.where("sure is not null").select("digest", F.col("sure").alias("a")).join(second.select("digest", F.col("sure").alias("b")), "digest", "full").join(copies, "digest", "full")
     decided = saved(decided.select("digest", F.when(F.col("whole"), None).otherwise(F.col("a")).alias("a"), F.when(F.col("whole"), None).otherwise(F.col("b")).alias("b"), F.coalesce("whole", F.lit(False)).alias("whole")), "decided")
     wanted = bloom(decided, "digest")
@@ -379,7 +404,7 @@ def _cut(docs: DataFrame, kept_text: bool) -> DataFrame:
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(as_bytes(batch.column(1))):
-                maybe = passes(wanted.value, pa.array(digests(chunk, prefix(chunk.buf)))) & (chunk.end - chunk.start >= LENGTH)
+                maybe = passes(wanted.value, pa.array(digests(chunk)[1]["d"])) & (chunk.end - chunk.start >= LENGTH)
                 own = np.flatnonzero(~maybe).tolist()
                 yield row(batch.column(0).take(pa.array([chunk.lo + i for i in own], pa.int64())), [chunk.texts[i] for i in own], [[] for _ in own])
 
