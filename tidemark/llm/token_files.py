@@ -19,7 +19,6 @@ no file rows; only the named columns are read, so other columns can't clash.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -32,14 +31,18 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._io import shuffle_partitions
 from tidemark.llm._kernels import as_bytes, chunks
-from tidemark.llm.bpe import Remembering
+from tidemark.llm.bpe import Remembering, gather
 
 FILE_SCHEMA = "part int, block int, before long, documents long, ids long, payload binary"
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
+CACHE = 900_000  # distinct pieces that a worker remembers, some 200 bytes each
 WORD_END = "</w>"
-#: A word of letters that keep their number in lower case, with or without a run of marks: one or two word ends.
-PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+([.,!?;:%*#&$|]+)?")
-GROUP = 200  # words in one text for the library
+#: Bytes of plain words: 1 for letters, 2 for marks. Letters are A-Z, a-z and those of Latin-1, which keep their number in
+#: lower case and in NFC.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[list(b".,!?;:%*#&$|")] = 2
+GROUP = 400  # words in one text for the library
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 
 
@@ -95,49 +98,74 @@ def unpack(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 _encoders: dict[str, Remembering] = {}
 
 
+def plain_words(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray]:
+    """Which pieces are letters with or without a run of marks after them, how many words each of those is (1 or 2), and these
+    words, each with a blank after it, with the place where each piece begins and the end."""
+    size = np.array([len(x) + 1 for x in pieces], np.int64)
+    end = np.cumsum(size)
+    flat = np.frombuffer(b" ".join(pieces) + b" ", np.uint8)
+    kind = _KIND[flat]
+    wide = np.flatnonzero((flat[:-1] == 0xC3) & ((flat[1:] & 0xC0) == 0x80) & (flat[1:] != 0x97) & (flat[1:] != 0xB7))
+    kind[wide] = kind[wide + 1] = 1
+    kind[end - 1] = 3
+    wrong = kind == 0
+    wrong[1:] |= (kind[1:] == 1) & (kind[:-1] == 2)
+    total = np.concatenate(([0], np.cumsum(wrong)))
+    plain = (total[end] == total[end - size]) & (kind[end - size] == 1)
+    on = np.repeat(plain, size)
+    flat, kind, size = flat[on], kind[on], size[plain]
+    turn = np.flatnonzero((kind[1:] == 2) & (kind[:-1] == 1)) + 1
+    last = np.cumsum(size)
+    parts = 1 + (kind[last - 2] == 2)
+    return np.flatnonzero(plain), parts, np.insert(flat, turn, 32).tobytes(), np.concatenate(([0], np.cumsum(size + parts - 1)))
+
+
 def _encoder(path: str) -> Remembering:
-    """Plain words go to the tokenizers library many in a text, and their ids are parted at the tokens that end a word;
-    a group with another number of word ends than its words have, and all other pieces, go one by one."""
+    """Plain words go to the tokenizers library in lower case, many in a text that is parted at blanks, and their ids are parted at
+    the tokens that end a word; a group with another number of word ends than its words have, and all other pieces, go one by one."""
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        tokenizer, simple = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for x in (tokenizer, simple):
+            x.no_truncation()
+            x.no_padding()
+        simple.normalizer = None
+        simple.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = tokenizer.get_vocab(with_added_tokens=True)
         ends = np.zeros(max(vocab.values()) + 1, bool)
         ends[[i for token, i in vocab.items() if token.endswith(WORD_END)]] = True
 
-        def singly(texts: list[str]) -> list[np.ndarray]:
-            return [np.array(x.ids, np.int64) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
         def encode(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-            texts = [p.decode("utf-8", "replace") for p in pieces]
-            out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
-            plain, parts, other = [], [], []
-            for i, text in enumerate(texts):
-                if m := PLAIN.fullmatch(text):
-                    plain.append(i)
-                    parts.append(2 if m[1] else 1)
-                else:
-                    other.append(i)
-            groups = [plain[k : k + GROUP] for k in range(0, len(plain), GROUP)]
-            for k, (group, encoding) in enumerate(zip(groups, tokenizer.encode_batch_fast([" ".join(texts[i] for i in g) for g in groups], add_special_tokens=False), strict=True)):
-                ids = np.array(encoding.ids, np.int64)
-                end = np.flatnonzero(ends[ids]) + 1
-                last = np.cumsum(parts[k * GROUP : (k + 1) * GROUP]) - 1
-                if len(end) != last[-1] + 1 or end[-1] != len(ids):
-                    other += group
+            plain, parts, raw, begin = plain_words(pieces)
+            size, ids = np.zeros(len(pieces), np.int64), []
+            order, other = [], [np.setdiff1d(np.arange(len(pieces)), plain, assume_unique=True)]
+            lows = range(0, len(plain), GROUP)
+            texts = [raw[begin[k] : begin[min(k + GROUP, len(plain))]].decode().lower() for k in lows]
+            for k, encoding in zip(lows, simple.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                group, found = plain[k : k + GROUP], np.array(encoding.ids, np.int64)
+                end = np.flatnonzero(ends[found]) + 1
+                last = np.cumsum(parts[k : k + GROUP]) - 1
+                if len(end) != last[-1] + 1 or end[-1] != len(found):
+                    other.append(group)
                     continue
-                cut = end[last].tolist()
-                for i, x, y in zip(group, [0, *cut], cut):
-                    out[i] = ids[x:y]
-            for i, ids in zip(other, singly([texts[i] for i in other]), strict=True):
-                out[i] = ids
-            return np.concatenate(out) if out else np.zeros(0, np.int64), np.array([len(x) for x in out], np.int64)
-
-        _encoders[path] = Remembering(encode, limit=400_000, trim=True)
+                size[group] = np.diff(end[last], prepend=0)
+                ids.append(found)
+                order.append(group)
+            single = np.concatenate(other)
+            for i, encoding in zip(single.tolist(), tokenizer.encode_batch_fast([pieces[i].decode("utf-8", "replace") for i in single.tolist()], add_special_tokens=False), strict=True):
+                size[i] = len(encoding.ids)
+                ids.append(np.array(encoding.ids, np.int64))
+            if not ids:
+                return np.zeros(0, np.int64), size
+            order = np.concatenate((*order, single))
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            laid = size[order]
+            return gather(np.concatenate(ids), np.cumsum(laid) - laid, laid, place)[0], size
+
+        _encoders[path] = Remembering(encode, limit=CACHE, trim=True)
     return _encoders[path]
 
 
@@ -153,7 +181,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, partit
         texts = _encoder(tokenizer_path)
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for chunk in chunks(as_bytes(batch.column(1))):
+            for chunk in chunks(as_bytes(batch.column(1)), 1 << 21):
                 ids, n = texts.ids(chunk)
                 ids = np.insert(ids, np.cumsum(n), end_id)
                 payload = pack(names[chunk.lo : chunk.hi], n + 1, ids)
