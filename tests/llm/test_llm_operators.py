@@ -387,6 +387,40 @@ def test_decontamination_equals_brute_force(monkeypatch, shared):
     assert {x[:3] for x in matcher.find([t.encode() for t in texts])} == want
 
 
+def test_decontamination_recall_in_running_text_and_on_long_items():
+    """At the edit limit: items of a script without blanks in running text, and long items with edits near their start or even."""
+    rng = random.Random(21)
+    signs = [chr(c) for c in range(0x4E00, 0x4F00)]
+    running = lambda n: "".join(rng.choice(signs) for _ in range(n))
+    items = [running(rng.randrange(30, 200)) for _ in range(20)] + [prose(4000 + i, 120)[:670].strip() for i in range(20)] + [prose(4100 + i, 900)[:5000].strip() for i in range(4)]
+    texts, want = [], set()
+    for k, item in enumerate(items):
+        for how in ("none", "near", "even"):
+            size = min(int(0.08 * len(item.encode())), (len(item.encode()) - 10) // 10)
+            x = list(item)
+            for _ in range(0 if how == "none" else size // (3 if k < 20 else 1)):
+                at = rng.randrange(min(len(x), 40 if k < 20 else 120) if how == "near" else len(x))
+                x[at] = rng.choice(signs if k < 20 else list("#@%&"))
+            want.add((len(texts), k))
+            texts.append(running(99) + "".join(x) + running(99) if k < 20 else prose(k, 50) + "".join(x) + prose(k + 1, 50))
+    matcher = decontaminate.Matcher(list(enumerate(items)))
+    got = {(d, matcher.ids[i]) for d, i, _, _ in matcher.find([t.encode() for t in texts])}
+    for of in (range(60), range(60, 120), range(120, 132)):
+        mine = {p for p in want if p[0] in of}
+        assert len(mine & got) >= 0.9 * len(mine)
+    assert got <= want
+
+
+def test_latin_folding_equals_unicode():
+    import unicodedata
+
+    for c in range(0x100):
+        for text in (chr(c), "a" + chr(c) + "é"):
+            want = unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).casefold()).encode()
+            raw = np.frombuffer(decontaminate.folded(text.encode()), np.uint8)
+            assert decontaminate.normalised(decontaminate.latin(raw))[0].tobytes() == bytes(want.translate(bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")))
+
+
 def test_decontamination_ignores_unicode_case():
     import unicodedata
 
