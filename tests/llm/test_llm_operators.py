@@ -285,6 +285,59 @@ def test_toxicity_learns_and_survives_edges(spark):
     assert toxicity.score(d, none).count() == 410
 
 
+def test_toxicity_model_equals_brute_force(spark):
+    rng, texts = random.Random(8), []
+    common, bad = [f"w{i}" for i in range(40)], ["scum", "vile"]
+    for i in range(300):
+        w = rng.choices(common, k=25)
+        if i % 3 == 0:
+            w[4:6] = ["w1", "w2"]  # a pair that only one class has often
+            w[rng.randrange(6, 25)] = rng.choice(bad)
+        texts.append(" ".join(w))
+    toxic = [int(i % 3 == 0) for i in range(300)]
+    model = toxicity.fit(docs(spark, texts), spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int"))
+
+    train = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5 > 1]
+    seqs = {i: ["<s>", *texts[i].split()] for i in train}
+    word = [collections.Counter(w for i in train if toxic[i] == c for w in set(seqs[i][1:])) for c in (0, 1)]
+    pair = [collections.Counter(p for i in train if toxic[i] == c for p in set(zip(seqs[i], seqs[i][1:], strict=False))) for c in (0, 1)]
+    share = sum(len(texts[i]) for i in train if toxic[i]) / sum(len(texts[i]) for i in train)
+
+    def gated(n0, n1):
+        return abs(n1 - (n0 + n1) * share) >= toxicity.GATE * ((n0 + n1) * share * (1 - share)) ** 0.5
+
+    def d(counter):
+        one, two = (sum(v == k for v in counter.values()) for k in (1, 2))
+        return one / (one + 2 * two) if one else 0.5
+
+    every = set(pair[0]) | set(pair[1])
+    before = collections.Counter(w for _, w in every)
+    total = [sum(word[c].values()) for c in (0, 1)]
+
+    def low(c, w):
+        s = before[w] / len(every)
+        if gated(word[0][w], word[1][w]):
+            return max(word[c][w] - d(word[c]), 0) / total[c] + d(word[c]) * len(word[c]) / total[c] * s
+        return max(max(word[0][w] + word[1][w] - d(word[0]) - d(word[1]), 0), s) / sum(total)
+
+    def log(c, u, w):
+        after = {p: n for p, n in pair[c].items() if p[0] == u}
+        if not after:
+            return np.log(low(c, w))
+        n = sum(after.values())
+        return np.log(max(pair[c][u, w] - d(pair[c]), 0) / n + min(d(pair[c]) * len(after) / n, 1) * low(c, w))
+
+    seen = set()
+    for i in train[:60]:
+        h, u, _ = toxicity.pairs(next(toxicity.chunks([texts[i].encode()])))
+        for (a, b), x in zip(zip(seqs[i], seqs[i][1:], strict=False), model.difference(h, u).tolist(), strict=True):
+            on = gated(pair[0][a, b], pair[1][a, b])
+            want = log(1, a, b) - log(0, a, b) if on else np.log(low(1, b) / low(0, b)) if gated(word[0][b], word[1][b]) else 0
+            seen.add((on, want != 0))
+            assert abs(x - np.clip(want, -toxicity.CLIP, toxicity.CLIP)) < 1e-9
+    assert seen == {(True, True), (False, True), (False, False)}
+
+
 def test_toxicity_keeps_words_apart_that_share_17_bits(spark):
     many = [f"w{i}" for i in range(1_300_000)]
     h, _, _ = toxicity.pairs(next(toxicity.chunks([" ".join(many).encode()])))
