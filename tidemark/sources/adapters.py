@@ -11,11 +11,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """symbol, session, open, high, low, close, volume: one row a supplier and shipping day."""
+    """symbol, session, open, high, low, close, volume: one row a supplier and shipping day.
+
+    The order of lines within a day is packed into one long, so that all aggregates are of fixed width (a hash aggregate, no
+    sort). Rows are dealt by symbol once: the aggregate and all windows by symbol use that one exchange.
+    """
     px = F.col("l_extendedprice") / F.col("l_quantity")
-    order = F.struct("l_orderkey", "l_linenumber", "l_partkey")
+    order = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * F.lit(1 << 27) + F.col("l_partkey") % (1 << 27)
     rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"), F.to_date("l_shipdate").alias("session"), px.alias("px"), order.alias("o"), "l_quantity")
-    return rows.groupBy("symbol", "session").agg(F.min_by("px", "o").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", "o").alias("close"), F.sum("l_quantity").alias("volume"))
+    return rows.repartition("symbol").groupBy("symbol", "session").agg(F.min_by("px", "o").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", "o").alias("close"), F.sum("l_quantity").alias("volume"))
 
 
 BARS = """line as (
@@ -71,6 +75,28 @@ POSTS = """posts as (
          ((event_id * 37) % 201) / 100.0 - 1.0 as polarity from events)"""
 
 
+def rich_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """posts with facts on the author (null: unknown), kind, community and a text."""
+    author, post = F.col("author"), F.col("post_id")
+    phrases = F.array(*(F.lit(x) for x in PHRASES))
+    return posts(spark, sf_dir).withColumns({
+        "author_age_days": F.when(author % 7 != 0, ((author * 17) % 900).cast("double")),
+        "author_karma": F.when((author % 5 != 0) & (author % 7 != 0), ((author * 31) % 2000).cast("double")),
+        "author_followers": F.when(author % 7 != 0, ((author * 13) % 5000).cast("double")),
+        "community": F.concat(F.lit("c"), (author % 6).cast("string")),
+        "kind": F.when(author % 7 == 0, "news").otherwise("social"),
+        "text": F.concat(F.element_at(phrases, (post % 5 + 1).cast("int")), F.lit(" note "), ((post * 7) % 60).cast("string")),
+    })
+
+
+PHRASES = ("rocket to the moon now", "steady quarter and guidance raised", "buy before the squeeze", "quiet day for holders today", "chart shows a wide base")
+RICH = f"""rich as (select *, case when author % 7 <> 0 then cast((author * 17) % 900 as double) end as author_age_days,
+  case when author % 5 <> 0 and author % 7 <> 0 then cast((author * 31) % 2000 as double) end as author_karma,
+  case when author % 7 <> 0 then cast((author * 13) % 5000 as double) end as author_followers, concat('c', author % 6) as community,
+  case when author % 7 = 0 then 'news' else 'social' end as kind,
+  concat({list(PHRASES)}[post_id % 5 + 1], ' note ', (post_id * 7) % 60) as text from posts)"""
+
+
 def earnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, report_date, as_of (when it became known), confirmed, surprise_pct: one row an order."""
     o = table(spark, sf_dir, "orders")
