@@ -46,41 +46,49 @@ def breakout(bars: DataFrame, n: int = 20, volume_factor: float = 1.5) -> DataFr
     return b.withColumn("breakout", F.coalesce((F.col("close") > F.col("level")) & (F.col("volume") > volume_factor * F.col("usual_volume")), F.lit(False)))
 
 
-def numbered(bars: DataFrame) -> DataFrame:
-    return bars.withColumn("rn", F.row_number().over(by_symbol()))
+def first_within(bars: DataFrame, event: Column, level: Column, ahead: tuple[int, int], columns: tuple[str, ...], holds, name: str) -> DataFrame:
+    """bars with a flag on the first row, from ahead[0] to ahead[1] rows after an event, where holds(row, level of the event).
 
+    Row r is such a row for the event k rows before it, if none of the rows between holds: lags in the one window by symbol, no join.
+    """
+    low, high = ahead
+    b = bars.withColumn("_event", F.coalesce(event, F.lit(False))).withColumn("_level", level)
+    b = b.withColumns({f"_{c}_{k}": lag(c, k) for c in (*columns, "_event", "_level") for k in range(1, high + 1)})
 
-def first_within(events: DataFrame, rows: DataFrame, ahead: tuple[int, int], holds: Column, name: str) -> DataFrame:
-    """rows with a flag on the first row, from ahead[0] to ahead[1] rows after an event, where holds(e.*, r.*).
+    def at(k: int) -> dict[str, Column]:
+        return {c: F.col(f"_{c}_{k}") if k else F.col(c) for c in (*columns, "_event", "_level")}
 
-    Each event is joined to its few target rows by equality of symbol and row number.
-    """
-    targets = events.withColumn("target", F.explode(F.sequence(F.col("rn") + ahead[0], F.col("rn") + ahead[1])))
-    r = rows.select("symbol", F.col("rn").alias("target"), *(F.col(c).alias(f"r_{c}") for c in ("open", "high", "low", "close", "prev_close")))
-    hits = targets.join(r, ["symbol", "target"]).where(holds).groupBy("symbol", "rn").agg(F.min("target").alias("target"))
-    flags = hits.select("symbol", F.col("target").alias("rn")).distinct().withColumn(name, F.lit(True))
-    return rows.join(flags, ["symbol", "rn"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    flag = F.lit(False)
+    for k in range(low, high + 1):
+        then = at(k)
+        hit = F.coalesce(then["_event"], F.lit(False)) & F.coalesce(holds(at(0), then["_level"]), F.lit(False))
+        for j in range(1, k - low + 1):
+            hit = hit & ~F.coalesce(holds(at(j), then["_level"]), F.lit(False))
+        flag = flag | hit
+    return b.withColumn(name, flag).drop(*(c for c in b.columns if c.startswith("_")))
 
 
 def failed_breakout(bars: DataFrame, ahead: int = 5) -> DataFrame:
     """Flag on the first close below the broken level within `ahead` rows."""
-    b = numbered(breakout(bars)).withColumn("prev_close", lag("close"))
-    events = b.where("breakout").select("symbol", "rn", "level")
-    return first_within(events, b, (1, ahead), F.col("r_close") < F.col("level"), "failed_breakout")
+    return first_within(breakout(bars), F.col("breakout"), F.col("level"), (1, ahead), ("close",), lambda r, level: r["close"] < level, "failed_breakout")
 
 
 def gap_fill(bars: DataFrame, ahead: int = 10) -> DataFrame:
     """gap_pct, and gap_filled on the first row, 0 to `ahead` later, whose range covers the close before the gap."""
-    b = numbered(bars).withColumn("prev_close", lag("close")).withColumn("gap_pct", ratio(F.col("open") - F.col("prev_close"), F.col("prev_close")) * 100)
-    events = b.where("gap_pct <> 0").select("symbol", "rn", F.col("prev_close").alias("level"))
-    return first_within(events, b, (0, ahead), (F.col("r_low") <= F.col("level")) & (F.col("level") <= F.col("r_high")), "gap_filled")
-
-
-def gap_continuation(bars: DataFrame, ahead: int = 3) -> DataFrame:
-    """Upward: within `ahead` rows after a breakout, an open above the level with an upward gap."""
-    b = numbered(breakout(bars)).withColumn("prev_close", lag("close"))
-    events = b.where("breakout").select("symbol", "rn", "level")
-    return first_within(events, b, (1, ahead), (F.col("r_open") > F.col("level")) & (F.col("r_open") > F.col("r_prev_close")), "gap_continuation")
+    b = bars.withColumn("prev_close", lag("close")).withColumn("gap_pct", ratio(F.col("open") - F.col("prev_close"), F.col("prev_close")) * 100)
+    return first_within(b, F.col("gap_pct") != 0, F.col("prev_close"), (0, ahead), ("low", "high"), lambda r, level: (r["low"] <= level) & (level <= r["high"]), "gap_filled")
+
+
+def gap_continuation(bars: DataFrame, up: bool = True, ahead: int = 3, n: int = 20, volume_factor: float = 1.5) -> DataFrame:
+    """Within `ahead` rows after a breakout, an open beyond the level with a gap in its direction; down: below the prior low."""
+    if up:
+        b = breakout(bars, n, volume_factor)
+    else:
+        b = bars.withColumn("level", full(F.min, "low", n, prior=True)).withColumn("usual_volume", full(F.avg, "volume", n, prior=True))
+        b = b.withColumn("breakout", F.coalesce((F.col("close") < F.col("level")) & (F.col("volume") > volume_factor * F.col("usual_volume")), F.lit(False)))
+    b = b.withColumn("prev_close", lag("close"))
+    beyond = (lambda r, level: (r["open"] > level) & (r["open"] > r["prev_close"])) if up else (lambda r, level: (r["open"] < level) & (r["open"] < r["prev_close"]))
+    return first_within(b, F.col("breakout"), F.col("level"), (1, ahead), ("open", "prev_close"), beyond, "gap_continuation")
 
 
 def pivot_points() -> dict[str, Column]:

@@ -45,10 +45,12 @@ def mention_growth(posts: DataFrame, recent: int = 2, base: int = 10, prior: flo
     return c.withColumn("growth", F.when(F.col("recent") + F.col("base") < least, 0.0).otherwise(F.least(F.lit(10.0), F.greatest(F.lit(-10.0), growth))))
 
 
-def burst(posts: DataFrame) -> DataFrame:
-    """Share of posts with at least 4 posts of the symbol within 15 minutes to either side."""
-    w = Window.partitionBy("symbol").orderBy("us").rangeBetween(-900_000_000, 900_000_000)
-    near = posts.withColumn("us", F.unix_micros(F.col("created_at").cast("timestamp"))).withColumn("near", F.count("*").over(w))
+def burst(posts: DataFrame, micros: int = 900_000_000) -> DataFrame:
+    """Share of posts with at least 4 posts of the symbol within 15 minutes to either side. Posts are copied into the 15-minute slots
+    beside their own, so that windows are partitioned by symbol and slot."""
+    w = Window.partitionBy("symbol", "slot").orderBy("us").rangeBetween(-micros, micros)
+    p = posts.withColumn("us", F.unix_micros(F.col("created_at").cast("timestamp"))).withColumn("home", F.floor(F.col("us") / micros))
+    near = p.withColumn("slot", F.explode(F.array(F.col("home") - 1, F.col("home"), F.col("home") + 1))).withColumn("near", F.count("*").over(w)).where("slot = home")
     return near.groupBy("symbol", "session").agg(F.count("*").alias("post_count"), F.avg((F.col("near") >= 4).cast("int")).alias("burst"))
 
 
@@ -59,13 +61,12 @@ def concentration(posts: DataFrame, by: str) -> DataFrame:
 
 
 def dispersion(posts: DataFrame) -> DataFrame:
-    """Weighted standard deviation in two passes, and the ratio of bullish to bearish posts."""
-    day = Window.partitionBy("symbol", "session")
-    w = posts.withColumn("decay", decay())
-    w = w.withColumn("mean", F.sum(F.col("polarity") * F.col("decay")).over(day) / F.sum("decay").over(day))
-    sd = F.sqrt(F.sum(F.col("decay") * F.pow(F.col("polarity") - F.col("mean"), 2)) / F.sum("decay"))
-    bulls, bears = F.count_if(F.col("polarity") > 0.2), F.count_if(F.col("polarity") < -0.2)
-    return w.groupBy("symbol", "session").agg(F.when(F.count("*") < 2, 0.0).otherwise(sd).alias("dispersion"), (bulls / F.greatest(F.lit(1), bears)).alias("bull_bear"))
+    """Weighted standard deviation from sums of w, w x and w x x (values lie in [-1, 1]), and the ratio of bullish to bearish posts."""
+    x, d = F.col("polarity"), F.col("decay")
+    mean = F.sum(d * x) / F.sum(d)
+    sd = F.sqrt(F.greatest(F.lit(0.0), F.sum(d * x * x) / F.sum(d) - mean * mean))
+    bulls, bears = F.count_if(x > 0.2), F.count_if(x < -0.2)
+    return posts.withColumn("decay", decay()).groupBy("symbol", "session").agg(F.when(F.count("*") < 2, 0.0).otherwise(sd).alias("dispersion"), (bulls / F.greatest(F.lit(1), bears)).alias("bull_bear"))
 
 
 def coordination(posts: DataFrame, seconds: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -82,46 +84,64 @@ def walk_forward(trades: DataFrame, train: int = 504, test: int = 126) -> DataFr
     return t.groupBy((F.col("fold") + 1).alias("fold"), "strategy").agg(F.count_if(~out).alias("in_sample"), F.count_if(out).alias("out_sample"), F.coalesce(F.avg(F.when(out, F.col("return_pct"))), F.lit(0.0)).alias("out_return"))
 
 
-def first_exit(bars: DataFrame, every: int = 50, stop: float = 0.92, target: float = 1.15, hold: int = 20) -> DataFrame:
-    """Positions and their first exit: gap stop, gap target, stop, target, time."""
-    w = Window.partitionBy("symbol").orderBy("session")
-    b = bars.withColumn("rn", F.row_number().over(w))
-    p = b.where(F.col("rn") % every == 1).select("symbol", F.col("session").alias("day"), F.col("open").alias("entry"), F.col("rn").alias("at"), F.explode(F.sequence(F.col("rn") + 1, F.col("rn") + hold)).alias("rn"))
-    j = p.join(b.select("symbol", "rn", "open", "high", "low"), ["symbol", "rn"])
-    held = F.col("rn") - F.col("at")
-    reason = F.when(F.col("open") <= F.col("entry") * stop, "gap_stop").when(F.col("open") >= F.col("entry") * target, "gap_target").when(F.col("low") <= F.col("entry") * stop, "stop").when(F.col("high") >= F.col("entry") * target, "target").when(held == hold, "time")
-    x = j.withColumn("held", held).withColumn("reason", reason).where("reason is not null")
-    return x.groupBy("symbol", "day").agg(F.min("held").alias("held"), F.min_by("reason", "held").alias("reason"))
+def first_exit(bars: DataFrame, stop: float = 0.92, target: float = 1.15, hold: int = 20) -> DataFrame:
+    """A position opened on every bar and its first exit: gap stop, gap target, stop, target, time. No row where none applies yet.
+
+    The next `hold` rows come from the one window by symbol, without a join."""
+    w = Window.partitionBy("symbol").orderBy("session").rowsBetween(1, hold)
+    p = bars.select("symbol", F.col("session").alias("day"), F.col("open").alias("entry"), F.collect_list(F.struct("open", "high", "low")).over(w).alias("ahead"))
+    entry = F.col("entry")
+
+    def reason(r: Column, i: Column) -> Column:
+        why = F.when(r["open"] <= entry * stop, "gap_stop").when(r["open"] >= entry * target, "gap_target").when(r["low"] <= entry * stop, "stop").when(r["high"] >= entry * target, "target").when(i == hold - 1, "time")
+        return F.struct((i + 1).alias("held"), why.alias("reason"))
+
+    first = F.get(F.filter(F.transform("ahead", reason), lambda x: x["reason"].isNotNull()), F.lit(0))
+    return p.select("symbol", "day", first.alias("x")).where("x is not null").select("symbol", "day", "x.held", "x.reason")
+
+
+def poisson_weights(ids: np.ndarray, resamples: int) -> np.ndarray:
+    """Poisson(1) weights of rows in resamples, from the rows' own 64-bit ids: no stream, so partitions don't matter."""
+    with np.errstate(over="ignore"):
+        h = ids.astype(np.int64).view(np.uint64)[None] + np.arange(1, resamples + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        u = ((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2**53
+    steps, total, p = [], 0.0, math.exp(-1.0)
+    for k in range(12):
+        total += p
+        steps.append(total)
+        p /= k + 1
+    return np.searchsorted(np.array(steps), u, side="right")
 
 
-def bootstrap(trades: DataFrame, resamples: int = 2000, seed: int = 20240101) -> DataFrame:
-    """Percentile interval of the mean return by the Poisson bootstrap: each partition draws weights from its own seeded
-    stream and sends on resample sums, so no group's returns are collected."""
+def bootstrap(trades: DataFrame, resamples: int = 2000) -> DataFrame:
+    """Percentile interval of the mean return by the Poisson bootstrap: a trade's weight in a resample follows from a hash of its id,
+    so another partitioning gives the same interval; each partition sends on resample sums, no group's returns."""
 
     def sums(frames):
         total: dict[str, np.ndarray] = {}
         for f in frames:
             for name, g in f.groupby("strategy"):
-                x = np.sort(g["return_pct"].to_numpy(float))
-                rng = np.random.default_rng([seed, len(x), int(abs(x.sum()) * 1000) % 2**31])
                 acc = total.setdefault(name, np.zeros((resamples + 1, 2)))
+                x, ids = g["return_pct"].to_numpy(float), g["id"].to_numpy()
                 acc[0] += (x.sum(), len(x))
                 for i in range(0, len(x), 500):
-                    part = x[i : i + 500]
-                    k = rng.poisson(1.0, (resamples, len(part)))
-                    acc[1:, 0] += k @ part
+                    k = poisson_weights(ids[i : i + 500], resamples)
+                    acc[1:, 0] += k @ x[i : i + 500]
                     acc[1:, 1] += k.sum(1)
         for name, acc in total.items():
             yield pd.DataFrame({"strategy": name, "i": np.arange(resamples + 1), "s": acc[:, 0], "n": acc[:, 1]})
 
-    parts = trades.select("strategy", "return_pct").mapInPandas(sums, "strategy string, i long, s double, n double")
+    parts = trades.select("strategy", "return_pct", F.xxhash64("trade_id").alias("id")).mapInPandas(sums, "strategy string, i long, s double, n double")
     means = parts.groupBy("strategy", "i").agg((F.sum("s") / F.sum("n")).alias("m"), F.sum("n").alias("n"))
     real = F.col("i") == 0
     return means.groupBy("strategy").agg(F.max(F.when(real, F.col("n"))).cast("long").alias("trades"), F.max(F.when(real, F.col("m"))).alias("mean"), F.percentile(F.when(~real, F.col("m")), F.lit(0.025)).alias("low"), F.percentile(F.when(~real, F.col("m")), F.lit(0.975)).alias("high"))
 
 
 def ledger(trades: DataFrame, cash: float, positions: int = 8, share: float = 0.15) -> DataFrame:
-    """Trades taken in order while cash and slots last. Sequential over a run's trades, parallel over runs."""
+    """Trades taken in order while cash and slots last. A run is one strategy in one year, with its own capital: sequential
+    over a run's trades, parallel over runs."""
 
     def kernel(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["entry_session", "trade_id"], ignore_index=True)
@@ -144,10 +164,10 @@ def ledger(trades: DataFrame, cash: float, positions: int = 8, share: float = 0.
             worth = free + sum(v for _, v in open_)
             top = max(top, worth)
             worst = min(worst, (worth - top) / top * 100)
-        return pd.DataFrame({"strategy": [key[0]], "taken": [taken], "skipped": [skipped], "final_cash": [free + sum(v for _, v in open_)], "max_drawdown_pct": [worst]})
+        return pd.DataFrame({"strategy": [key[0]], "run": [key[1]], "taken": [taken], "skipped": [skipped], "final_cash": [free + sum(v for _, v in open_)], "max_drawdown_pct": [worst]})
 
-    schema = "strategy string, taken long, skipped long, final_cash double, max_drawdown_pct double"
-    return trades.select("strategy", "trade_id", "entry_session", "exit_session", "entry_price", "exit_price", "cost").groupBy("strategy").applyInPandas(kernel, schema)
+    schema = "strategy string, run int, taken long, skipped long, final_cash double, max_drawdown_pct double"
+    return trades.select("strategy", "trade_id", "entry_session", "exit_session", "entry_price", "exit_price", "cost").groupBy("strategy", F.year("entry_session").alias("run")).applyInPandas(kernel, schema)
 
 
 def sensitivity(trades: DataFrame, stops: list[float]) -> DataFrame:

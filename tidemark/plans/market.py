@@ -182,8 +182,10 @@ def structure_score(spark: SparkSession, sf: str) -> DataFrame:
 _BO = f", bo as (select *, {_full('max', 'high', 'p20', 20)} as level, {_full('avg', 'volume', 'p20', 20)} as uv, row_number() over s as rn, lag(close) over s as pc from bars #WINDOWS), bo2 as (select *, coalesce(close > level and volume > 1.5 * uv, false) as breakout from bo)"
 
 
-def _event_sql(name: str, low: int, high: int, where: str, event: str = "breakout", level: str = "level") -> str:
-    steps = _BO + f", hit as (select e.symbol, min(r.rn) as rn from bo2 e join bo2 r on r.symbol = e.symbol and r.rn between e.rn + {low} and e.rn + {high} where {event} and {where} group by e.symbol, e.rn), fl as (select b.*, exists (select 1 from hit h where h.symbol = b.symbol and h.rn = b.rn) as {name} from bo2 b)"
+def _event_sql(name: str, low: int, high: int, where: str, event: str = "breakout", extra: str = "", source: str = "bo2") -> str:
+    ev = f", ev as (select e.*, rn + unnest(range({low}, {high} + 1)) as target from {source} e where {event})"
+    hit = f", hit as (select e.symbol, min(r.rn) as rn from ev e join bo2 r on r.symbol = e.symbol and r.rn = e.target where {where} group by e.symbol, e.rn)"
+    steps = _BO + extra + ev + hit + f", fl as (select b.*, h.rn is not null as {name} from bo2 b left join (select distinct symbol, rn from hit) h on h.symbol = b.symbol and h.rn = b.rn)"
     return _sql({name: name}, steps, "fl", plain=(name,))
 
 
@@ -207,6 +209,14 @@ def gap_continuation(spark: SparkSession, sf: str) -> DataFrame:
     return _out(pat.gap_continuation(bars(spark, sf)), "gap_continuation")
 
 
+_DOWN = ", dn as (select * exclude (level, breakout), low_level as level, coalesce(close < low_level and volume > 1.5 * uv, false) as breakout from (select *, case when count(low) over (partition by symbol order by session rows between 20 preceding and 1 preceding) >= 20 then min(low) over (partition by symbol order by session rows between 20 preceding and 1 preceding) end as low_level from bo2))"
+
+
+@query("gap_continuation_down", _event_sql("gap_continuation", 1, 3, "r.open < e.level and r.open < r.pc", "e.breakout", _DOWN, "dn"))
+def gap_continuation_down(spark: SparkSession, sf: str) -> DataFrame:
+    return _out(pat.gap_continuation(bars(spark, sf), up=False), "gap_continuation")
+
+
 _PV = "(lag(high) over s + lag(low) over s + lag(close) over s) / 3"
 
 

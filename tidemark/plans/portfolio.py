@@ -96,9 +96,9 @@ def walk_forward(spark: SparkSession, sf: str) -> DataFrame:
     return tr.walk_forward(trades(spark, sf)).select("fold", "strategy", "in_sample", "out_sample", rounded("out_return").alias("out_return"))
 
 
-@query("exit_decision", f"with {BARS}, p as (select symbol, session as day, open as entry, row_number() over (partition by symbol order by session) as rn from bars), o as (select * from p where rn % 50 = 1), b as (select *, row_number() over (partition by symbol order by session) as rn from bars), j as (select o.symbol, o.day, b.rn - o.rn as held, case when b.open <= entry * 0.92 then 'gap_stop' when b.open >= entry * 1.15 then 'gap_target' when b.low <= entry * 0.92 then 'stop' when b.high >= entry * 1.15 then 'target' when b.rn - o.rn = 20 then 'time' end as reason from o join b on b.symbol = o.symbol and b.rn between o.rn + 1 and o.rn + 20) select symbol, cast(day as varchar) as day, min(held) as held, arg_min(reason, held) as reason from j where reason is not null group by symbol, day")
+@query("exit_decision", f"with {BARS}, p as (select symbol, session as day, open as entry, row_number() over (partition by symbol order by session) as rn from bars), o as (select *, rn + unnest(range(1, 21)) as target from p), b as (select *, row_number() over (partition by symbol order by session) as rn from bars), j as (select o.symbol, o.day, b.rn - o.rn as held, case when b.open <= entry * 0.92 then 'gap_stop' when b.open >= entry * 1.15 then 'gap_target' when b.low <= entry * 0.92 then 'stop' when b.high >= entry * 1.15 then 'target' when b.rn - o.rn = 20 then 'time' end as reason from o join b on b.symbol = o.symbol and b.rn = o.target) select symbol, cast(day as varchar) as day, min(held) as held, arg_min(reason, held) as reason from j where reason is not null group by symbol, day")
 def exit_decision(spark: SparkSession, sf: str) -> DataFrame:
-    """A position opened every 50 rows (the rule of the test portfolio), closed by the first exit that applies."""
+    """A position opened on every bar, closed by the first exit that applies within 20 rows."""
     x = tr.first_exit(bars(spark, sf))
     return x.select("symbol", F.col("day").cast("string").alias("day"), "held", "reason")
 
@@ -117,9 +117,9 @@ def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("backtest_ledger")
 def backtest_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    """Cash-constrained ledger of each strategy: one sequential kernel for each run."""
+    """Cash-constrained ledger of each strategy and year: one sequential kernel for each run."""
     r = tr.ledger(trades(spark, sf), 100_000.0)
-    return r.select("strategy", "taken", "skipped", rounded("final_cash").alias("final_cash"), rounded("max_drawdown_pct").alias("max_drawdown_pct"))
+    return r.select("strategy", "run", "taken", "skipped", rounded("final_cash").alias("final_cash"), rounded("max_drawdown_pct").alias("max_drawdown_pct"))
 
 
 @query("parameter_sensitivity", f"with {TRADES}, p as (select unnest([5.0, 10.0, 15.0]) as stop) select stop, strategy, count(*) as trades, {_R('avg(greatest(return_pct, -stop))', 'expectancy')} from trades, p group by all")

@@ -78,11 +78,19 @@ def incremental_skip(spark: SparkSession, sf: str) -> DataFrame:
     return m.crossJoin(F.broadcast(top)).where("last < top").select("symbol", F.col("last").cast("string").alias("last_session"), F.datediff("top", "last").cast("long").alias("days_behind"))
 
 
-@query("universe_reasons", f"with {SECURITIES}, c as (select *, case when delisted_date is not null then 'inactive' when exchange = 'AFRICA' then 'exchange' when is_etf then 'etf' when sector in ('CHINA', 'INDIA') then 'sector' when market_cap_usd is null then 'no cap' when market_cap_usd < 1e9 then 'cap' else 'selected' end as reason from securities) select symbol, reason, row_number() over (partition by reason order by market_cap_usd desc nulls last, symbol) as rank from c")
+_REASON = "c as (select *, case when delisted_date is not null then 'inactive' when exchange = 'AFRICA' then 'exchange' when is_etf then 'etf' when sector in ('CHINA', 'INDIA') then 'sector' when market_cap_usd is null then 'no cap' when market_cap_usd < 1e9 then 'cap' else 'selected' end as reason from securities)"
+
+
+@query("universe_reasons", f"with {SECURITIES}, {_REASON} select symbol, reason from c")
 def universe_reasons(spark: SparkSession, sf: str) -> DataFrame:
-    """Every security with the first rule that drops it, ranked by market cap within its reason."""
-    c = rel.universe(securities(spark, sf))
-    return c.select("symbol", "reason", F.row_number().over(Window.partitionBy("reason").orderBy(F.col("market_cap_usd").desc_nulls_last(), "symbol")).alias("rank"))
+    """Every security with the first rule that drops it."""
+    return rel.universe(securities(spark, sf)).select("symbol", "reason")
+
+
+@query("universe_top", f"with {SECURITIES}, {_REASON} select symbol, market_cap_usd from c where reason = 'selected' order by market_cap_usd desc, symbol limit 50")
+def universe_top(spark: SparkSession, sf: str) -> DataFrame:
+    """The 50 largest of what is selected (a top-k report)."""
+    return rel.universe(securities(spark, sf)).where("reason = 'selected'").select("symbol", "market_cap_usd").orderBy(F.desc("market_cap_usd"), "symbol").limit(50)
 
 
 @query("survivorship", f"with {SECURITIES} select exchange, count(*) as listed, count(delisted_date) as delisted, round_even(count(delisted_date) / count(*) + 3e-8, 6) as rate from securities group by exchange")
@@ -104,9 +112,14 @@ def staleness(spark: SparkSession, sf: str) -> DataFrame:
     return joined.groupBy("symbol").agg(days.cast("long").alias("days"), F.count("*").alias("bars"), (days > 7).alias("stale"))
 
 
-@query("bar_digest", f"with {BARS} select symbol, sha256(string_agg(concat(cast(session as varchar), ':', cast(cast(round_even(volume, 0) as bigint) as varchar)), '|' order by session)) as digest, count(*) as rows from bars group by symbol")
+_OHLCV = "concat_ws(':', cast(session as varchar), " + ", ".join(f"cast(cast(round_even({c} * 1e{d} + 3e-3, 0) as bigint) as varchar)" for c, d in (("open", 6), ("high", 6), ("low", 6), ("close", 6), ("volume", 4))) + ")"
+
+
+@query("bar_digest", f"with {BARS} select symbol, sha256(string_agg({_OHLCV}, '|' order by session)) as digest, count(*) as rows from bars group by symbol")
 def bar_digest(spark: SparkSession, sf: str) -> DataFrame:
-    rows = F.array_sort(F.collect_list(F.concat(F.col("session").cast("string"), F.lit(":"), F.bround("volume", 0).cast("long").cast("string"))))
+    """A digest of each symbol's bars in order: prices to 6 places, volume to 4. A symbol's rows are joined in one value, some 60 bytes a day."""
+    numbers = (F.bround(F.col(c) * 10**d + 3e-3, 0).cast("long").cast("string") for c, d in (("open", 6), ("high", 6), ("low", 6), ("close", 6), ("volume", 4)))
+    rows = F.array_sort(F.collect_list(F.concat_ws(":", F.col("session").cast("string"), *numbers)))
     return bars(spark, sf).groupBy("symbol").agg(F.sha2(F.array_join(rows, "|"), 256).alias("digest"), F.count("*").alias("rows"))
 
 
