@@ -1,6 +1,6 @@
 """All registered queries of the reference's operators, with their SQL equivalents."""
 
-from tidemark.plans import assessments, evaluation, market, portfolio, posts, relational, scores, strategies, texts
+from tidemark.plans import assessments, classified, evaluation, market, portfolio, posts, relational, scores, strategies, texts
 from tidemark.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "assessments", "evaluation", "market", "portfolio", "posts", "relational", "scores", "strategies", "texts"]
+__all__ = ["ORACLE_SQL", "QUERIES", "assessments", "classified", "evaluation", "market", "portfolio", "posts", "relational", "scores", "strategies", "texts"]
