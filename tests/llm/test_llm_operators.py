@@ -78,9 +78,22 @@ def brute_components(texts):
     return [(i, len(s[i]), root[i], links[i]) for i in range(n)]
 
 
-@pytest.mark.parametrize("hot", [200, 1])
-def test_jaccard_join_is_exact(spark, monkeypatch, hot):
-    monkeypatch.setattr(jaccard_join, "HOT", hot)  # 1: every shared shingle takes the path of frequent ones
+def test_sketch_never_counts_less(spark):
+    texts = [prose(i % 7, 40) + " " + prose(100 + i, 20) for i in range(40)] + [prose(3, 40)] * 3 + EDGE
+    counts = jaccard_join.sketch(docs(spark, texts).repartition(3))
+    true: collections.Counter = collections.Counter()
+    for chunk in jaccard_join.chunks([t.encode() for t in {x or "" for x in texts}]):
+        g, _ = jaccard_join.shingles(chunk)
+        true.update(g.tolist())
+    g = np.array(list(true), np.uint64)
+    assert (jaccard_join.counted(counts, g) >= np.minimum(list(true.values()), jaccard_join.MOST)).all()
+    slots = np.sort(np.random.default_rng(1).integers(0, 1 << 16, 3000))
+    assert jaccard_join.unpack_slots(jaccard_join.pack_slots(slots)).tolist() == slots.tolist()
+
+
+@pytest.mark.parametrize("most", [15, 2])
+def test_jaccard_join_is_exact(spark, monkeypatch, most):
+    monkeypatch.setattr(jaccard_join, "MOST", most)  # 2: all shared shingles count as equally frequent
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 7)
     rng, texts = random.Random(1), list(EDGE)
     for seed in range(6):

@@ -2,10 +2,10 @@
 
 1. A sketch of fixed size estimates in how many texts each shingle occurs. It only orders shingles, rarest first, so
    that shared lines and passages end up behind what is a text's own; results don't depend on it.
-2. Each distinct set puts its prefix into index lists by shingle: two sets that link share a shingle of both prefixes.
-   Lists are cut into blocks by position and size; a block pair whose bounds rule a link out is skipped whole. What
-   remains joins sets into candidate components, as a spanning forest, never as all pairs. Lists of very frequent
-   shingles are joined inside each task first and send on one entry a task.
+2. Each distinct set puts its prefix into index lists by shingle, but for shingles that the sketch counts once: two sets that link share
+   a shingle of both prefixes. Lists are cut into blocks by position and size; a block pair whose bounds rule a link out is
+   skipped whole. What remains joins sets into candidate components, as a spanning forest, never as all pairs. Of entries with
+   equal shingle, size and position one stands for all, in each task first, so a list that a third of all rows share stays short.
 3. Each candidate component's sets meet once (large components in blocks, every block pair) and are compared
    exactly. A set's overlaps with all others are derived from those of the most similar set done before it:
    only the lists of shingles in which the two differ are read.
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +36,8 @@ from tidemark.llm._io import saved, shuffle_partitions
 from tidemark.llm._kernels import LOWER, U64, Strings, as_bytes, chunks, grams, mix, words
 
 N = 5
-MAX_COUNTERS = 1 << 26
-HOT = 200  # estimated texts from which a list is joined inside each task first
+MAX_COUNTERS = 1 << 27  # half a byte each
+MOST = 15
 PARTS = 4096
 SEGMENT = 1 << 16  # counters in one row of the sketch
 BLOCK_SETS, BLOCK_TOKENS = 1000, 500_000  # of a candidate component that meet in one task
@@ -82,40 +83,70 @@ def _slots(g: np.ndarray, counters: int) -> np.ndarray:
     return (mix(g ^ U64(0x5DEECE66D)) & U64(counters - 1)).astype(np.int64)
 
 
+def pack_slots(slots: np.ndarray) -> bytes:
+    """Sorted numbers with repeats as their gaps, a byte each; 255 stands for a step of 255 without a number."""
+    gap = np.diff(slots, prepend=0)
+    steps, rest = np.divmod(gap, 255)
+    out = np.full(int(steps.sum()) + len(gap), 255, np.uint8)
+    out[np.cumsum(steps + 1) - 1] = rest
+    return zlib.compress(out.tobytes(), 1)
+
+
+def unpack_slots(raw: bytes) -> np.ndarray:
+    gap = np.frombuffer(zlib.decompress(raw), np.uint8)
+    return np.cumsum(gap, dtype=np.int64)[gap < 255]
+
+
 def sketch(docs: DataFrame) -> np.ndarray:
-    """Estimated numbers of texts by shingle slot, up to 255."""
+    """Estimated numbers of texts by shingle slot, up to MOST, never less than the true ones; two to a byte."""
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     counters = 1 << min(max((size // 6).bit_length(), 16), MAX_COUNTERS.bit_length() - 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = np.zeros(counters, np.uint8), set()
+        held, size, seen = [], 0, set()
+
+        def rows() -> pa.RecordBatch:
+            slots = np.sort(np.concatenate(held))
+            if len(slots) > MOST:  # a counter needs no more of one slot
+                slots = slots[np.concatenate((np.ones(MOST, bool), slots[MOST:] != slots[:-MOST]))]
+            segment = slots // SEGMENT
+            at = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
+            blobs = [pack_slots(x.astype(np.int64) % SEGMENT) for x in np.split(slots, at[1:])]
+            return pa.record_batch([pa.array(segment[at].astype(np.int32)), pa.array(blobs, pa.binary())], names=["segment", "slots"])
+
         for batch in batches:
             for chunk in chunks(as_bytes(batch.column(0))):
                 g, n = shingles(chunk)
-                g = g[np.repeat(_first_seen(digests(g, n), seen), n)]
-                slot, k = np.unique(_slots(g, counters), return_counts=True)
-                total[slot] = np.minimum(total[slot] + k, 255)
-        for i in range(0, counters, SEGMENT):
-            part = total[i : i + SEGMENT]
-            if part.any():
-                yield pa.record_batch([pa.array([i // SEGMENT], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["segment", "counts"])
+                held.append(_slots(g[np.repeat(_first_seen(digests(g, n), seen), n)], counters).astype(np.uint32))
+                size += len(held[-1])
+                if size > 4_000_000:
+                    yield rows()
+                    held, size = [], 0
+        if size:
+            yield rows()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(raw), np.uint8)
-                total[i] = np.minimum(total.get(i, 0) + part.astype(np.uint16), 255).astype(np.uint16)
+                part = np.bincount(unpack_slots(raw), minlength=SEGMENT)
+                total[i] = np.minimum(total.get(i, 0) + part, MOST).astype(np.uint8)
         for i, part in total.items():
-            yield pa.record_batch([pa.array([i], pa.int32()), pa.array([zlib.compress(part.astype(np.uint8).tobytes(), 1)], pa.binary())], names=["segment", "counts"])
+            yield pa.record_batch([pa.array([i], pa.int32()), pa.array([zlib.compress((part[::2] | part[1::2] << 4).tobytes(), 1)], pa.binary())], names=["segment", "counts"])
 
-    schema = "segment int, counts binary"
-    out = np.zeros(counters, np.uint8)
-    for r in docs.select("text").mapInArrow(count, schema).repartition(min(shuffle_partitions(docs.sparkSession), counters // SEGMENT), "segment").mapInArrow(add, schema).collect():  # MAX_COUNTERS bytes
-        out[r["segment"] * SEGMENT :][:SEGMENT] = np.frombuffer(zlib.decompress(r["counts"]), np.uint8)
+    out = np.zeros(counters // 2, np.uint8)
+    dealt = docs.select("text").mapInArrow(count, "segment int, slots binary").repartition(min(shuffle_partitions(docs.sparkSession), counters // SEGMENT), "segment")
+    for r in dealt.mapInArrow(add, "segment int, counts binary").collect():  # MAX_COUNTERS / 2 bytes
+        out[r["segment"] * (SEGMENT // 2) :][: SEGMENT // 2] = np.frombuffer(zlib.decompress(r["counts"]), np.uint8)
     return out
 
 
+def counted(counts: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """The sketch's counts of shingles."""
+    slot = _slots(g, 2 * len(counts))
+    return counts[slot >> 1] >> ((slot & 1) << 2).astype(np.uint8) & MOST
+
+
 def _first_seen(nodes: np.ndarray, seen: set, limit: int = 2_000_000) -> np.ndarray:
     """Which sets a task meets for the first time (it may forget, which costs time only)."""
     out = np.zeros(len(nodes), bool)
@@ -129,9 +160,9 @@ def _first_seen(nodes: np.ndarray, seen: set, limit: int = 2_000_000) -> np.ndar
 
 
 def _may_link(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For entries of one list: sizes and positions leave room for a similarity of 0.8. Size 0 stands for any set."""
+    """For entries of one list: sizes and positions leave room for a similarity of 0.8. Equal sizes and positions always do."""
     na, nb, pa_, pb = (x.astype(np.int64) for x in (a["n"], b["n"], a["p"], b["p"]))
-    return (na == 0) | (nb == 0) | (5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb)) & (9 * (np.minimum(pa_, pb) + np.minimum(na - pa_, nb - pb)) >= 4 * (na + nb))
+    return (5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb)) & (9 * (np.minimum(pa_, pb) + np.minimum(na - pa_, nb - pb)) >= 4 * (na + nb))
 
 
 def _list_edges(x: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -157,15 +188,26 @@ def _list_edges(x: np.ndarray) -> Iterator[tuple[int, int]]:
                 yield u, v
 
 
-def candidates(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """Edges (a, b) that join all sets which may link; per task a spanning forest."""
+def thinned(x: np.ndarray, forest: Forest) -> np.ndarray:
+    """Sorted entries of which one stands for all of equal shingle, size and position: any other entry may link with all of them or
+    with none, and they may link with each other, so they are joined here."""
+    x = x[np.lexsort((x["p"], x["n"], x["t"]))]
+    if not len(x):
+        return x
+    lead = np.concatenate(([True], (x["t"][1:] != x["t"][:-1]) | (x["n"][1:] != x["n"][:-1]) | (x["p"][1:] != x["p"][:-1])))
+    first = x["v"][np.flatnonzero(lead)[np.cumsum(lead) - 1]]
+    for u, v in np.unique(np.stack([first[~lead], x["v"][~lead]], 1), axis=0).tolist():
+        forest.join(u, v)
+    return x[lead]
+
+
+def candidates(docs: DataFrame, shared: Broadcast) -> DataFrame:
+    """Edges (a, b) that join all sets which may link; per task a spanning forest. shared: the sketch."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(counts)
     parts = min(PARTS, 16 * shuffle_partitions(spark))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, seen, held, size = shared.value, set(), [], 0
-        hot: dict[int, np.void] = {}
+        counts, seen, held, size = shared.value, set(), [], 0
         forest = Forest()
 
         def rows(entries: np.ndarray) -> pa.RecordBatch:
@@ -183,39 +225,31 @@ def candidates(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 node = digests(g, n)
                 fresh = _first_seen(node, seen)
                 g, doc = g[np.repeat(fresh, n)], np.repeat(np.flatnonzero(fresh), n[fresh])
-                rarity = df[_slots(g, len(df))]
+                rarity = counted(counts, g)
                 order = np.lexsort((g, rarity, doc))
                 g, doc, rarity = g[order], doc[order], rarity[order]
                 m = n[fresh]
                 place = np.arange(len(g)) - np.repeat(np.cumsum(m) - m, m)
-                keep = place < np.repeat(m + (-4 * m) // 5 + 1, m)
+                # a shingle that is counted once is in no other set
+                keep = (place < np.repeat(m + (-4 * m) // 5 + 1, m)) & (rarity > 1)
                 out = np.zeros(int(keep.sum()), ENTRY)
                 out["t"], out["v"], out["n"], out["p"] = g[keep], node[doc[keep]], n[doc[keep]], place[keep]
-                often = rarity[keep] >= HOT
-                for e in out[often]:
-                    t = int(e["t"])
-                    if t in hot:
-                        forest.join(int(hot[t]["v"]), int(e["v"]))
-                    else:
-                        e["n"] = e["p"] = 0  # it stands for all sets of this task in the list
-                        hot[t] = e
-                held.append(out[~often])
-                size += len(held[-1])
-                if len(hot) > 200_000:
-                    held.append(np.array(list(hot.values()), ENTRY))
-                    hot = {}
-                if size > 200_000:
-                    yield rows(np.concatenate(held))
-                    held, size = [], 0
-        held.append(np.array(list(hot.values()), ENTRY))
+                held.append(out)
+                size += len(out)
+                if size > 400_000:
+                    entries = thinned(np.concatenate(held), forest)
+                    if len(entries) > 200_000:  # else what is left is kept, and thinned with what follows
+                        yield rows(entries)
+                        entries = entries[:0]
+                    held, size = [entries], len(entries)
         # edges made here travel as entries of a list of their own
+        entries = thinned(np.concatenate(held), forest) if held else np.zeros(0, ENTRY)
         made = forest.edges()
         lists = np.zeros(2 * made.num_rows, ENTRY)
         lists["v"] = np.stack([made.column(0).to_numpy(), made.column(1).to_numpy()], 1).reshape(-1)
         lists["t"] = np.repeat(mix(lists["v"][::2].astype(U64)), 2)
         lists["n"] = 1
-        held.append(lists)
-        entries = np.concatenate(held)
+        entries = np.concatenate((entries, lists))
         if len(entries):
             yield rows(entries)
 
@@ -223,22 +257,20 @@ def candidates(docs: DataFrame, counts: np.ndarray) -> DataFrame:
         raw = [x for batch in batches for x in batch.column(1).to_pylist()]
         if not raw:
             return
+        forest = Forest()
         e = np.frombuffer(b"".join(raw), ENTRY)
         del raw
-        e = e[np.argsort(e["t"], kind="stable")]
+        e = thinned(e, forest)
         t = e["t"]
         at = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
         size = np.diff(np.append(at, len(t)))
-        forest = Forest()
         two = at[size == 2]
         a, b = e[two], e[two + 1]
         fits = _may_link(a, b) & (a["v"] != b["v"])
         for u, v in zip(a["v"][fits].tolist(), b["v"][fits].tolist(), strict=True):
             forest.join(u, v)
         for i, k in zip(at[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            x = e[i : i + k]
-            x = x[np.unique(x["v"], return_index=True)[1]]
-            for u, v in _list_edges(x) if x["n"].all() else ((int(x["v"][0]), v) for v in x["v"].tolist()):
+            for u, v in _list_edges(e[i : i + k]):
                 forest.join(u, v)
         yield forest.edges()
 
@@ -346,8 +378,12 @@ from size s"""
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links (other documents linked) for every row of docs(doc_id, text)."""
-    maybe = components(candidates(docs, sketch(docs)), forest=True)
-    rows = saved(nodes_and_sets(docs, bloom(maybe, "node")), "sets")
+    shared = docs.sparkSession.sparkContext.broadcast(sketch(docs))
+    maybe = components(candidates(docs, shared), forest=True)
+    shared.unpersist()
+    wanted = bloom(maybe, "node")
+    rows = saved(nodes_and_sets(docs, wanted), "sets")
+    wanted.unpersist()
     per_node = rows.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.first("n").alias("n"))
     member = saved(maybe.join(per_node, "node"), "members")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int")
