@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,8 +67,11 @@ def clustered_levels(swings: DataFrame, lookback: int = 100, tolerance: float =
         highs = [(i, f["high"][i]) for i in range(len(f)) if f["swing_high"][i]]
         lows = [(i, f["low"][i]) for i in range(len(f)) if f["swing_low"][i]]
         points, rows = sorted(highs + lows), []
+        at, known, levels = [k for k, _ in points], None, []
         for i, close in enumerate(f["close"]):
-            levels = cluster([p for k, p in points if i - lookback < k <= i], tolerance)
+            span = bisect_right(at, i - lookback), bisect_right(at, i)
+            if span != known:  # levels change only where a point enters or leaves the window
+                known, levels = span, cluster([p for _, p in points[span[0] : span[1]]], tolerance)
             below = max(((n, -abs(close - x), x) for x, n in levels if x <= close), default=None)
             above = max(((n, -abs(close - x), x) for x, n in levels if x > close), default=None)
             rows.append((*((below[2], below[0]) if below else (None, None)), *((above[2], above[0]) if above else (None, None))))
