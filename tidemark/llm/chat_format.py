@@ -5,12 +5,13 @@ features are its marker (of its own line, else of the turn's role column if that
 whether it ends in a question, whether it has several lines and whether its turn is the first. Viterbi finds the likeliest roles
 of a conversation. Emissions of the line features and transitions are counted over all labelled turns.
 
-A conversation may be long: it is cut into blocks of BLOCK turn numbers. Each block gives its max-plus transfer matrix
+A conversation may be long: it is cut into blocks of BLOCK turn numbers, and a block of more than SPLIT turns (many with equal or no
+numbers) is cut further along the turns' order. Each block gives its max-plus transfer matrix
 (3 x 3); a pass over a conversation's few matrices gives the best scores before and after each block; each block
-is then decoded on its own. No task holds more than a block's turns.
+is then decoded on its own. A task holds a block's turns at a time: some SPLIT, or as many as there are equal rows.
 
 Defined results: a null or empty text is one empty segment; a null or unknown role is no marker, and the model decides; turns
-with equal numbers keep an order by role and text; null conv_ids form one conversation, null turns count as 0; an empty
+with equal numbers keep an order by a hash of role and text, then by these; null conv_ids form one conversation, null turns count as 0; an empty
 table gives an empty result; only the named columns are read. Equal scores go to the earlier of system, user, assistant.
 """
 
@@ -30,6 +31,7 @@ from pyspark.sql.types import StructType
 
 ROLES = ("system", "user", "assistant")
 BLOCK = 512
+SPLIT = 4 * BLOCK
 #: Names that transcripts use for the roles.
 NAMES = {"system": 0, "instruction": 0, "user": 1, "human": 1, "question": 1, "assistant": 2, "ai": 2, "bot": 2, "gpt": 2, "answer": 2}
 MARKER = re.compile(r"^[ \t]*(?:#{1,6}[ \t]*)?\[?(" + "|".join(NAMES) + r")\]?[ \t]*[:>][ \t]*", re.IGNORECASE)
@@ -101,7 +103,15 @@ class Model:
 
 def _blocks(conversations: DataFrame) -> DataFrame:
     turn = F.coalesce(F.col("turn").cast("long"), F.lit(0).cast("long"))
-    return conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), turn.alias("at"), F.floor(turn / BLOCK).alias("block"), "role", "text")
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), turn.alias("at"), F.xxhash64("role", "text").alias("tie"), F.floor(turn / BLOCK).alias("wide"), "role", "text")
+    per_turn = rows.groupBy(F.col("conv_id").alias("c"), F.col("at").alias("t"), F.col("wide").alias("w")).agg(F.count("*").alias("n"))
+    wide = per_turn.groupBy(F.col("c").alias("bc"), F.col("w").alias("bw")).agg(F.sum("n").alias("all")).where(F.col("all") > SPLIT).drop("all")
+    big = per_turn.join(wide, per_turn["c"].eqNullSafe(wide["bc"]) & (per_turn["w"] == wide["bw"])).select("c", "t", F.ceil(F.col("n") / SPLIT).alias("parts"))
+    cut = rows.join(big, rows["conv_id"].eqNullSafe(big["c"]) & (rows["at"] == big["t"]), "left")
+    # in a big block each turn number is a block of its own, and one with many turns is cut along their hashes
+    part = F.least(F.floor((F.col("tie") / F.lit(2.0**64) + 0.5) * F.col("parts")), F.col("parts") - 1)
+    block = F.when(F.col("parts").isNull(), F.col("wide") * BLOCK * (1 << 24)).otherwise(F.col("at") * (1 << 24) + part)
+    return cut.withColumn("block", block).select("conv_id", "turn", "at", "tie", "block", "role", "text")
 
 
 def fit(conversations: DataFrame) -> Model:
@@ -125,7 +135,7 @@ def fit(conversations: DataFrame) -> Model:
     for r in labelled.select("code", "at", "text").mapInPandas(count, "feature int, role int, value int, n long").groupBy("feature", "role", "value").agg(F.sum("n").alias("n")).collect():
         counts[r["feature"]][r["role"], r["value"]] = r["n"]
     # neighbours within a block; the last turn of a block is not followed into the next one, which counts alone
-    w = Window.partitionBy("conv_id", "block").orderBy("at", "role", "text")
+    w = Window.partitionBy("conv_id", "block").orderBy("at", "tie", "role", "text")
     moves, starts = np.zeros((3, 3)), np.zeros(3)
     for r in labelled.withColumn("before", F.lag("code").over(w)).groupBy("before", "code", (F.col("at") == 0).alias("opens")).count().collect():
         if r["before"] is not None:
@@ -151,8 +161,8 @@ def parse(conversations: DataFrame, model: Model) -> DataFrame:
     rows = _blocks(conversations)
 
     def turns_of(group: list[tuple]) -> tuple[list[tuple], list[tuple]]:
-        rows = sorted(group, key=lambda r: (r[3], r[4] is not None, r[4] or "", r[5] is not None, r[5] or ""))
-        return rows, [(r[5], r[4], r[3] == 0) for r in rows]
+        rows = sorted(group, key=lambda r: (r[3], r[4], r[5] is not None, r[5] or "", r[6] is not None, r[6] or ""))
+        return rows, [(r[6], r[5], r[3] == 0) for r in rows]
 
     def matrix(key: tuple, group: list[tuple]) -> Iterator[tuple]:
         scores, _ = model.scores(turns_of(group)[1])
@@ -176,7 +186,7 @@ def parse(conversations: DataFrame, model: Model) -> DataFrame:
     def decode(key: tuple, group: list[tuple]) -> Iterator[tuple]:
         rows, turns = turns_of(group)
         scores, texts = model.scores(turns)
-        path = model.decode(scores, np.array(rows[0][7]), rows[0][6], np.array(rows[0][8]))
+        path = model.decode(scores, np.array(rows[0][8]), rows[0][7], np.array(rows[0][9]))
         i = 0
         for r, parts in zip(rows, texts, strict=True):
             roles = path[i : i + len(parts)]
@@ -184,11 +194,11 @@ def parse(conversations: DataFrame, model: Model) -> DataFrame:
             yield key[0], r[2], ROLES[roles[0]], len(parts), [ROLES[x] for x in roles], render(roles, parts)
 
     arrays = "first_scores array<double>, m array<double>, rest array<double>"
-    matrices = _grouped(rows.select("conv_id", "block", "turn", "at", "role", "text"), 2, matrix, f"conv_id long, block long, {arrays}")
+    matrices = _grouped(rows.select("conv_id", "block", "turn", "at", "tie", "role", "text"), 2, matrix, f"conv_id long, block long, {arrays}")
     edges = _grouped(matrices, 1, chain, "conv_id long, block long, opens boolean, before array<double>, after array<double>")
     e = edges.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), "opens", "before", "after")
     joined = rows.join(e, rows["conv_id"].eqNullSafe(e["c"]) & (rows["block"] == e["b"]))
-    return _grouped(joined.select("conv_id", "block", "turn", "at", "role", "text", "opens", "before", "after"), 2, decode, SCHEMA)
+    return _grouped(joined.select("conv_id", "block", "turn", "at", "tie", "role", "text", "opens", "before", "after"), 2, decode, SCHEMA)
 
 
 def _grouped(rows: DataFrame, keys: int, f, schema: str) -> DataFrame:
