@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 def by_symbol():
@@ -22,8 +24,19 @@ def prior_n(n: int):
     return by_symbol().rowsBetween(-n, -1)
 
 
+LONG = 30  # rows from which a mean is taken as the difference of two running sums
+
+
 def full(aggregate, x: str | Column, n: int, prior: bool = False) -> Column:
-    """An aggregate over the last (or the prior) n rows, null until n values are there."""
+    """An aggregate over the last (or the prior) n rows, null until n values are there.
+
+    Spark sums a sliding frame anew for each row, but a frame that only grows in one step: a long mean is the difference
+    of two such sums."""
+    if aggregate is F.avg and n >= LONG:
+        last = -1 if prior else 0
+        near, far = (by_symbol().rowsBetween(Window.unboundedPreceding, end) for end in (last, last - n))
+        count = F.count(col(x)).over(near) - F.count(col(x)).over(far)
+        return F.when(count >= n, (F.sum(col(x)).over(near) - F.coalesce(F.sum(col(x)).over(far), F.lit(0.0))) / n)
     w = prior_n(n) if prior else last_n(n)
     return F.when(F.count(col(x)).over(w) >= n, aggregate(col(x)).over(w))
 
@@ -68,10 +81,24 @@ def percentile_in(window: Column, x: Column) -> Column:
     return F.size(F.filter(window, lambda v: v <= x)) / F.size(window)
 
 
-def rolling_percentile(x: str | Column, n: int) -> Column:
-    """Share of the last n values that are at most the current one; null until n values are there."""
-    values = F.collect_list(col(x)).over(last_n(n))
-    return F.when(col(x).isNotNull() & (F.size(values) >= n), percentile_in(values, col(x)))
+def rolling_percentile(rows: DataFrame, x: str, n: int, name: str) -> DataFrame:
+    """symbol, session, x and the share of its last n values that are at most the current one; null until n are there.
+
+    n comparisons a row, in numpy over a symbol's series: a list column would hold each value n times."""
+
+    def kernel(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("session", ignore_index=True)
+        v = f[x].to_numpy(float)
+        out = np.full(len(v), np.nan)
+        for lo in range(n - 1, len(v), 4096):
+            hi = min(lo + 4096, len(v))
+            windows = np.lib.stride_tricks.sliding_window_view(v[lo - n + 1 : hi], n)
+            out[lo:hi] = np.where(np.isnan(windows).any(1), np.nan, (windows <= v[lo:hi, None]).mean(1))
+        f[name] = out
+        return f
+
+    found = rows.select("symbol", "session", x).groupBy("symbol").applyInPandas(kernel, f"symbol string, session date, {x} double, {name} double")
+    return found.withColumn(name, F.nanvl(name, F.lit(None).cast("double"))).withColumn(x, F.nanvl(x, F.lit(None).cast("double")))
 
 
 def streak_group(flag: Column) -> Column:

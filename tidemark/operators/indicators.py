@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import by_symbol, full, lag, ratio, rolling_percentile, streak_group
-from tidemark.operators.kernels import smoothed_frame
+from tidemark.operators.kernels import NAMES, smoothed_frame
 
 
 
@@ -107,17 +107,17 @@ def rows_since_high(bars: DataFrame, n: int = 252) -> DataFrame:
 
 def volatility_contraction(bars: DataFrame, n: int = 126) -> DataFrame:
     b = bars.withColumn("bandwidth", bollinger()["bandwidth"])
-    return b.withColumn("contraction", (1 - rolling_percentile("bandwidth", n)) * 100)
+    return rolling_percentile(b, "bandwidth", n, "share").withColumn("contraction", (1 - F.col("share")) * 100)
 
 
-SMOOTHED = {f: "double" for f in ("ema12", "ema26", "macd", "macd_signal", "macd_hist", "rsi14", "atr14", "adx14", "keltner_up", "keltner_down")}
+SMOOTHED = {name: "double" for name in NAMES}
 
 
-def smoothed(bars: DataFrame) -> DataFrame:
-    """One kernel call for each symbol gives all recursive averages; a symbol's history fits a task."""
+def smoothed(bars: DataFrame, columns: tuple[str, ...] = tuple(SMOOTHED)) -> DataFrame:
+    """One kernel call for each symbol gives the recursive averages asked for; a symbol's history fits a task."""
 
     def kernel(frame: pd.DataFrame) -> pd.DataFrame:
-        return smoothed_frame(frame.sort_values("session", ignore_index=True))
+        return smoothed_frame(frame.sort_values("session", ignore_index=True), columns)
 
-    schema = f"symbol string, session date, {', '.join(f'{k} {v}' for k, v in SMOOTHED.items())}"
+    schema = f"symbol string, session date, {', '.join(f'{k} {SMOOTHED[k]}' for k in columns)}"
     return bars.select("symbol", "session", "high", "low", "close").groupBy("symbol").applyInPandas(kernel, schema)

@@ -110,7 +110,7 @@ def streaks(spark: SparkSession, sf: str) -> DataFrame:
 @query("rolling_percentile", _sql({"pctl": "case when len(l) >= 120 then len(list_filter(l, lambda v: v <= rv)) / len(l) end"}, f", v as (select *, volume / nullif({_full('avg', 'volume', 'p20', 20)}, 0) as rv from bars #WINDOWS), q as (select *, list_filter(list(rv) over w120, lambda v: v is not null) as l from v #WINDOWS)", "q"))
 def rolling_pct(spark: SparkSession, sf: str) -> DataFrame:
     v = bars(spark, sf).withColumn("rv", ind.relative_volume())
-    return _out(v.withColumn("pctl", rolling_percentile("rv", 120)), "pctl")
+    return _out(rolling_percentile(v, "rv", 120, "pctl"), "pctl")
 
 
 @query("gap_pct", _sql({"gap_pct": "(open - lag(close) over s) / nullif(lag(close) over s, 0) * 100"}))
@@ -141,12 +141,14 @@ _EMA = f", l as (select *, {_L} as cl, list(close - pc) over a as dl, list(case
 
 @query("ema_rsi_atr", _sql({"ema12": "case when len(cl) >= 12 then e12 end", "ema26": "case when len(cl) >= 26 then e26 end", "macd": "case when len(cl) >= 26 then e12 - e26 end", "rsi14": "case when g is null then null when g = 0 and ls = 0 then 50.0 when ls = 0 then 100.0 else 100 - 100 / (1 + g / ls) end", "atr14": "atr"}, _EMA, "e"))
 def ema_rsi_atr(spark: SparkSession, sf: str) -> DataFrame:
-    return _out(ind.smoothed(bars(spark, sf)), "ema12", "ema26", "macd", "rsi14", "atr14")
+    names = ("ema12", "ema26", "macd", "rsi14", "atr14")
+    return _out(ind.smoothed(bars(spark, sf), names), *names)
 
 
 @query("macd_adx_keltner")
 def macd_adx_keltner(spark: SparkSession, sf: str) -> DataFrame:
-    return _out(ind.smoothed(bars(spark, sf)), "macd_signal", "macd_hist", "adx14", "keltner_up", "keltner_down")
+    names = ("macd_signal", "macd_hist", "adx14", "keltner_up", "keltner_down")
+    return _out(ind.smoothed(bars(spark, sf), names), *names)
 
 
 @query("volatility_contraction", _sql({"contraction": "(1 - case when bw is not null and len(l) >= 126 then len(list_filter(l, lambda v: v <= bw)) / len(l) end) * 100"}, f", bb as {_BB}, x as (select *, ((bb_mid + 2 * sd) - (bb_mid - 2 * sd)) / nullif(bb_mid, 0) * 100 as bw from bb), q as (select *, list_filter(list(bw) over w126, lambda v: v is not null) as l from x #WINDOWS)", "q"))
