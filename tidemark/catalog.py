@@ -1,6 +1,7 @@
 """All registered queries of the reference's operators, with their SQL equivalents."""
 
 from tidemark.plans import assessments, classified, evaluation, ledgers, market, portfolio, posts, relational, scores, strategies, texts
+from tidemark.plans import extras  # noqa: I001  its regime table needs the market plans
 from tidemark.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "assessments", "classified", "evaluation", "ledgers", "market", "portfolio", "posts", "relational", "scores", "strategies", "texts"]
+__all__ = ["ORACLE_SQL", "QUERIES", "assessments", "classified", "evaluation", "extras", "ledgers", "market", "portfolio", "posts", "relational", "scores", "strategies", "texts"]
