@@ -42,6 +42,7 @@ PARTS = 4096
 SEGMENT = 1 << 16  # counters in one row of the sketch
 BLOCK_SETS, BLOCK_TOKENS = 1000, 500_000  # of a candidate component that meet in one task
 LIST_BLOCK = 128
+SMALL_SIDE = 500_000  # rows of some 60 bytes that are broadcast at most
 ENTRY = np.dtype([("t", "<u8"), ("v", "<i8"), ("n", "<u4"), ("p", "<u4")])
 
 
@@ -278,33 +279,43 @@ def candidates(docs: DataFrame, shared: Broadcast) -> DataFrame:
     return lists.mapInArrow(join, "a long, b long")
 
 
-def nodes_and_sets(docs: DataFrame, wanted) -> DataFrame:
-    """doc_id, node (null if empty), n of every text; once a task also the shingles of a set in the filter."""
+def nodes(docs: DataFrame) -> DataFrame:
+    """doc_id, node (null if empty) and n of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set = set()
         for batch in batches:
             for chunk in chunks(as_bytes(batch.column(1))):
+                g, n = shingles(chunk)
+                yield pa.record_batch([batch.column(0).slice(chunk.lo, chunk.hi - chunk.lo), pa.array(digests(g, n), mask=n == 0), pa.array(n)], names=["doc_id", "node", "n"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, n long")
+
+
+def shared_shingles(docs: DataFrame, wanted: Broadcast, shared: Broadcast) -> DataFrame:
+    """node and, once a task, the shingles of a set in the filter, but for those that the sketch counts once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        for batch in batches:
+            for chunk in chunks(as_bytes(batch.column(0))):
                 g, n = shingles(chunk)
                 node = digests(g, n)
-                ship = _first_seen(node, seen) & passes(wanted.value, pa.array(node))
+                ship = np.flatnonzero(_first_seen(node, seen) & passes(wanted.value, pa.array(node)))
                 end = np.cumsum(n)
-                raw = g.tobytes()
-                blob = [raw[8 * (e - k) : 8 * e] if s else None for s, k, e in zip(ship.tolist(), n.tolist(), end.tolist(), strict=True)]
-                yield pa.record_batch([batch.column(0).slice(chunk.lo, chunk.hi - chunk.lo), pa.array(node, mask=n == 0), pa.array(n), pa.array(blob, pa.binary())], names=["doc_id", "node", "n", "shingles"])
+                sets = [g[end[i] - n[i] : end[i]] for i in ship.tolist()]
+                yield pa.record_batch([pa.array(node[ship]), pa.array([x[counted(shared.value, x) > 1].tobytes() for x in sets], pa.binary())], names=["node", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, n long, shingles binary")
+    return docs.select("text").mapInArrow(run, "node long, shingles binary")
 
 
-def compare(sets: list[np.ndarray], side: np.ndarray, cross: bool) -> Iterator[tuple[int, int]]:
-    """Index pairs of linked sets: all pairs, or if cross those between side 0 and side 1.
+def compare(sets: list[np.ndarray], size: np.ndarray, side: np.ndarray, cross: bool) -> Iterator[tuple[int, int]]:
+    """Index pairs of linked sets: all pairs, or if cross those between side 0 and side 1. size counts also shingles left out of a set.
 
     The overlaps of a set with all others come from those of the most similar set done before it, corrected by the
     lists of the shingles in which the two differ; the first of its kind reads all its lists.
     """
     m = len(sets)
-    size = np.array([len(s) for s in sets], np.int64)
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(m), size)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(m), [len(s) for s in sets])
     token, back, count = np.unique(flat, return_inverse=True, return_counts=True)
     common = count[back] > 1
     back, owner = back[common], owner[common]  # shingles of one set only never count
@@ -350,7 +361,7 @@ def _verify(table: pa.Table) -> pa.Table:
     blobs = table["shingles"].take(pa.array(at)).to_pylist()
     sets = [np.frombuffer(x, U64) for x in blobs]
     links, forest = np.zeros(len(node), np.int64), Forest()
-    for x, z in compare(sets, side, table["i"][0].as_py() != table["j"][0].as_py()):
+    for x, z in compare(sets, table["n"].to_numpy()[at], side, table["i"][0].as_py() != table["j"][0].as_py()):
         links[x] += weight[z]
         links[z] += weight[x]
         forest.join(int(node[x]), int(node[z]))
@@ -380,19 +391,22 @@ def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links (other documents linked) for every row of docs(doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch(docs))
     maybe = components(candidates(docs, shared), forest=True)
-    shared.unpersist()
-    wanted = bloom(maybe, "node")
-    rows = saved(nodes_and_sets(docs, wanted), "sets")
-    wanted.unpersist()
+    rows = saved(nodes(docs), "nodes")
     per_node = rows.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.first("n").alias("n"))
     member = saved(maybe.join(per_node, "node"), "members")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int")
     blocked = member.join(member.groupBy("root").agg(blocks.alias("blocks")), "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # block pairs (i, j), i <= j, that a set of block `own` takes part in; side tells the two blocks apart
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j"), (k < F.col("own")).cast("int").alias("side")))
-    dealt = blocked.select("root", "node", "copies", F.explode(pairs).alias("x")).select("root", "node", "copies", "x.*")
-    sets = rows.where("shingles is not null").select("node", "shingles")
-    links = saved(dealt.join(sets, "node").groupBy("root", "i", "j").applyInArrow(_verify, "a long, b long, links long"), "links")
+    dealt = blocked.select("root", "node", "copies", "n", F.explode(pairs).alias("x")).select("root", "node", "copies", "n", "x.*")
+    wanted = bloom(maybe, "node")
+    sets = shared_shingles(docs, wanted, shared)
+    # few block members go to the sets' tasks whole, so that sets are shuffled once; beyond that bound both sides are shuffled
+    few = member.count() <= SMALL_SIDE and dealt.count() <= SMALL_SIDE
+    dealt = F.broadcast(dealt) if few else dealt.hint("merge")
+    links = saved(sets.join(dealt, "node").groupBy("root", "i", "j").applyInArrow(_verify, "a long, b long, links long"), "links")
+    for used in (shared, wanted):
+        used.unpersist()
     label = components(links.select("a", "b"))
     # the smallest doc_id of each component, then one row a set with copies or links
     node_min = per_node.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
