@@ -9,7 +9,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidemark.llm import bpe, chat_format, decontaminate, jaccard_join, language_id, quality, suffix_dedup, token_files, toxicity, url_filter
+from tidemark.llm import (
+    bpe, chat_format, decontaminate, fill_middle, filter_audit, jaccard_join, language_id, quality, sentencepiece_bpe, suffix_dedup, token_files,
+    toxicity, url_filter,
+)
 from tidemark.llm._io import shared_dir, table
 
 
@@ -59,9 +62,21 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_bpe.digests(sentencepiece_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), decoded=True))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.transform(table(spark, sf_dir, "documents")))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": url_filter.oracle(), "op9_jaccard_join": jaccard_join.ORACLE}
+    return {"op8_url_filter": url_filter.oracle(), "op9_jaccard_join": jaccard_join.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
