@@ -57,18 +57,40 @@ def test_macd_adx_keltner(spark, sf):
             assert all(close_to(r[name], w) for r, w in zip(got[symbol], want[name], strict=True)), (symbol, name)
 
 
+def plain_clusters(points, tolerance):
+    """Prices with rows grouped along the sorted prices, each compared with the mean of its group so far."""
+    groups = []
+    for price, at in sorted(points):
+        mean = sum(p for p, _ in groups[-1]) / len(groups[-1]) if groups else None
+        if mean and abs(price - mean) / abs(mean) * 100 <= tolerance:
+            groups[-1].append((price, at))
+        else:
+            groups.append([(price, at)])
+    return [(sum(p for p, _ in g) / len(g), len(g), max(at for _, at in g)) for g in groups]
+
+
 def test_support_and_resistance(spark, sf):
-    swings = pat.swings(bars(spark, sf).where("symbol in ('S1', 'S2', 'S3')"))
-    got = by_symbol(cross.clustered_levels(swings))
-    for symbol, rows in by_symbol(swings).items():
-        for i, r in enumerate(rows):
-            points = [x[s] for k, x in enumerate(rows[: i + 1]) if k > i - 100 for s in ("high", "low") if x[f"swing_{s}"]]
-            levels = kernels.cluster(points, 0.015)
-            below = max(((n, -abs(r["close"] - x), x) for x, n in levels if x <= r["close"]), default=None)
-            above = max(((n, -abs(r["close"] - x), x) for x, n in levels if x > r["close"]), default=None)
-            g = got[symbol][i]
-            assert (g["support"], g["support_touches"]) == ((below[2], below[0]) if below else (None, None))
-            assert (g["resistance"], g["resistance_touches"]) == ((above[2], above[0]) if above else (None, None))
+    swings = pat.swings(bars(spark, sf))
+    got = by_symbol(cross.clustered_levels(swings), 10**6)
+    seen = 0
+    for symbol, rows in by_symbol(swings, 10**6).items():
+        for i in range(len(rows)):
+            for name, side in (("resistance", "high"), ("support", "low")):
+                points = [(x[side], k) for k, x in enumerate(rows[: i + 1]) if k >= i - 99 and x[f"swing_{side}"]]
+                level, touches, last = max(plain_clusters(points, 1.5), key=lambda c: (c[1], c[2]), default=(None, 0, None))
+                g = got[symbol][i]
+                assert close_to(g[name], level) and g[f"{name}_touches"] == touches and g[f"{name}_recency"] == (None if last is None else i - last)
+                seen += touches > 1
+    assert seen > 100
+
+
+def test_bars_hold_any_order_key(spark, tmp_path):
+    """Keys near the largest long, and several lines of one order on one day."""
+    top = 2**63 - 1
+    lines = [(top, 1, 5, 1, 10.0, 1.0), (top, 2, 5, 1, 30.0, 1.0), (9_000_000_000, 7, 5, 1, 40.0, 2.0), (9_000_000_000, 7, 2**40, 1, 90.0, 1.0), (1, 3, 2, 1, 70.0, 1.0)]
+    d = spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double")
+    d.withColumn("l_shipdate", F.to_timestamp(F.lit("1997-01-02"))).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [tuple(r)[2:] for r in bars(spark, str(tmp_path)).collect()] == [(70.0, 90.0, 10.0, 30.0, 6.0)]
 
 
 def test_bootstrap_does_not_depend_on_partitions(spark, sf):
@@ -126,16 +148,20 @@ def test_look_ahead_patterns_equal_loops(spark):
     e = {s: x for s, x in by_symbol(pat.breakout(b)).items()}
     got = by_symbol(pat.failed_breakout(b).select("symbol", "session", "failed_breakout"))
     gaps = by_symbol(pat.gap_fill(b).select("symbol", "session", "gap_filled"))
+    down, up = (by_symbol(pat.gap_continuation(b, up=u).select("symbol", "session", "gap_continuation")) for u in (False, True))
     for s, x in e.items():
-        failed, filled = set(), set()
+        failed, filled, fell, rose = set(), set(), set(), set()
         for i, r in enumerate(x):
             if r["breakout"]:
                 failed |= set([k for k in range(i + 1, min(i + 6, len(x))) if x[k]["close"] < r["level"]][:1])
+                rose |= set([k for k in range(i + 1, min(i + 4, len(x))) if x[k]["open"] > max(r["level"], x[k - 1]["close"])][:1])
             if i and r["open"] != x[i - 1]["close"]:
                 filled |= set([k for k in range(i, min(i + 11, len(x))) if x[k]["low"] <= x[i - 1]["close"] <= x[k]["high"]][:1])
-        assert [r["failed_breakout"] for r in got[s]] == [k in failed for k in range(len(x))]
-        assert [r["gap_filled"] for r in gaps[s]] == [k in filled for k in range(len(x))]
-        assert failed and filled
+        for i in failed:
+            fell |= set([k for k in range(i + 1, min(i + 4, len(x))) if x[k]["open"] < min(x[i]["level"], x[k - 1]["close"])][:1])
+        for flags, want in ((got, failed), (gaps, filled), (down, fell), (up, rose)):
+            assert [r[2] for r in flags[s]] == [k in want for k in range(len(x))]
+            assert want
 
 
 def test_flags_stay_false_on_a_short_series(spark):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,24 +61,64 @@ def regime(bars: DataFrame) -> DataFrame:
 
 
 def clustered_levels(swings: DataFrame, lookback: int = 100, tolerance: float = 0.015) -> DataFrame:
-    """Best clustered swing level below and above each close, over the last `lookback` rows: most touches, then nearest."""
+    """Resistance from the swing highs and support from the swing lows of the last `lookback` rows: of the clusters of each the one
+    with most touches, then the one touched last, with its touches (0 without one) and the rows since its last touch.
+
+    Levels change only where a point enters or leaves the window, so points are clustered that often, not for every row."""
+
+    def side(f: pd.DataFrame, price: str, flag: str) -> list[tuple[float | None, int, int | None]]:
+        v, flags = f[price].to_numpy(), f[flag].to_numpy(bool)
+        at = np.flatnonzero(flags).tolist()
+        known, best, rows = None, None, []
+        for i in range(len(f)):
+            span = bisect_right(at, i - lookback), bisect_right(at, i)
+            if span != known:
+                known = span
+                best = max(cluster([(float(v[k]), k) for k in at[span[0] : span[1]]], tolerance), key=lambda c: (c[1], c[2]), default=None)
+            rows.append((best[0], best[1], i - best[2]) if best else (None, 0, None))
+        return rows
 
     def kernel(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("session", ignore_index=True)
-        highs = [(i, f["high"][i]) for i in range(len(f)) if f["swing_high"][i]]
-        lows = [(i, f["low"][i]) for i in range(len(f)) if f["swing_low"][i]]
-        points, rows = sorted(highs + lows), []
-        at, known, levels = [k for k, _ in points], None, []
-        for i, close in enumerate(f["close"]):
-            span = bisect_right(at, i - lookback), bisect_right(at, i)
-            if span != known:  # levels change only where a point enters or leaves the window
-                known, levels = span, cluster([p for _, p in points[span[0] : span[1]]], tolerance)
-            below = max(((n, -abs(close - x), x) for x, n in levels if x <= close), default=None)
-            above = max(((n, -abs(close - x), x) for x, n in levels if x > close), default=None)
-            rows.append((*((below[2], below[0]) if below else (None, None)), *((above[2], above[0]) if above else (None, None))))
-        out = pd.DataFrame(rows, columns=["support", "support_touches", "resistance", "resistance_touches"])
-        out["support_touches"], out["resistance_touches"] = out["support_touches"].astype("Int64"), out["resistance_touches"].astype("Int64")
-        return pd.concat([f[["symbol", "session"]], out], axis=1)
-
-    schema = "symbol string, session date, support double, support_touches long, resistance double, resistance_touches long"
-    return swings.select("symbol", "session", "high", "low", "close", "swing_high", "swing_low").groupBy("symbol").applyInPandas(kernel, schema)
+        out = {"symbol": f["symbol"], "session": f["session"]}
+        for name, price in (("resistance", "high"), ("support", "low")):
+            level, touches, age = zip(*side(f, price, f"swing_{price}"), strict=True)
+            out |= {name: pd.Series(level, dtype=float), f"{name}_touches": touches, f"{name}_recency": pd.Series(age, dtype="Int64")}
+        return pd.DataFrame(out)
+
+    schema = "symbol string, session date, resistance double, resistance_touches long, resistance_recency long, support double, support_touches long, support_recency long"
+    found = swings.select("symbol", "session", "high", "low", "swing_high", "swing_low").groupBy("symbol").applyInPandas(kernel, schema)
+    return found.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("resistance", "support")})
+
+
+def strength(bars: DataFrame, n: int = 20) -> DataFrame:
+    """Relative strength against the benchmark: the line, its slope over n rows, and the share of its last n values that are at most the
+    current one (null until n values are there), from 0 to 100 as the score."""
+    w = by_symbol().rowsBetween(-(n - 1), 0)
+    r = relative_strength(bars).withColumn("rs_slope", (F.col("rs_line") - lag("rs_line", n)) / n).withColumn("lines", F.collect_list("rs_line").over(w))
+    percentile = F.when(F.size("lines") >= n, percentile_in(F.col("lines"), F.col("rs_line")))
+    return r.withColumn("rs_percentile", percentile).withColumn("rs_score", percentile * 100).drop("lines")
+
+
+def correlation(bars: DataFrame, n: int = 60) -> DataFrame:
+    """Correlation of pair-complete returns with the benchmark's; null before n rows, below two pairs, or where either never varies."""
+    w = by_symbol().rowsBetween(-(n - 1), 0)
+    own, other = F.when(F.col("bret").isNotNull(), F.col("ret")), F.when(F.col("ret").isNotNull(), F.col("bret"))
+    r = returns(bars).withColumn("rn", F.row_number().over(by_symbol()))
+    r = r.withColumns({"s1": F.stddev_samp(own).over(w), "s2": F.stddev_samp(other).over(w), "cov": F.covar_samp("ret", "bret").over(w), "pairs": F.count(own).over(w)})
+    ok = (F.col("rn") >= n) & (F.col("pairs") >= 2) & (F.col("s1") > 0) & (F.col("s2") > 0)
+    return r.withColumn("corr", F.when(ok, F.col("cov") / (F.col("s1") * F.col("s2"))))
+
+
+def sector_strength(bars: DataFrame, securities: DataFrame, n: int = 20) -> DataFrame:
+    """Each sector's one-day ratio as a share of its own last n calendar rows that are at most it (partial at the start).
+
+    A sector's series is the mean close of its symbols. The calendar is the union of all sectors' sessions; a ratio needs
+    closes on two neighbouring rows of it. Days are numbered once over the calendar, one row a trading day, so the frames are ranges
+    of numbers and no row is made for a sector's missing days."""
+    closes = bars.join(securities.select("symbol", "sector"), "symbol").groupBy("sector", "session").agg(F.avg("close").alias("close"))
+    days = closes.select("session").distinct().withColumn("day", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("session")))
+    w = Window.partitionBy("sector").orderBy("day")
+    s = closes.join(days, "session").withColumn("before", F.when(F.lag("day").over(w) == F.col("day") - 1, F.lag("close").over(w)))
+    s = s.withColumn("line", ratio(F.col("close"), F.col("before"))).withColumn("lines", F.collect_list("line").over(w.rangeBetween(-(n - 1), 0)))
+    return s.select("sector", "session", F.when(F.col("line").isNotNull(), percentile_in(F.col("lines"), F.col("line"))).alias("strength"))

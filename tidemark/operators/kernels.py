@@ -54,13 +54,16 @@ def smoothed_frame(f: pd.DataFrame, columns: tuple[str, ...] = NAMES) -> pd.Data
     return pd.DataFrame({"symbol": f["symbol"], "session": f["session"], **{name: of(name) for name in columns}})
 
 
-def cluster(prices: list[float], tolerance: float) -> list[tuple[float, int]]:
-    """Sorted prices merged while within tolerance of the running mean: (mean, members)."""
-    out: list[tuple[float, int]] = []
-    for p in sorted(prices):
-        if out and abs(p - out[-1][0]) <= tolerance * out[-1][0]:
-            mean, n = out[-1]
-            out[-1] = ((mean * n + p) / (n + 1), n + 1)
+def cluster(points: list[tuple[float, int]], tolerance: float) -> list[tuple[float, int, int]]:
+    """Prices with their rows, in ascending order, merged while within tolerance of the running mean: (mean, members, last row)."""
+    out: list[tuple[float, int, int]] = []
+    total = 0.0
+    for p, at in sorted(points):
+        if out and out[-1][0] != 0 and abs(p - out[-1][0]) / abs(out[-1][0]) <= tolerance:
+            total += p
+            n = out[-1][1] + 1
+            out[-1] = (total / n, n, max(out[-1][2], at))
         else:
-            out.append((p, 1))
+            total = p
+            out.append((p, 1, at))
     return out

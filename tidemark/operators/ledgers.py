@@ -52,13 +52,13 @@ def research(prior: DataFrame, fresh: DataFrame, bound: float = 20.0) -> DataFra
 
 
 def merge_current_bar(stored: DataFrame, quote: DataFrame) -> DataFrame:
-    """The stored bar of a session widened by a quote, never narrowed: open stays, high and low extend, volume never falls."""
-    s = stored.select("symbol", "session", *(F.col(c).alias(f"s_{c}") for c in ("open", "high", "low", "close", "volume")))
-    j = quote.join(s, ["symbol", "session"], "left")
-    return j.select(
-        "symbol", "session", F.coalesce("s_open", "open").alias("open"), F.greatest("high", "s_high").alias("high"), F.least("low", "s_low").alias("low"),
-        F.col("close"), F.greatest("volume", F.coalesce("s_volume", F.lit(0.0))).alias("volume"), F.col("s_open").isNull().alias("inserted"),
-    )
+    """stored with the quotes of sessions that it lacks; a bar that is there is never overwritten. Of several quotes of a session the
+    one with the greatest close counts (they differ only if a source repeats itself)."""
+    columns = ("open", "high", "low", "close", "volume")
+    one = quote.groupBy("symbol", "session").agg(F.max_by(F.struct(*columns), "close").alias("x")).select("symbol", "session", "x.*")
+    fresh = one.join(stored.select("symbol", "session"), ["symbol", "session"], "left_anti")
+    kept = stored.select("symbol", "session", *columns, F.lit(False).alias("inserted"))
+    return kept.unionByName(fresh.withColumn("inserted", F.lit(True)))
 
 
 def upsert_securities(stored: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -80,11 +80,3 @@ def page(rows: DataFrame, least: float, size: int) -> DataFrame:
     q = rows.where(F.col("score") >= least)
     top = q.orderBy(F.desc("score"), F.desc("created"), "id").limit(size)
     return top.crossJoin(F.broadcast(q.agg(F.count("*").alias("total"))))  # one row
-
-
-def sector_strength(bars: DataFrame, securities: DataFrame, n: int = 20) -> DataFrame:
-    """A symbol's return over n rows less the mean of its sector on that day. Sector means are summed on the map side."""
-    w = Window.partitionBy("symbol").orderBy("session")
-    r = bars.withColumn("ret", (F.col("close") / F.lag("close", n).over(w) - 1) * 100).where("ret is not null").join(securities.select("symbol", "sector"), "symbol")
-    mean = r.groupBy("sector", "session").agg(F.avg("ret").alias("sector_ret"), F.count("*").alias("peers"))
-    return r.join(mean, ["sector", "session"]).withColumn("strength", F.col("ret") - F.col("sector_ret"))

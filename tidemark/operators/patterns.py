@@ -68,9 +68,9 @@ def first_within(bars: DataFrame, event: Column, level: Column, ahead: tuple[int
     return b.withColumn(name, flag).drop(*(c for c in b.columns if c.startswith("_")))
 
 
-def failed_breakout(bars: DataFrame, ahead: int = 5) -> DataFrame:
+def failed_breakout(bars: DataFrame, ahead: int = 5, n: int = 20, volume_factor: float = 1.5) -> DataFrame:
     """Flag on the first close below the broken level within `ahead` rows."""
-    return first_within(breakout(bars), F.col("breakout"), F.col("level"), (1, ahead), ("close",), lambda r, level: r["close"] < level, "failed_breakout")
+    return first_within(breakout(bars, n, volume_factor), F.col("breakout"), F.col("level"), (1, ahead), ("close",), lambda r, level: r["close"] < level, "failed_breakout")
 
 
 def gap_fill(bars: DataFrame, ahead: int = 10) -> DataFrame:
@@ -80,15 +80,11 @@ def gap_fill(bars: DataFrame, ahead: int = 10) -> DataFrame:
 
 
 def gap_continuation(bars: DataFrame, up: bool = True, ahead: int = 3, n: int = 20, volume_factor: float = 1.5) -> DataFrame:
-    """Within `ahead` rows after a breakout, an open beyond the level with a gap in its direction; down: below the prior low."""
-    if up:
-        b = breakout(bars, n, volume_factor)
-    else:
-        b = bars.withColumn("level", full(F.min, "low", n, prior=True)).withColumn("usual_volume", full(F.avg, "volume", n, prior=True))
-        b = b.withColumn("breakout", F.coalesce((F.col("close") < F.col("level")) & (F.col("volume") > volume_factor * F.col("usual_volume")), F.lit(False)))
-    b = b.withColumn("prev_close", lag("close"))
+    """Within `ahead` rows after an event, an open beyond the level with a gap in its direction. Up: a breakout, above its level.
+    Down: a failed breakout, below the prior high as of the bar that confirms the failure."""
+    b = (breakout(bars, n, volume_factor) if up else failed_breakout(bars, n=n, volume_factor=volume_factor)).withColumn("prev_close", lag("close"))
     beyond = (lambda r, level: (r["open"] > level) & (r["open"] > r["prev_close"])) if up else (lambda r, level: (r["open"] < level) & (r["open"] < r["prev_close"]))
-    return first_within(b, F.col("breakout"), F.col("level"), (1, ahead), ("open", "prev_close"), beyond, "gap_continuation")
+    return first_within(b, F.col("breakout" if up else "failed_breakout"), F.col("level"), (1, ahead), ("open", "prev_close"), beyond, "gap_continuation")
 
 
 def pivot_points() -> dict[str, Column]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import SESSIONS_SQL, sessions
-from tidemark.functions.columns import by_symbol, full, lag, rounded
+from tidemark.functions.columns import full, rounded
 from tidemark.functions.text import INJECTION, truncate
 from tidemark.operators import relations as rel
 from tidemark.registry import query
@@ -40,15 +40,6 @@ def ambiguous_symbols(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("ticker", ((F.length("ticker") <= 1) | F.col("ticker").isin(*_COMMON)).alias("ambiguous"))
 
 
-@query("relative_strength_score", f"with {BARS}, r as (select symbol, session, (close / lag(close, 20) over (partition by symbol order by session) - 1) * 100 as ret from bars), m as (select session, avg(ret) as market from r where ret is not null group by session) select symbol, cast(r.session as varchar) as session, {_r('least(100.0, greatest(0.0, 50.0 + 2.0 * (ret - market)))', 'score')} from r join m using (session) where ret is not null")
-def relative_strength_score(spark: SparkSession, sf: str) -> DataFrame:
-    """50 for the market's own return over 20 rows, two points for each percent beyond it. The market has one row a day."""
-    r = bars(spark, sf).select("symbol", "session", ((F.col("close") / lag("close", 20) - 1) * 100).alias("ret")).where("ret is not null")
-    m = r.groupBy("session").agg(F.avg("ret").alias("market"))
-    score = F.least(F.lit(100.0), F.greatest(F.lit(0.0), 50.0 + 2.0 * (F.col("ret") - F.col("market"))))
-    return r.join(m, "session").select("symbol", F.col("session").cast("string").alias("session"), rounded(score).alias("score"))
-
-
 _STATES = {"bull_quiet": (1.0, 0.5, True), "bull_volatile": (0.75, 0.25, True), "neutral": (0.75, 0.0, True), "bear_quiet": (0.5, -0.25, False), "bear_volatile": (0.25, -0.5, False)}
 _TABLE = ", ".join(f"('{k}', {a}, {b}, {str(c).lower()})" for k, (a, b, c) in _STATES.items())
 

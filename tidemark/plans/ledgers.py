@@ -102,8 +102,13 @@ def thesis_text(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("id", F.concat("strategy", F.lit(" in "), "symbol", F.lit(": score "), F.bround("score", 0).cast("long").cast("string"), F.lit(", from "), F.col("created").cast("string"), F.lit(" to "), F.col("expires_after").cast("string")).alias("thesis"))
 
 
-@query("current_bar_merge", f"with {BARS}, last as (select * from (select *, row_number() over (partition by symbol order by session desc) as k from bars) where k = 1), q as (select symbol, case when volume > 20 then session else session + 1 end as session, close as open, close * 1.01 as high, close * 0.985 as low, close * 1.002 as close, volume * 0.9 as volume from last) select q.symbol, cast(q.session as varchar) as session, {_r('coalesce(b.open, q.open)', 'open')}, {_r('greatest(q.high, b.high)', 'high')}, {_r('least(q.low, b.low)', 'low')}, {_r('q.close', 'close')}, {_r('greatest(q.volume, coalesce(b.volume, 0.0))', 'volume')}, b.open is null as inserted from q left join bars b on b.symbol = q.symbol and b.session = q.session")
+_QUOTE = "last as (select * from (select *, row_number() over (partition by symbol order by session desc) as k from bars) where k = 1), q as (select symbol, case when volume > 20 then session else session + 1 end as session, close as open, close * 1.01 as high, close * 0.985 as low, close * 1.002 as close, volume * 0.9 as volume from last)"
+_FIVE = ", ".join(_r(c, c) for c in ("open", "high", "low", "close", "volume"))
+
+
+@query("current_bar_merge", f"with {BARS}, {_QUOTE} select symbol, {_S}, {_FIVE}, false as inserted from bars union all select symbol, {_S}, {_FIVE}, true from q where not exists (select 1 from bars b where b.symbol = q.symbol and b.session = q.session)")
 def current_bar_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Quotes of today: some repeat a stored session and change nothing, the rest are appended."""
     b = bars(spark, sf)
     last = b.groupBy("symbol").agg(F.max_by(F.struct("session", "close", "volume"), "session").alias("x")).select("symbol", "x.*")
     c = F.col("close")
@@ -157,12 +162,6 @@ def universe_union(spark: SparkSession, sf: str) -> DataFrame:
     return s.withColumn("origin", F.lit("database")).unionByName(packaged.join(s.select("symbol"), "symbol", "left_anti").withColumn("origin", F.lit("packaged")))
 
 
-@query("sector_strength", f"with {BARS}, {SECURITIES}, r as (select b.symbol, b.session, (close / lag(close, 20) over (partition by b.symbol order by b.session) - 1) * 100 as ret, sector from bars b join securities s on s.symbol = b.symbol), k as (select * from r where ret is not null), m as (select sector, session, avg(ret) as sector_ret, count(*) as peers from k group by all) select k.symbol, cast(k.session as varchar) as session, peers, {_r('ret - sector_ret', 'strength')} from k join m using (sector, session)")
-def sector_strength(spark: SparkSession, sf: str) -> DataFrame:
-    s = lg.sector_strength(bars(spark, sf), securities(spark, sf))
-    return s.select("symbol", F.col("session").cast("string").alias("session"), "peers", rounded("strength").alias("strength"))
-
-
 @query("price_extras", f"with {BARS}, w as (select *, close * volume as dv from bars) select symbol, {_S}, {_r('case when count(close) over w20 >= 20 then (close / nullif(avg(close) over w20, 0) - 1) * 100 end', 'distance_pct')}, {_r('case when count(dv) over w20 >= 20 then avg(dv) over w20 end', 'avg_dollar_volume')}, {_r('case when count(close) over w14 >= 14 then avg(high - low) over w14 / nullif(close, 0) * 100 end', 'range_pct')} from w window w20 as (partition by symbol order by session rows between 19 preceding and current row), w14 as (partition by symbol order by session rows between 13 preceding and current row)")
 def price_extras(spark: SparkSession, sf: str) -> DataFrame:
     b = bars(spark, sf).withColumn("dv", F.col("close") * F.col("volume")).withColumn("range", F.col("high") - F.col("low"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import full, ratio, rolling_percentile, rounded
 from tidemark.operators import cross, indicators as ind, patterns as pat
 from tidemark.registry import query
-from tidemark.sources.adapters import BARS, bars
+from tidemark.sources.adapters import BARS, SECURITIES, bars, securities
 
 R = "round_even({} + 3e-8, 6) + 0.0 as {}"
 
@@ -184,11 +186,23 @@ def structure_score(spark: SparkSession, sf: str) -> DataFrame:
 _BO = f", bo as (select *, {_full('max', 'high', 'p20', 20)} as level, {_full('avg', 'volume', 'p20', 20)} as uv, row_number() over s as rn, lag(close) over s as pc from bars #WINDOWS), bo2 as (select *, coalesce(close > level and volume > 1.5 * uv, false) as breakout from bo)"
 
 
-def _event_sql(name: str, low: int, high: int, where: str, event: str = "breakout", extra: str = "", source: str = "bo2") -> str:
-    ev = f", ev as (select e.*, rn + unnest(range({low}, {high} + 1)) as target from {source} e where {event})"
-    hit = f", hit as (select e.symbol, min(r.rn) as rn from ev e join bo2 r on r.symbol = e.symbol and r.rn = e.target where {where} group by e.symbol, e.rn)"
-    steps = _BO + extra + ev + hit + f", fl as (select b.*, h.rn is not null as {name} from bo2 b left join (select distinct symbol, rn from hit) h on h.symbol = b.symbol and h.rn = b.rn)"
-    return _sql({name: name}, steps, "fl", plain=(name,))
+def _flag_steps(name: str, ahead: tuple[int, int], holds: str, event: str, level: str, source: str = "bo2", tag: str = "") -> str:
+    """Steps up to fl{tag}, with a flag on the first row of some rows ahead of an event where a condition on {r} (the row, by its
+    lag) and {l} (the event's level) holds."""
+    used = [c for c in ("open", "high", "low", "close", "pc") if "{r}" + c in holds]
+    low, high = ahead
+    lags = ", ".join(f"lag({c}, {k}) over s as {c}_{k}" for k in range(high + 1) for c in (*used, f"ev{tag}", f"lv{tag}"))
+
+    def held(j: int, k: int) -> str:
+        return "coalesce(" + re.sub(r"\{r\}(\w+)", rf"\1_{j}", holds).replace("{l}", f"lv{tag}_{k}") + ", false)"
+
+    flag = " or ".join("(" + " and not ".join([f"coalesce(ev{tag}_{k}, false) and {held(0, k)}", *(held(j, k) for j in range(1, k - low + 1))]) + ")" for k in range(low, high + 1))
+    kept = "symbol, session, open, high, low, close, pc, level"
+    return f", e0{tag} as (select *, {event} as ev{tag}, {level} as lv{tag} from {source}), e1{tag} as (select *, {lags} from e0{tag} #WINDOWS), fl{tag} as (select {kept}, {flag} as {name} from e1{tag})"
+
+
+def _event_sql(name: str, *rule, before: str = "", **more) -> str:
+    return _sql({name: name}, _BO + before + _flag_steps(name, *rule, **more), "fl", plain=(name,))
 
 
 @query("breakout", _sql({"breakout": "breakout", "level": "level"}, _BO, "bo2", plain=("breakout",)))
@@ -196,25 +210,25 @@ def breakout(spark: SparkSession, sf: str) -> DataFrame:
     return _out(pat.breakout(bars(spark, sf)), "breakout", "level")
 
 
-@query("failed_breakout", _event_sql("failed_breakout", 1, 5, "r.close < e.level", "e.breakout"))
+_FAILED = ("failed_breakout", (1, 5), "{r}close < {l}", "breakout", "level")
+
+
+@query("failed_breakout", _event_sql(*_FAILED))
 def failed_breakout(spark: SparkSession, sf: str) -> DataFrame:
     return _out(pat.failed_breakout(bars(spark, sf)), "failed_breakout")
 
 
-@query("gap_fill", _event_sql("gap_filled", 0, 10, "r.low <= e.pc and e.pc <= r.high", "e.pc is not null and (e.open - e.pc) / nullif(e.pc, 0) * 100 <> 0"))
+@query("gap_fill", _event_sql("gap_filled", (0, 10), "{r}low <= {l} and {l} <= {r}high", "pc is not null and (open - pc) / nullif(pc, 0) * 100 <> 0", "pc"))
 def gap_fill(spark: SparkSession, sf: str) -> DataFrame:
     return _out(pat.gap_fill(bars(spark, sf)), "gap_filled")
 
 
-@query("gap_continuation", _event_sql("gap_continuation", 1, 3, "r.open > e.level and r.open > r.pc", "e.breakout"))
+@query("gap_continuation", _event_sql("gap_continuation", (1, 3), "{r}open > {l} and {r}open > {r}pc", "breakout", "level"))
 def gap_continuation(spark: SparkSession, sf: str) -> DataFrame:
     return _out(pat.gap_continuation(bars(spark, sf)), "gap_continuation")
 
 
-_DOWN = ", dn as (select * exclude (level, breakout), low_level as level, coalesce(close < low_level and volume > 1.5 * uv, false) as breakout from (select *, case when count(low) over (partition by symbol order by session rows between 20 preceding and 1 preceding) >= 20 then min(low) over (partition by symbol order by session rows between 20 preceding and 1 preceding) end as low_level from bo2))"
-
-
-@query("gap_continuation_down", _event_sql("gap_continuation", 1, 3, "r.open < e.level and r.open < r.pc", "e.breakout", _DOWN, "dn"))
+@query("gap_continuation_down", _event_sql("gap_continuation", (1, 3), "{r}open < {l} and {r}open < {r}pc", "failed_breakout", "level", before=_flag_steps(*_FAILED, tag="f"), source="flf"))
 def gap_continuation_down(spark: SparkSession, sf: str) -> DataFrame:
     return _out(pat.gap_continuation(bars(spark, sf), up=False), "gap_continuation")
 
@@ -279,7 +293,8 @@ def pullback(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("support_resistance")
 def support_resistance(spark: SparkSession, sf: str) -> DataFrame:
-    return _out(cross.clustered_levels(pat.swings(bars(spark, sf))), "support", "support_touches", "resistance", "resistance_touches")
+    names = (f"{side}{x}" for side in ("resistance", "support") for x in ("", "_touches", "_recency"))
+    return _out(cross.clustered_levels(pat.swings(bars(spark, sf))), *names)
 
 
 # cross-series
@@ -292,9 +307,33 @@ def beta_corr(spark: SparkSession, sf: str) -> DataFrame:
     return _out(cross.beta(bars(spark, sf)), "beta")
 
 
-@query("relative_strength", _sql({"rs_line": "(1 + ret) / nullif(1 + bret, 0)"}, _BM, "r"))
+_CORR = "case when row_number() over s >= 60 and count(case when bret is not null then ret end) over w60 >= 2 and stddev_samp(case when bret is not null then ret end) over w60 > 0 and stddev_samp(case when ret is not null then bret end) over w60 > 0 then covar_samp(ret, bret) over w60 / (stddev_samp(case when bret is not null then ret end) over w60 * stddev_samp(case when ret is not null then bret end) over w60) end"
+
+
+@query("correlation", _sql({"corr": _CORR}, _BM, "r"))
+def correlation(spark: SparkSession, sf: str) -> DataFrame:
+    return _out(cross.correlation(bars(spark, sf)), "corr")
+
+
+_RS = _BM + ", rl as (select *, (1 + ret) / nullif(1 + bret, 0) as rs_line from r), rw as (select *, (rs_line - lag(rs_line, 20) over s) / 20 as rs_slope, list_filter(list(rs_line) over w20, lambda v: v is not null) as l from rl #WINDOWS)"
+_RSP = "case when len(l) >= 20 then len(list_filter(l, lambda v: v <= rs_line)) / len(l) end"
+
+
+@query("relative_strength", _sql({"rs_line": "rs_line", "rs_slope": "rs_slope", "rs_percentile": _RSP}, _RS, "rw"))
 def relative_strength(spark: SparkSession, sf: str) -> DataFrame:
-    return _out(cross.relative_strength(bars(spark, sf)), "rs_line")
+    return _out(cross.strength(bars(spark, sf)), "rs_line", "rs_slope", "rs_percentile")
+
+
+@query("relative_strength_score", _sql({"rs_score": f"({_RSP}) * 100"}, _RS, "rw"))
+def relative_strength_score(spark: SparkSession, sf: str) -> DataFrame:
+    return _out(cross.strength(bars(spark, sf)), "rs_score")
+
+
+@query("sector_strength", f"with {BARS}, {SECURITIES}, sc as (select sector, session, avg(close) as close from bars join securities using (symbol) group by all), cal as (select session, row_number() over (order by session) as day from (select distinct session from sc)), dense as (select x.sector, cal.session, day, sc.close from (select distinct sector from sc) x cross join cal left join sc on sc.sector = x.sector and sc.session = cal.session), ln as (select *, close / nullif(lag(close) over (partition by sector order by day), 0) as line from dense), wn as (select *, list_filter(list(line) over (partition by sector order by day rows between 19 preceding and current row), lambda v: v is not null) as l from ln) select sector, cast(session as varchar) as session, round_even(case when line is not null then len(list_filter(l, lambda v: v <= line)) / len(l) end + 3e-8, 6) + 0.0 as strength from wn where close is not null")
+def sector_strength(spark: SparkSession, sf: str) -> DataFrame:
+    """A day's move of each sector by rank in its own last 20 calendar days."""
+    s = cross.sector_strength(bars(spark, sf), securities(spark, sf))
+    return s.select("sector", F.col("session").cast("string").alias("session"), rounded("strength").alias("strength"))
 
 
 _BR = f", m as (select *, {_full('avg', 'close', 'w50', 50)} as ma from bars #WINDOWS)"

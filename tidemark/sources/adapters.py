@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,13 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, session, open, high, low, close, volume: one row a supplier and shipping day.
 
-    The order of lines within a day is packed into one long, so that all aggregates are of fixed width (a hash aggregate, no
-    sort). Rows are dealt by symbol once: the aggregate and all windows by symbol use that one exchange.
+    The order of lines within a day, (l_orderkey, l_linenumber, l_partkey), is one number of 38 digits: any order key fits, and
+    all aggregates are of fixed width (a hash aggregate, no sort). Each task sums up its own lines before they are sent, so a
+    symbol with a third of all lines is spread over its days; the windows by symbol then get one row a day.
     """
     px = F.col("l_extendedprice") / F.col("l_quantity")
-    order = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * F.lit(1 << 27) + F.col("l_partkey") % (1 << 27)
-    rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"), F.to_date("l_shipdate").alias("session"), px.alias("px"), order.alias("o"), "l_quantity")
-    return rows.repartition("symbol").groupBy("symbol", "session").agg(F.min_by("px", "o").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", "o").alias("close"), F.sum("l_quantity").alias("volume"))
+    within = F.pmod("l_linenumber", F.lit(10**6)).cast("long") * F.lit(10**12) + F.pmod("l_partkey", F.lit(10**12))
+    order = F.col("l_orderkey").cast("decimal(19,0)") * F.lit(Decimal(10**18)) + within.cast("decimal(18,0)")
+    rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"), F.to_date("l_shipdate").alias("session"), px.alias("px"), order.cast("decimal(38,0)").alias("o"), "l_quantity")
+    return rows.groupBy("symbol", "session").agg(F.min_by("px", "o").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", "o").alias("close"), F.sum("l_quantity").alias("volume"))
 
 
 BARS = """line as (
