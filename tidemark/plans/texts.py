@@ -61,15 +61,6 @@ def lexicon_score(spark: SparkSession, sf: str) -> DataFrame:
     return w.select("conv_id", "turn", rounded(tx.lexicon_score(F.col("words"))).alias("score"))
 
 
-@query("ticker_mentions", "with t as (select doc_id, unnest(string_split(lower(trim(regexp_replace(text, '[^a-zA-Z]+', ' ', 'g'))), ' ')) as word from documents), d as (select r_regionkey as id, lower(substr(r_name, 1, 2)) as word from region union all select n_nationkey + 100, lower(substr(n_name, 1, 2)) from nation) select doc_id, id as company, count(*) as mentions from t join d using (word) group by doc_id, id")
-def ticker_mentions(spark: SparkSession, sf: str) -> DataFrame:
-    """Words joined with a broadcast dictionary of 30 short names."""
-    words = F.split(F.lower(F.trim(F.regexp_replace("text", "[^a-zA-Z]+", " "))), " ")
-    t = table(spark, sf, "documents").select("doc_id", F.explode(words).alias("word"))
-    names = table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("company"), F.lower(F.substring("r_name", 1, 2)).alias("word")).unionByName(table(spark, sf, "nation").select((F.col("n_nationkey") + 100).cast("long").alias("company"), F.lower(F.substring("n_name", 1, 2)).alias("word")))
-    return t.join(F.broadcast(names), "word").groupBy("doc_id", "company").agg(F.count("*").alias("mentions"))
-
-
 @query("trading_calendar", f"with {SESSIONS_SQL} select cast(session as varchar) as session, ordinal, strftime(close_utc, '%Y-%m-%d %H:%M:%S') as close_utc from sessions")
 def trading_calendar(spark: SparkSession, sf: str) -> DataFrame:
     s = sessions(spark, "1994-12-01", "2001-12-31")
