@@ -51,7 +51,7 @@ def test_short_series_and_zero_volume_give_nulls(spark):
 
 
 def test_cluster_merges_within_tolerance():
-    assert cluster([100, 101, 120], 0.015) == [(100.5, 2), (120, 1)]
+    assert cluster([(101, 7), (100, 9), (120, 3)], 0.015) == [(100.5, 2, 9), (120, 1, 3)]
 
 
 def test_ramps(spark):

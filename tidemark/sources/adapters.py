@@ -148,3 +148,22 @@ TRADES = """raw_trades as (
   from lineitem join orders on l_orderkey = o_orderkey),
 gross_trades as (select *, (exit_price - entry_price) * shares as gross from raw_trades),
 trades as (select *, gross - cost as net, (gross - cost) / (entry_price * shares) * 100 as return_pct from gross_trades)"""
+
+
+def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """posts with their place in the order of arrival: every eleventh comes 60 places late."""
+    return posts(spark, sf_dir).withColumn("arrival", F.col("post_id") + F.when(F.col("post_id") % 11 == 0, 60).otherwise(0))
+
+
+ARRIVALS = "arrivals as (select *, post_id + case when post_id % 11 = 0 then 60 else 0 end as arrival from posts)"
+
+
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """session, source, arrival, at, ok, error, posts: what each collection of a source came to, one an event."""
+    e, k = posts(spark, sf_dir), F.col("post_id")
+    ok = (k * 31) % 10 < 3
+    return e.select("session", "source", k.alias("arrival"), F.col("created_at").alias("at"), ok.alias("ok"), F.when(~ok, F.concat(F.lit("status "), (500 + k % 4).cast("string"))).alias("error"), F.when(k % 6 != 0, k % 9).alias("posts"))
+
+
+OUTCOMES = """outcomes as (select session, source, post_id as arrival, created_at as seen_at, (post_id * 31) % 10 < 3 as ok,
+  case when not ((post_id * 31) % 10 < 3) then concat('status ', 500 + post_id % 4) end as error, case when post_id % 6 <> 0 then post_id % 9 end as posts from posts)"""
