@@ -1,7 +1,7 @@
 """All registered queries of the reference's operators, with their SQL equivalents."""
 
-from tidemark.plans import arrivals, assessments, classified, evaluation, ledgers, market, portfolio, posts, relational, scores, strategies, texts, tickers
+from tidemark.plans import arrivals, assessments, classified, evaluation, ledgers, market, portfolio, posts, posts_extra, relational, scores, strategies, texts, tickers
 from tidemark.plans import extras  # noqa: I001  its regime table needs the market plans
 from tidemark.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "arrivals", "assessments", "classified", "evaluation", "extras", "ledgers", "market", "portfolio", "posts", "relational", "scores", "strategies", "texts", "tickers"]
+__all__ = ["ORACLE_SQL", "QUERIES", "arrivals", "assessments", "classified", "evaluation", "extras", "ledgers", "market", "portfolio", "posts", "posts_extra", "relational", "scores", "strategies", "texts", "tickers"]
