@@ -19,7 +19,7 @@ ENDERS = ("and added more", "but the chart is weak?", "extremely bullish", "sold
 def texts(spark: SparkSession, sf: str) -> DataFrame:
     pick = lambda xs, n: F.element_at(F.array(*(F.lit(x) for x in xs)), (F.col("post_id") % n + 1).cast("int"))
     tag = F.when(F.col("post_id") % 4 == 0, "bullish").when(F.col("post_id") % 4 == 1, "bearish")
-    return posts(spark, sf).select("post_id", F.concat_ws(" ", pick(OPENERS, 10), pick(MIDDLES, 7), pick(ENDERS, 11)).alias("text"), tag.alias("tag"))
+    return posts(spark, sf).select("post_id", "symbol", "session", F.concat_ws(" ", pick(OPENERS, 10), pick(MIDDLES, 7), pick(ENDERS, 11)).alias("text"), tag.alias("tag"))
 
 
 _LEX = ", ".join(f"('{p}', '{k}', {w})" for k, phrases in cl.LEXICON.items() for p, w in phrases.items())
@@ -32,7 +32,7 @@ _RAW["uncertainty"] += " + any_value(least(1.0, 0.35 * asked))"
 _RAW["pump_and_dump"] += f" + 0.3 * {_RAW['short_squeeze']}"
 _SUM = lambda label, neg: f"coalesce(sum(w) filter (label = '{label}' and {'' if neg else 'not '}negated), 0.0)"
 _list = lambda xs: str([x for x in xs])
-SCORES = f"""{POSTS}, tx as (select post_id, concat_ws(' ', {_list(OPENERS)}[post_id % 10 + 1], {_list(MIDDLES)}[post_id % 7 + 1], {_list(ENDERS).replace('"', "'").replace("don't", "don''t")}[post_id % 11 + 1]) as text,
+SCORES = f"""{POSTS}, tx as (select post_id, symbol, session, concat_ws(' ', {_list(OPENERS)}[post_id % 10 + 1], {_list(MIDDLES)}[post_id % 7 + 1], {_list(ENDERS).replace('"', "'").replace("don't", "don''t")}[post_id % 11 + 1]) as text,
   case post_id % 4 when 0 then 'bullish' when 1 then 'bearish' end as tag from posts),
 lexicon(phrase, label, weight) as (values {_LEX}),
 tk as (select *, regexp_extract_all(lower(text), '[a-z0-9'']+') as t, length(text) - length(replace(text, '!', '')) as marks, length(text) - length(replace(text, '?', '')) as asked, len(regexp_extract_all(text, '\\b[A-Z]{{3,}}\\b')) as caps from tx),

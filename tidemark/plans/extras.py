@@ -40,8 +40,9 @@ def ambiguous_symbols(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("ticker", ((F.length("ticker") <= 1) | F.col("ticker").isin(*_COMMON)).alias("ambiguous"))
 
 
-_STATES = {"bull_quiet": (1.0, 0.5, True), "bull_volatile": (0.75, 0.25, True), "neutral": (0.75, 0.0, True), "bear_quiet": (0.5, -0.25, False), "bear_volatile": (0.25, -0.5, False)}
-_TABLE = ", ".join(f"('{k}', {a}, {b}, {str(c).lower()})" for k, (a, b, c) in _STATES.items())
+#: Market states: size, bias, and whether longs are allowed.
+STATES = {"bull_quiet": (1.0, 0.5, True), "bull_volatile": (0.75, 0.25, True), "neutral": (0.75, 0.0, True), "bear_quiet": (0.5, -0.25, False), "bear_volatile": (0.25, -0.5, False)}
+_TABLE = ", ".join(f"('{k}', {a}, {b}, {str(c).lower()})" for k, (a, b, c) in STATES.items())
 
 
 def _regime_sql() -> str:
@@ -56,7 +57,7 @@ def _register_regime() -> None:
         """How much of a position a market state allows, and which way it leans."""
         from tidemark.registry import QUERIES
 
-        states = spark.createDataFrame([(k, *v) for k, v in _STATES.items()], "regime string, size double, bias double, longs boolean")
+        states = spark.createDataFrame([(k, *v) for k, v in STATES.items()], "regime string, size double, bias double, longs boolean")
         return QUERIES["regime_series"](spark, sf).join(F.broadcast(states), "regime").select("session", "regime", "size", "bias", "longs")
 
 

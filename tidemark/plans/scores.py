@@ -6,52 +6,90 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import by_symbol, full, lag, rounded
-from tidemark.operators import assessment, scoring as sc
+from tidemark.operators import assessment, classifier as cl, cross, indicators as ind, relations as rel, scoring as sc
+from tidemark.plans import classified
 from tidemark.plans.assessments import DAILY
+from tidemark.plans.classified import SCORES
+from tidemark.plans.extras import STATES
+from tidemark.plans.market import _EMA, _RG, _RS, _RSP
 from tidemark.registry import query
-from tidemark.sources.adapters import BARS, EARNINGS, POSTS, RICH, SECURITIES, bars, earnings, rich_posts, securities
+from tidemark.sources.adapters import BARS, EARNINGS, POSTS, RICH, SECURITIES, SHIFT, bars, earnings, rich_posts, securities
 
 _r = lambda x, n: f"round_even({x} + 3e-8, 6) + 0.0 as {n}"
 _KEYS = "symbol, cast(session as varchar) as session, direction"
 
 
+STALE = 7  # days for which a daily sentiment row counts
+_FAST, _SLOW = 2, 10  # days of the two means whose difference is the acceleration
+
+
+def crowd(spark: SparkSession, sf: str) -> DataFrame:
+    """The daily sentiment row of each symbol, moved to the bars' years, with acceleration, catalyst quality and rumour."""
+    day = assessment.sentiment_daily(rich_posts(spark, sf))
+    w = Window.partitionBy("symbol").orderBy(F.datediff("session", F.lit("1970-01-01").cast("date")))
+    mean = lambda n: F.sum(F.col("raw") * F.col("post_count")).over(w.rangeBetween(1 - n, 0)) / F.sum("post_count").over(w.rangeBetween(1 - n, 0))
+    labels = cl.classify(classified.texts(spark, sf)).groupBy("symbol", "session").agg(F.avg(F.greatest(*CATALYSTS)).alias("catalyst_quality"), F.avg("rumour").alias("rumour"))
+    d = day.withColumn("acceleration", mean(_FAST) - mean(_SLOW)).join(labels, ["symbol", "session"])
+    return d.select("symbol", F.date_sub("session", SHIFT).alias("session"), *CROWD)
+
+
+CATALYSTS = ("product_catalyst", "regulatory_catalyst", "earnings_speculation")
+CROWD = ("post_count", "authors", "raw", "engagement_weighted", "credibility_weighted", "unique_author", "manipulation_risk", "confidence", "acceleration", "catalyst_quality", "rumour")
+
+
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """One row a bar from the 21st on: features, listing, the sentiment of the symbol's last earlier day with posts by month and day, earnings
-    distance. Odd suppliers are shorts."""
-    b = bars(spark, sf).withColumn("dv", F.col("close") * F.col("volume"))
-    ret = F.col("close") / lag("close") - 1
-    b = b.withColumn("ret", ret).withColumn("rn", F.row_number().over(by_symbol()))
-    f = b.select(
-        "symbol", "session", F.col("close").alias("price"), "rn",
+    """One row a bar from the 21st on: the library's own indicators, market state and listing, the symbol's last daily sentiment row of at
+    most STALE days ago, and the distance to the next report. Odd suppliers are shorts."""
+    b = bars(spark, sf)
+    f = cross.strength(b).withColumn("dv", F.col("close") * F.col("volume")).withColumn("rn", F.row_number().over(by_symbol()))
+    f = ind.on_balance_volume(f)
+    f = f.select(
+        "symbol", "session", F.col("close").alias("price"), "rn", F.col("rs_score").alias("rs_percentile"), ((F.col("obv") - lag("obv", 10)) / 10).alias("obv_slope_10"),
         ((F.col("close") / lag("close", 10) - 1) * 100).alias("roc_10"), ((F.col("close") / lag("close", 20) - 1) * 100).alias("roc_20"),
-        (F.col("volume") / full(F.avg, "volume", 20, prior=True)).alias("rel_volume_20"), (F.col("volume") - lag("volume", 10)).alias("obv_slope_10"),
-        full(F.avg, "dv", 20).alias("adv_20"), (full(F.stddev_samp, "ret", 20) * F.sqrt(F.lit(252.0))).alias("hv_20"),
-        full(F.avg, F.col("high") - F.col("low"), 14).alias("atr"),
-    ).where("rn > 20").withColumn("atr_pct", F.col("atr") / F.col("price") * 100).withColumn("direction", F.when(F.substring("symbol", 2, 9).cast("int") % 2 == 1, "short").otherwise("long"))
-    day = assessment.sentiment_daily(rich_posts(spark, sf)).withColumn("turn", F.date_format("session", "MM-dd")).groupBy("symbol", "turn").agg(F.max_by(F.struct("post_count", "authors", "raw", "engagement_weighted", "credibility_weighted", "unique_author", "manipulation_risk", "confidence"), "session").alias("s")).select("symbol", "turn", "s.*")
+        (F.col("volume") / full(F.avg, "volume", 20, prior=True)).alias("rel_volume_20"), full(F.avg, "dv", 20).alias("adv_20"),
+        (full(F.stddev_samp, "ret", 20) * F.sqrt(F.lit(252.0))).alias("hv_20"),
+    ).where("rn > 20").join(ind.smoothed(b, ("atr14",)).withColumnRenamed("atr14", "atr"), ["symbol", "session"])
+    f = f.withColumn("atr_pct", F.col("atr") / F.col("price") * 100).withColumn("direction", F.when(F.substring("symbol", 2, 9).cast("int") % 2 == 1, "short").otherwise("long"))
+    bias = F.create_map(*(F.lit(x) for k, v in STATES.items() for x in (k, v[1])))
+    market = cross.regime(b).select("session", F.col("trend").alias("trend_score"), F.try_element_at(bias, F.col("regime")).alias("bias"))
+    known = rel.backward_asof(f.select("symbol", "session"), crowd(spark, sf), list(CROWD), keep_key="said")
+    known = known.select("symbol", "session", *(F.when(F.datediff("session", "said") <= STALE, F.col(c)).alias(c) for c in CROWD))
     due = earnings(spark, sf).groupBy("symbol", F.col("report_date").alias("session")).agg(F.bool_or("confirmed").alias("confirmed"))
     # the next report on or after a session: reports and sessions of a symbol in one backward window
     both = f.select("symbol", "session").withColumn("report", F.lit(None).cast("struct<at:date,confirmed:boolean>")).unionByName(due.select("symbol", "session", F.struct(F.col("session").alias("at"), "confirmed").alias("report")))
     ahead = Window.partitionBy("symbol").orderBy(F.col("session").desc()).rangeBetween(Window.unboundedPreceding, 0)
     upcoming = both.withColumn("next", F.last("report", ignorenulls=True).over(ahead)).where("report is null").select("symbol", "session", F.datediff("next.at", "session").alias("days_to_earnings"), "next.confirmed")
-    out = f.withColumn("turn", F.date_format("session", "MM-dd")).join(day, ["symbol", "turn"], "left").join(upcoming, ["symbol", "session"]).join(securities(spark, sf), "symbol")
-    trend = F.when(F.col("roc_20") > 0, 0.5).otherwise(-0.5)
-    return out.withColumns({"bars_available": F.col("rn"), "rs_percentile": sc.scale(F.col("roc_20"), -30.0, 30.0), "trend_score": trend, "bias": trend / 2, "acceleration": F.col("raw") - F.col("unique_author"), "catalyst_quality": F.abs("raw"), "rumour": F.lit(0.2), "requires_sentiment": F.col("direction") == "long", "entry_low": F.col("price") - F.col("atr") * ((F.col("rn") % 5) - 2), "reward_risk": 1.0 + (F.col("rn") % 10) / 5}).withColumn("entry_high", F.col("entry_low") + F.col("atr") * 0.5)
-
-
-CANDIDATES = f"""{POSTS}, {RICH}, {DAILY}, {BARS}, {EARNINGS}, {SECURITIES},
-b1 as (select *, close * volume as dv, close / lag(close) over s - 1 as ret, row_number() over s as rn from bars window s as (partition by symbol order by session)),
+    out = f.join(known, ["symbol", "session"], "left").join(upcoming, ["symbol", "session"]).join(market, "session").join(securities(spark, sf), "symbol")
+    return out.withColumns({"bars_available": F.col("rn"), "requires_sentiment": F.col("direction") == "long", "entry_low": F.col("price") - F.col("atr") * ((F.col("rn") % 5) - 2), "reward_risk": 1.0 + (F.col("rn") % 10) / 5}).withColumn("entry_high", F.col("entry_low") + F.col("atr") * 0.5)
+
+
+def _inner(sql: str) -> str:
+    """The steps of another query over bars, as a with of its own."""
+    return "with " + sql.split(BARS + ", ", 1)[1]
+
+
+_FRAMES = "window s as (partition by symbol order by session), a as (partition by symbol order by session rows unbounded preceding), w20 as (partition by symbol order by session rows between 19 preceding and current row)"
+_CROWD = f"""labels as (select tx.symbol, tx.session, avg(greatest({', '.join(CATALYSTS)})) as catalyst_quality, avg(rumour) as rumour from sc join tx using (post_id) group by all),
+crowd as (select d.*, l.catalyst_quality, l.rumour, d.session - {SHIFT} as said,
+  sum(raw * post_count) over (partition by d.symbol order by d.session range between interval {_FAST - 1} day preceding and current row) / sum(post_count) over (partition by d.symbol order by d.session range between interval {_FAST - 1} day preceding and current row)
+  - sum(raw * post_count) over (partition by d.symbol order by d.session range between interval {_SLOW - 1} day preceding and current row) / sum(post_count) over (partition by d.symbol order by d.session range between interval {_SLOW - 1} day preceding and current row) as acceleration
+  from daily d join labels l on l.symbol = d.symbol and l.session = d.session)"""
+_SAID = ", ".join(f"case when f0.session - c.said <= {STALE} then c.{x} end as {x}" for x in CROWD)
+CANDIDATES = f"""{SCORES.replace(POSTS + ', ', POSTS + ', ' + RICH + ', ' + DAILY + ', ', 1)}, {BARS}, {EARNINGS}, {SECURITIES}, {_CROWD},
+rgm as ({_inner(_RG)}), rss as (with {_RS.removeprefix(', ').replace('#WINDOWS', _FRAMES)} select symbol, session, ({_RSP}) * 100 as rs_percentile from rw),
+emr as (with {_EMA.removeprefix(', ').replace('#WINDOWS', _FRAMES)} select symbol, session, atr from e),
+b0 as (select *, coalesce(sign(close - lag(close) over s) * volume, 0.0) as step from bars window s as (partition by symbol order by session)),
+b1 as (select *, close * volume as dv, close / lag(close) over s - 1 as ret, row_number() over s as rn, sum(step) over a as obv from b0 window s as (partition by symbol order by session), a as (partition by symbol order by session rows unbounded preceding)),
 f0 as (select symbol, session, close as price, rn, (close / lag(close, 10) over s - 1) * 100 as roc_10, (close / lag(close, 20) over s - 1) * 100 as roc_20,
-  volume / avg(volume) over p20 as rel_volume_20, volume - lag(volume, 10) over s as obv_slope_10, avg(dv) over w20 as adv_20, stddev_samp(ret) over w20 * sqrt(252.0) as hv_20, avg(high - low) over w14 as atr,
+  volume / avg(volume) over p20 as rel_volume_20, (obv - lag(obv, 10) over s) / 10 as obv_slope_10, avg(dv) over w20 as adv_20, stddev_samp(ret) over w20 * sqrt(252.0) as hv_20,
   case when cast(substr(symbol, 2) as int) % 2 = 1 then 'short' else 'long' end as direction from b1
-  window s as (partition by symbol order by session), p20 as (partition by symbol order by session rows between 20 preceding and 1 preceding), w20 as (partition by symbol order by session rows between 19 preceding and current row), w14 as (partition by symbol order by session rows between 13 preceding and current row)),
-turns as (select *, strftime(session, '%m-%d') as turn from daily), crowd as (select * from (select *, row_number() over (partition by symbol, turn order by session desc) as k from turns) where k = 1),
-due as (select symbol, report_date, bool_or(confirmed) as confirmed from earnings group by all),
-cand as (select f0.*, atr / price * 100 as atr_pct, c.post_count, c.authors, c.raw, c.engagement_weighted, c.credibility_weighted, c.unique_author, c.manipulation_risk, c.confidence,
-  d.report_date - f0.session as days_to_earnings, d.confirmed, x.exchange, x.market_cap_usd, x.is_etf, rn as bars_available, least(100.0, greatest(0.0, (roc_20 + 30.0) / 60.0 * 100.0)) as rs_percentile,
-  case when roc_20 > 0 then 0.5 else -0.5 end as trend_score, case when roc_20 > 0 then 0.25 else -0.25 end as bias, raw - unique_author as acceleration, abs(raw) as catalyst_quality, 0.2 as rumour, direction = 'long' as requires_sentiment,
-  price - atr * ((rn % 5) - 2) as entry_low, price - atr * ((rn % 5) - 2) + atr * 0.5 as entry_high, 1.0 + (rn % 10) / 5 as reward_risk
-  from f0 asof left join due d on f0.symbol = d.symbol and f0.session <= d.report_date left join crowd c on c.symbol = f0.symbol and c.turn = strftime(f0.session, '%m-%d') join securities x on x.symbol = f0.symbol where rn > 20)"""
+  window s as (partition by symbol order by session), p20 as (partition by symbol order by session rows between 20 preceding and 1 preceding), w20 as (partition by symbol order by session rows between 19 preceding and current row)),
+due as (select symbol, report_date, bool_or(confirmed) as confirmed from earnings group by all), states(regime, bias) as (values {', '.join(f"('{k}', {v[1]})" for k, v in STATES.items())}),
+cand as (select f0.*, emr.atr, emr.atr / price * 100 as atr_pct, {_SAID},
+  d.report_date - f0.session as days_to_earnings, d.confirmed, x.exchange, x.market_cap_usd, x.is_etf, rn as bars_available, rss.rs_percentile, rgm.trend as trend_score, states.bias, direction = 'long' as requires_sentiment,
+  price - emr.atr * ((rn % 5) - 2) as entry_low, price - emr.atr * ((rn % 5) - 2) + emr.atr * 0.5 as entry_high, 1.0 + (rn % 10) / 5 as reward_risk
+  from f0 asof left join due d on f0.symbol = d.symbol and f0.session <= d.report_date asof left join crowd c on c.symbol = f0.symbol and c.said <= f0.session join securities x on x.symbol = f0.symbol
+  join emr on emr.symbol = f0.symbol and emr.session = f0.session join rss on rss.symbol = f0.symbol and rss.session = f0.session join rgm on rgm.session = cast(f0.session as varchar) join states on states.regime = rgm.regime where rn > 20)"""
 _s = lambda x, lo, hi: f"least(100.0, greatest(0.0, ({x} - ({lo})) / ({hi} - ({lo})) * 100.0))"
 _h = lambda x: f"least(100.0, greatest(0.0, {x}))"
 _G = "case when direction = 'short' then -1.0 else 1.0 end"

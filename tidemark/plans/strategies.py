@@ -11,10 +11,7 @@ from tidemark.operators import snapshots as snap
 from tidemark.operators import strategies as st
 from tidemark.plans.market import _full
 from tidemark.registry import query
-from tidemark.sources.adapters import BARS, EARNINGS, POSTS, TRADES, bars, earnings, posts, table, trades
-
-#: Posts lie in 2024, bars in 1995 to 2001: posts are moved back by this many days to meet them.
-SHIFT = 9496
+from tidemark.sources.adapters import BARS, EARNINGS, POSTS, SHIFT, TRADES, bars, earnings, posts, table, trades
 
 
 def feature_rows(spark: SparkSession, sf: str) -> DataFrame:
