@@ -317,41 +317,62 @@ def test_toxicity_model_equals_brute_force(spark):
     pair = [collections.Counter(p for i in train if toxic[i] == c for p in set(zip(seqs[i], seqs[i][1:], strict=False))) for c in (0, 1)]
     share = sum(len(texts[i]) for i in train if toxic[i]) / sum(len(texts[i]) for i in train)
 
-    def gated(n0, n1):
-        return abs(n1 - (n0 + n1) * share) >= toxicity.GATE * ((n0 + n1) * share * (1 - share)) ** 0.5
+    def evidence(n0, n1):
+        n = n0 + n1
+        return (n1 * np.log(n1 / (n * share)) if n1 else 0) + (n0 * np.log(n0 / (n * (1 - share))) if n0 else 0)
 
-    def d(counter):
-        one, two = (sum(v == k for v in counter.values()) for k in (1, 2))
+    def weight(g):
+        return 1 / (1 + np.exp(toxicity.PRIOR - g))
+
+    def d(counts):
+        one, two = (sum(v == k for v in counts) for k in (1, 2))
         return one / (one + 2 * two) if one else 0.5
 
-    every = set(pair[0]) | set(pair[1])
-    before = collections.Counter(w for _, w in every)
-    total = [sum(word[c].values()) for c in (0, 1)]
+    before = [collections.Counter(w for _, w in pair[c]) for c in (0, 1)]
+    kinds = [sum(b.values()) for b in before]
 
     def low(c, w):
-        s = before[w] / len(every)
-        if gated(word[0][w], word[1][w]):
-            return max(word[c][w] - d(word[c]), 0) / total[c] + d(word[c]) * len(word[c]) / total[c] * s
-        return max(max(word[0][w] + word[1][w] - d(word[0]) - d(word[1]), 0), s) / sum(total)
+        s = (before[0][w] + before[1][w]) / sum(kinds)
+        p = max(before[c][w] - d(before[c].values()), 0) / kinds[c] + d(before[c].values()) * len(before[c]) / kinds[c] * s
+        t = weight(evidence(word[0][w], word[1][w]))
+        return t * p + (1 - t) * s
 
     def log(c, u, w):
         after = {p: n for p, n in pair[c].items() if p[0] == u}
         if not after:
             return np.log(low(c, w))
-        n = sum(after.values())
-        return np.log(max(pair[c][u, w] - d(pair[c]), 0) / n + min(d(pair[c]) * len(after) / n, 1) * low(c, w))
+        n, rate = sum(after.values()), d(pair[c].values())
+        t = weight(evidence(pair[0][u, w], pair[1][u, w]))
+        return np.log(t * (max(pair[c][u, w] - rate, 0) / n + min(rate * len(after) / n, 1) * low(c, w)) + (1 - t) * low(c, w))
 
     seen = set()
     for i in train[:60]:
-        h, u, _ = toxicity.pairs(next(toxicity.chunks([texts[i].encode()])))
+        h, u, doc = toxicity.pairs(next(toxicity.chunks([texts[i].encode()])))
+        total = 0.0
         for (a, b), x in zip(zip(seqs[i], seqs[i][1:], strict=False), model.difference(h, u).tolist(), strict=True):
-            on = gated(pair[0][a, b], pair[1][a, b])
-            want = log(1, a, b) - log(0, a, b) if on else np.log(low(1, b) / low(0, b)) if gated(word[0][b], word[1][b]) else 0
+            on = evidence(pair[0][a, b], pair[1][a, b]) >= toxicity.PRIOR
+            want = log(1, a, b) - log(0, a, b) if on else np.log(low(1, b) / low(0, b)) if evidence(word[0][b], word[1][b]) >= toxicity.LEAST else 0
             seen.add((on, want != 0))
-            assert abs(x - np.clip(want, -toxicity.CLIP, toxicity.CLIP)) < 1e-9
+            total += want
+            assert abs(x - want) < 1e-9
+        assert abs(model.mean(next(toxicity.chunks([texts[i].encode()])))[0] - total / len(doc)) < 1e-9
     assert seen == {(True, True), (False, True), (False, False)}
 
 
+def test_toxicity_scores_differ_and_models_have_a_limit(spark):
+    rng, texts = random.Random(4), []
+    for i in range(400):
+        w = rng.choices([f"w{k}" for k in range(80)], k=30)
+        if i % 4 == 0:
+            w[rng.randrange(30)] = "scum"
+        texts.append(" ".join(w))
+    d, known = docs(spark, texts), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    plain = [r["score"] for r in toxicity.score(d, toxicity.fit(d, known)).collect() if r["held_out"] and r["doc_id"] % 4]
+    assert len(set(plain)) > 0.5 * len(plain)
+    with pytest.raises(ValueError, match="too large to broadcast"):
+        toxicity.fit(d, known, limit=3)
+
+
 def test_toxicity_keeps_words_apart_that_share_17_bits(spark):
     many = [f"w{i}" for i in range(1_300_000)]
     h, _, _ = toxicity.pairs(next(toxicity.chunks([" ".join(many).encode()])))
