@@ -176,3 +176,20 @@ def test_digest_of_a_cut_character(spark):
     assert kept == {0: " one", 1: " two"}
     raw = {r["doc_id"]: r["kept_sha256"] for r in suffix_dedup.spans(d).collect()}
     assert raw[0] == hashlib.sha256("é one".encode()[1:]).hexdigest()
+
+
+def test_candidates_with_many_diagonals_are_verified(spark, monkeypatch):
+    """Items in texts of which they are a rotation many times over, an edited copy among them; also with all windows left out."""
+    rng = random.Random(9)
+    unit = prose(3, 4)
+    item = " ".join([unit] * 6) + " end"
+    changed = list(item)
+    for at in rng.sample(range(20, len(item) - 20), max(1, int(len(item) * decontaminate.MAX_EDITS) - 2)):
+        changed[at] = "#"
+    texts = [" ".join([unit] * 40) + " " + "".join(changed) + " " + " ".join([unit] * 40), " ".join([unit] * 80), prose(8, 300), "x " + item]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = lambda: sorted((r["doc_id"], r["edits"]) for r in decontaminate.matches(docs(spark, texts), items).collect())
+    want = found()
+    assert {d for d, _ in want} >= {0, 3} and (3, 0) in want and 2 not in {d for d, _ in want}
+    monkeypatch.setattr(decontaminate, "STARTS", 0)
+    assert found() == want

@@ -44,7 +44,7 @@ RECALL, AGREE = 0.999, 0.3
 TABLES = math.ceil(math.log(1 - RECALL) / math.log(1 - AGREE**SAMPLES))
 SEED = 77
 PERIOD = 4096  # steps after which a walk's bits come again
-STARTS = 6  # windows of one candidate, spread over its diagonals
+STARTS = 6  # windows of one candidate; one with more diagonals goes to the exact verification without them
 SHARED = 50  # places of a gram in the items of a block from which on an item may leave it out
 HITS = 1 << 21  # hits of grams and items that are held at a time, unless one text has more
 SCHEMA = "doc_id long, item_id long, edits int, place long"
@@ -274,8 +274,8 @@ class Matcher:
             near = sorted({min(max(s, int(start[x])), int(end[x])) for s in diagonals})
             # the item may start up to k places from a diagonal whose grams lie behind some edits
             near = sorted({*near, max(near[0] - k, a), near[0] + k}) if k else near
-            if len(near) > STARTS:
-                near = [near[j * (len(near) - 1) // (STARTS - 1)] for j in range(STARTS)]
+            if len(near) > STARTS:  # no window stands for the others: all of them are verified
+                near = []
             yield x, i, [buf[s : min(s + size, int(end[x]))].tobytes() for s in near], buf[a:b].tobytes(), a - int(start[x])
 
     def verified(self, held: list[tuple[int, int, list[bytes], bytes, int]]) -> Iterator[tuple[int, int, int, int]]:
@@ -286,12 +286,15 @@ class Matcher:
         if new:
             own = [self.items[self.first[i]] for i in new]
             self.bucket.update(zip(new, self.walks.buckets(own, np.array([len(x) for x in own], np.int64)), strict=True))
-        owner = np.repeat(np.arange(len(held)), [len(x[2]) for x in held])
-        size = np.array([len(self.items[self.first[x[1]]]) for x in held], np.int64)[owner]
-        keys = self.walks.buckets([w for x in held for w in x[2]], size)
-        shared = (keys == np.stack([self.bucket[x[1]] for x in held])[owner]).any(1)
+        windows = np.array([len(x[2]) for x in held])
+        owner = np.repeat(np.arange(len(held)), windows)
+        left = np.flatnonzero(windows == 0)
+        if len(owner):
+            size = np.array([len(self.items[self.first[x[1]]]) for x in held], np.int64)[owner]
+            keys = self.walks.buckets([w for x in held for w in x[2]], size)
+            left = np.union1d(left, owner[(keys == np.stack([self.bucket[x[1]] for x in held])[owner]).any(1)])
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for h in np.unique(owner[shared]).tolist():
+        for h in left.tolist():
             d, i, _, text, at = held[h]
             if best.get((d, i), (1,))[0] == 0:
                 continue
