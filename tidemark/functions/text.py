@@ -14,7 +14,7 @@ INJECTION = r"(?i)(ignore (all |any )?(previous|prior) instructions|system promp
 PLACEHOLDERS = ((r"https?://\S+", "[url]"), (r"[\w.+-]+@[\w-]+\.[\w.]+", "[email]"), (r"\+?\d[\d ()-]{7,}\d", "[phone]"), (r"@\w{2,}", "[user]"))
 #: Words that say how a company is incorporated.
 LEGAL = ("inc", "incorporated", "corp", "corporation", "co", "company", "ltd", "limited", "plc", "llc", "holdings", "group", "sa", "ag", "nv")
-POSITIVE = ("good", "great", "strong", "gain", "bull", "up", "win", "beat", "rally", "the")
+POSITIVE = ("good", "great", "strong", "gain", "bull", "up", "win", "beat", "rally")
 NEGATIVE = ("bad", "weak", "loss", "bear", "down", "miss", "crash", "scam", "worthless", "idiot")
 
 

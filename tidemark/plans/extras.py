@@ -87,12 +87,16 @@ def cap_enrichment(spark: SparkSession, sf: str) -> DataFrame:
     return securities(spark, sf).join(p, "symbol", "left").select("symbol", F.coalesce("market_cap_usd", derived).alias("market_cap_usd"), origin.alias("origin"))
 
 
-@query("backfill_dates", f"with {BARS}, {SESSIONS_SQL}, h as (select distinct session from bars where cast(substr(symbol, 2) as bigint) <= 2) select cast(s.session as varchar) as session, row_number() over (order by s.session desc) as turn from sessions s anti join h on h.session = s.session")
+@query("backfill_dates", f"with {BARS}, {SESSIONS_SQL}, {SECURITIES}, h as (select session, count(*) as have from bars join securities using (symbol) group by session), u as (select count(*) as listed from securities) select cast(s.session as varchar) as session, coalesce(have, 0) as have, row_number() over (order by s.session desc) as turn from sessions s cross join u left join h on h.session = s.session where coalesce(have, 0) * 2 < listed")
 def backfill_dates(spark: SparkSession, sf: str) -> DataFrame:
-    """Sessions that two symbols don't cover yet, newest first: some 250 rows a year."""
-    have = bars(spark, sf).where("cast(substr(symbol, 2) as bigint) <= 2").select("session").distinct()
-    left = sessions(spark, "1994-12-01", "2001-12-31").select("session").join(have, "session", "left_anti")
-    return left.select(F.col("session").cast("string").alias("session"), F.row_number().over(Window.orderBy(F.desc("session"))).alias("turn"))
+    """Sessions on which less than half of the listed symbols have a bar, newest first: some 250 rows a year. Bars are counted by session in
+    each task before they are sent."""
+    listed = securities(spark, sf).select("symbol")
+    have = bars(spark, sf).select("symbol", "session").join(listed, "symbol", "left_semi").groupBy("session").agg(F.count("*").alias("have"))
+    size = F.broadcast(listed.agg(F.count("*").alias("listed")))  # one row
+    left = sessions(spark, "1994-12-01", "2001-12-31").select("session").join(have, "session", "left").crossJoin(size).withColumn("have", F.coalesce("have", F.lit(0)))
+    left = left.where(F.col("have") * 2 < F.col("listed"))
+    return left.select(F.col("session").cast("string").alias("session"), "have", F.row_number().over(Window.orderBy(F.desc("session"))).alias("turn"))
 
 
 @query("chart_indicators", f"with {BARS}, c as (select * from bars where session >= date '1998-01-01'), w as (select *, count(close) over w20 as n, avg(close) over w20 as mid, stddev_pop(close) over w20 as sd from c window w20 as (partition by symbol order by session rows between 19 preceding and current row)) select symbol, {_S}, {_r('case when n >= 20 then mid end', 'sma20')}, {_r('case when n >= 20 then mid + 2 * sd end', 'upper')}, {_r('case when n >= 20 then mid - 2 * sd end', 'lower')} from w")

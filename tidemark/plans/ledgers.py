@@ -186,11 +186,24 @@ def current_session(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("sessions_covered", f"with {SESSIONS_SQL}, f as (select o_custkey % 50 as fetch_id, min(o_orderdate) as since, max(o_orderdate) as until from orders group by 1) select fetch_id, count(*) as sessions, cast(min(session) as varchar) as first, cast(max(session) as varchar) as last from f join sessions on close_utc > since and close_utc <= until group by fetch_id")
 def sessions_covered(spark: SparkSession, sf: str) -> DataFrame:
-    """Sessions whose close falls into a fetch's span: closes are counted by ordinals at its two ends, no range join of rows."""
-    s = sessions(spark, "1994-12-01", "2001-12-31").select("session", "close_utc")
+    """Sessions whose close falls into a fetch's span. Each end of a span finds the number of closes up to it by its day, so all joins are
+    equalities with a calendar of one row a day, and no session is made a row for each fetch."""
+    w = Window.partitionBy(F.lit(0)).orderBy("day")
+    s = sessions(spark, "1994-12-01", "2001-12-31").select("session", F.col("ordinal").cast("long").alias("ordinal"), "close_utc")
+    days = s.agg(F.explode(F.sequence(F.min("session"), F.date_add(F.max("session"), 1))).alias("day"))
+    closes = s.select(F.to_date("close_utc").alias("day"), "close_utc", "ordinal")
+    days = days.join(closes, "day", "left").withColumn("before", F.coalesce(F.max("ordinal").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     f = table(spark, sf, "orders").groupBy((F.col("o_custkey") % 50).alias("fetch_id")).agg(F.min("o_orderdate").alias("since"), F.max("o_orderdate").alias("until"))
-    j = f.join(F.broadcast(s), (F.col("close_utc") > F.col("since")) & (F.col("close_utc") <= F.col("until")))  # some 250 sessions a year
-    return j.groupBy("fetch_id").agg(F.count("*").alias("sessions"), F.min("session").cast("string").alias("first"), F.max("session").cast("string").alias("last"))
+
+    def upto(x: DataFrame, end: str, name: str) -> DataFrame:
+        """The number of closes at or before an end of the span."""
+        found = x.join(F.broadcast(days.withColumnRenamed("day", "_day")), F.to_date(end) == F.col("_day"), "left")
+        return found.withColumn(name, F.col("before") + F.when(F.col("close_utc") <= F.col(end), 1).otherwise(0)).drop("_day", "close_utc", "ordinal", "before")
+
+    j = upto(upto(f, "since", "n0"), "until", "n1").where("n1 > n0")
+    at = lambda name: F.broadcast(s.select(F.col("ordinal").alias(name), F.col("session").cast("string").alias(f"s_{name}")))
+    j = j.withColumns({"a": F.col("n0") + 1, "z": F.col("n1")}).join(at("a"), "a").join(at("z"), "z")
+    return j.select("fetch_id", (F.col("n1") - F.col("n0")).alias("sessions"), F.col("s_a").alias("first"), F.col("s_z").alias("last"))
 
 
 @query("social_seed", f"with {POSTS}, {TRADES}, h as (select symbol, 1 as p, max(net) as s from trades where net > 0 group by symbol order by s desc, symbol limit 10), r as (select symbol, 2 as p, count(*) as s from trades where entry_session >= date '1998-01-01' group by symbol order by s desc, symbol limit 20), t as (select symbol, 3 as p, count(*) as s from posts group by symbol order by s desc, symbol limit 20), u as (select symbol, min(p) as p from (select symbol, p from h union all select symbol, p from r union all select symbol, p from t) group by symbol) select symbol, p as priority from u order by p, symbol limit 30")
