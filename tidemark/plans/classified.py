@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import rounded
@@ -16,10 +16,15 @@ MIDDLES = ("after the guidance beat", "slightly lower tomorrow", "to the MOON!!!
 ENDERS = ("and added more", "but the chart is weak?", "extremely bullish", "sold everything!", "not sure", "don't panic", "guaranteed upside!", "puts look better", "before the launch", "patent lawsuit rumour", "hold")
 
 
-def texts(spark: SparkSession, sf: str) -> DataFrame:
+def composed() -> Column:
+    """The text of a post: an opener, a middle and an ender, by its number."""
     pick = lambda xs, n: F.element_at(F.array(*(F.lit(x) for x in xs)), (F.col("post_id") % n + 1).cast("int"))
+    return F.concat_ws(" ", pick(OPENERS, 10), pick(MIDDLES, 7), pick(ENDERS, 11))
+
+
+def texts(spark: SparkSession, sf: str) -> DataFrame:
     tag = F.when(F.col("post_id") % 4 == 0, "bullish").when(F.col("post_id") % 4 == 1, "bearish")
-    return posts(spark, sf).select("post_id", "symbol", "session", F.concat_ws(" ", pick(OPENERS, 10), pick(MIDDLES, 7), pick(ENDERS, 11)).alias("text"), tag.alias("tag"))
+    return posts(spark, sf).select("post_id", "symbol", "session", composed().alias("text"), tag.alias("tag"))
 
 
 _LEX = ", ".join(f"('{p}', '{k}', {w})" for k, phrases in cl.LEXICON.items() for p, w in phrases.items())
