@@ -65,7 +65,7 @@ def performance(trades: DataFrame, by: list[str], capital: float) -> DataFrame:
     """Counts, means, interval of the win rate, turnover and concentration of profit."""
     won, lost = F.col("return_pct") > BREAKEVEN, F.col("return_pct") < -BREAKEVEN
     m = trades.groupBy(*by).agg(
-        F.count("*").alias("trades"), F.count_if(won).alias("wins"), F.count_if(lost).alias("losses"), F.avg("net").alias("expectancy"), F.avg(F.when(won, F.col("net"))).alias("average_win"), F.avg(F.when(lost, -F.col("net"))).alias("average_loss"),
+        F.count("*").alias("trades"), F.count_if(won).alias("wins"), F.count_if(lost).alias("losses"), F.avg("net").alias("expectancy"), F.stddev_samp("net").alias("sd"), F.avg(F.when(won, F.col("net"))).alias("average_win"), F.avg(F.when(lost, -F.col("net"))).alias("average_loss"),
         F.sum(F.greatest(F.lit(0.0), F.col("net"))).alias("profit"), F.sum(F.greatest(F.lit(0.0), -F.col("net"))).alias("loss"), F.sum("gross").alias("gross"), F.sum("net").alias("net"), (F.sum((F.col("entry_price") + F.col("exit_price")) * F.col("shares")) / capital).alias("turnover"),
     )
     top = trades.groupBy(*by, "symbol").agg(F.sum(F.greatest(F.lit(0.0), F.col("net"))).alias("p")).groupBy(*by).agg(F.max("p").alias("top_symbol"))
@@ -78,21 +78,73 @@ def performance(trades: DataFrame, by: list[str], capital: float) -> DataFrame:
     })
 
 
+def concentration(trades: DataFrame, by: list[str], sectors: DataFrame) -> DataFrame:
+    """Shares of all profit, in percent, that the three best trades and the best sector made; 0 without profit.
+
+    Spark keeps three rows a group and task before it sorts; sectors are joined after profits are summed up by symbol."""
+    won = trades.where("net > 0")
+    total = won.groupBy(*by).agg(F.sum("net").alias("profit"))
+    best = won.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("net")))).where("place <= 3").groupBy(*by).agg(F.sum("net").alias("top3"))
+    of_symbol = won.groupBy(*by, "symbol").agg(F.sum("net").alias("p"))
+    sector = F.coalesce("sector", F.lit("unknown"))
+    of_sector = of_symbol.join(sectors.select("symbol", "sector"), "symbol", "left").groupBy(*by, sector.alias("sector")).agg(F.sum("p").alias("p")).groupBy(*by).agg(F.max("p").alias("best_sector"))
+    out = total.join(best, by).join(of_sector, by)
+    return out.select(*by, (F.col("top3") * 100 / F.col("profit")).alias("top3_pct"), (F.col("best_sector") * 100 / F.col("profit")).alias("top_sector_pct"))
+
+
+def significance() -> Column:
+    """Why a sample's expectancy can't be told from 0, null where it can: too few trades, or 0 within 1.96 standard errors of it."""
+    spans = F.abs("expectancy") <= Z95 * F.coalesce("sd", F.lit(0.0)) / F.sqrt("trades")
+    return F.when(F.col("trades") < MIN_VALIDATED, "trade_count_below_floor").when(spans, "expectancy_interval_includes_zero")
+
+
 def warnings() -> Column:
     """What a reader must know before trusting the headline figures."""
     wins = F.coalesce("win_loss_ratio", F.lit(float("inf")))
     rules = {
+        "not_significant": F.col("significance").isNotNull(),
         "too_few_trades": F.col("trades") < MIN_VALIDATED,
         "few_trades_for_ratio": (F.col("trades") >= MIN_VALIDATED) & (F.col("trades") < MIN_CONFIDENT) & (wins > 1),
         "wins_but_loses_money": (F.col("expectancy") <= 0) & (wins > 1),
         "loss_over_twice_win": (F.col("average_win") > 0) & (F.col("average_loss") > 2 * F.col("average_win")),
+        "three_trades": F.col("top3_pct") > 50.0,
         "one_symbol": F.col("top_symbol_pct") > 40.0,
+        "one_sector": F.col("top_sector_pct") > 40.0,
         "edge_lost_to_costs": (F.col("gross") > 0) & (F.col("net") <= 0),
         "no_losses": (F.col("losses") == 0) & (F.col("trades") > 0),
     }
     return F.filter(F.array(*(F.when(r, name) for name, r in rules.items())), lambda v: v.isNotNull())
 
 
+def judged(trades: DataFrame, by: list[str], capital: float, sectors: DataFrame) -> DataFrame:
+    """performance() with concentration, significance (null: significant) and warnings."""
+    shares = {c: F.coalesce(c, F.lit(0.0)) for c in ("top3_pct", "top_sector_pct")}
+    p = performance(trades, by, capital).join(concentration(trades, by, sectors), by, "left").withColumns(shares)
+    return p.withColumn("significance", significance()).withColumn("warnings", warnings())
+
+
+def report_sections(trades: DataFrame, by: list[str], capital: float, sectors: DataFrame, train: int = 504, test: int = 126) -> DataFrame:
+    """A section for each book: on what its evidence rests, its folds, its headline and its warnings.
+
+    Each fold's test window follows its training window and they tile the time after the first one, so a trade's fold is arithmetic on its
+    entry day. A book whose history is shorter than one fold is judged on all its trades, but that never counts as evidence. A book with
+    folds but without trades in them has a section, too. Folds start from the same capital; their returns are chained.
+    """
+    day, span = F.datediff("entry_session", "lo"), F.datediff("hi", "lo")
+    books = trades.groupBy(*by).agg(F.min("entry_session").alias("lo"), F.max("entry_session").alias("hi"))
+    books = books.withColumn("folds", F.greatest(F.lit(0), F.floor((span - (train + test)) / test) + 1).cast("int"))
+    dealt = trades.join(books, by).withColumn("fold", F.when(F.col("folds") == 0, 0).otherwise(F.floor((day - train) / test)).cast("int"))
+    dealt = dealt.where((F.col("fold") >= 0) & (F.col("fold") < F.greatest(F.lit(1), F.col("folds"))))
+    per_fold = dealt.groupBy(*by, "fold").agg(F.count("*").alias("n"), F.sum("net").alias("net"))
+    chained = per_fold.groupBy(*by).agg(F.count("*").cast("int").alias("folds_with_trades"), F.max("n").alias("most_in_a_fold"), ((F.exp(F.sum(F.ln(F.greatest(F.lit(1e-9), 1 + F.col("net") / capital)))) - 1) * 100).alias("chained_return_pct"))
+    shown = judged(dealt, by, capital, sectors).select(*by, "trades", "expectancy", "significance", "warnings").join(chained, by)
+    s = books.join(shown, by, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("trades", "folds_with_trades", "most_in_a_fold")})
+    reason = F.when(F.col("folds") == 0, "insufficient_history").when(F.col("trades") == 0, "zero_completed_trades").otherwise(F.col("significance"))
+    s = s.withColumn("evidence", F.when(F.col("folds") > 0, "out_of_sample").otherwise("in_sample")).withColumn("reason", reason)
+    s = s.withColumn("headline", F.when(reason.isNull(), "significant").otherwise("insufficient evidence"))
+    return s.select(*by, "lo", "hi", "evidence", "folds", "folds_with_trades", "most_in_a_fold", "trades", "expectancy", "chained_return_pct", "headline", "reason", F.coalesce(F.col("warnings"), F.array().cast("array<string>")).alias("warnings"))
+
+
 def objective() -> Column:
     """The win/loss ratio where edge, payoff and profit factor pass, else 0; 0 too without losses."""
     bad = (F.col("expectancy") <= 0) | ((F.col("average_win") > 0) & (F.col("average_loss") > 2 * F.col("average_win"))) | (F.coalesce("profit_factor", F.lit(float("inf"))) <= 1.0)

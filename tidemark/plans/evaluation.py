@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import by_symbol, rounded
 from tidemark.operators import evaluation as ev
 from tidemark.registry import query
-from tidemark.sources.adapters import BARS, TRADES, bars, trades
+from tidemark.sources.adapters import BARS, SECURITIES, TRADES, bars, securities, trades
 
 _r = lambda x, n: f"round_even({x} + 3e-8, 6) + 0.0 as {n}"
 CAPITAL = 100_000.0
@@ -68,11 +68,42 @@ def performance_report(spark: SparkSession, sf: str) -> DataFrame:
     return _performance(spark, sf).select(*_BY, "trades", "wins", "losses", *(rounded(c).alias(c) for c in _SHOWN))
 
 
-@query("validation_warnings", f"""{_PERF} select symbol_group, strategy, array_to_string(list_filter([case when trades < 30 then 'too_few_trades' end, case when trades >= 30 and trades < 100 and coalesce(win_loss_ratio, 'inf'::double) > 1 then 'few_trades_for_ratio' end,
-case when expectancy <= 0 and coalesce(win_loss_ratio, 'inf'::double) > 1 then 'wins_but_loses_money' end, case when average_win > 0 and average_loss > 2 * average_win then 'loss_over_twice_win' end, case when top_symbol_pct > 40.0 then 'one_symbol' end,
-case when gross > 0 and net <= 0 then 'edge_lost_to_costs' end, case when losses = 0 and trades > 0 then 'no_losses' end], lambda v: v is not null), ',') as warnings from perf""")
+def _judged_sql(source: str, by: str) -> str:
+    """CTEs up to `judged`: measures, shares of profit, significance and warnings of each book of `source`."""
+    return f"""m as (select {by}, count(*) as trades, count(*) filter (return_pct > 0.05) as wins, count(*) filter (return_pct < -0.05) as losses, avg(net) as expectancy, stddev_samp(net) as sd, avg(case when return_pct > 0.05 then net end) as average_win,
+  avg(case when return_pct < -0.05 then -net end) as average_loss, sum(greatest(0.0, net)) as profit, sum(gross) as gross, sum(net) as net from {source} group by all),
+won as (select * from {source} where net > 0), per_symbol as (select {by}, symbol, sum(net) as p from won group by all), t1 as (select {by}, max(p) as best_symbol from per_symbol group by all),
+placed as (select *, row_number() over (partition by {by} order by net desc) as place from won), t3 as (select {by}, sum(net) as top3 from placed where place <= 3 group by all),
+per_sector as (select {by}, coalesce(sector, 'unknown') as sector, sum(p) as p from per_symbol left join securities using (symbol) group by all), t2 as (select {by}, max(p) as best_sector from per_sector group by all),
+x as (select m.*, wins / nullif(losses, 0) as wl, coalesce(best_symbol * 100 / nullif(profit, 0), 0.0) as s1, coalesce(top3 * 100 / nullif(profit, 0), 0.0) as s3, coalesce(best_sector * 100 / nullif(profit, 0), 0.0) as s2,
+  case when trades < 30 then 'trade_count_below_floor' when abs(expectancy) <= 1.96 * coalesce(sd, 0.0) / sqrt(trades) then 'expectancy_interval_includes_zero' end as significance from m left join t1 using ({by}) left join t2 using ({by}) left join t3 using ({by})),
+judged as (select *, array_to_string(list_filter([case when significance is not null then 'not_significant' end, case when trades < 30 then 'too_few_trades' end, case when trades >= 30 and trades < 100 and coalesce(wl, 'inf'::double) > 1 then 'few_trades_for_ratio' end,
+  case when expectancy <= 0 and coalesce(wl, 'inf'::double) > 1 then 'wins_but_loses_money' end, case when average_win > 0 and average_loss > 2 * average_win then 'loss_over_twice_win' end, case when s3 > 50.0 then 'three_trades' end, case when s1 > 40.0 then 'one_symbol' end,
+  case when s2 > 40.0 then 'one_sector' end, case when gross > 0 and net <= 0 then 'edge_lost_to_costs' end, case when losses = 0 and trades > 0 then 'no_losses' end], lambda v: v is not null), ',') as warnings from x)"""
+
+
+@query("validation_warnings", f"with {TRADES}, {SECURITIES}, g as (select *, right(symbol, 1) as symbol_group from trades), {_judged_sql('g', 'symbol_group, strategy')} select symbol_group, strategy, {_r('s3', 'top3_pct')}, {_r('s2', 'top_sector_pct')}, warnings from judged")
 def validation_warnings(spark: SparkSession, sf: str) -> DataFrame:
-    return _performance(spark, sf).select(*_BY, F.array_join(ev.warnings(), ",").alias("warnings"))
+    t = trades(spark, sf).withColumn("symbol_group", F.substring("symbol", -1, 1))
+    j = ev.judged(t, _BY, CAPITAL, securities(spark, sf))
+    return j.select(*_BY, rounded("top3_pct").alias("top3_pct"), rounded("top_sector_pct").alias("top_sector_pct"), F.array_join("warnings", ",").alias("warnings"))
+
+
+@query("report_sections", f"""with {TRADES}, {SECURITIES}, k as (select *, case when cast(substr(symbol, 2) as bigint) % 3 = 0 then cast(year(entry_session) as varchar) else 'all' end as book from trades),
+b as (select strategy, book, min(entry_session) as lo, max(entry_session) as hi, max(entry_session) - min(entry_session) as span from k group by all), f as (select *, case when span < 630 then 0 else (span - 630) // 126 + 1 end as folds from b),
+d as (select k.*, f.folds, case when f.folds = 0 then 0 else floor((entry_session - lo - 504) / 126.0) end as fold from k join f using (strategy, book)), g as (select * from d where fold >= 0 and fold < greatest(1, folds)),
+pf as (select strategy, book, fold, count(*) as n, sum(net) as net from g group by all), ch as (select strategy, book, count(*) as folds_with_trades, max(n) as most_in_a_fold, (exp(sum(ln(greatest(1e-9, 1 + net / 10000000.0)))) - 1) * 100 as chained from pf group by all),
+{_judged_sql('g', 'strategy, book')}
+select f.strategy, f.book, cast(lo as varchar) as lo, cast(hi as varchar) as hi, case when folds > 0 then 'out_of_sample' else 'in_sample' end as evidence, folds, coalesce(folds_with_trades, 0) as folds_with_trades, coalesce(most_in_a_fold, 0) as most_in_a_fold, coalesce(trades, 0) as trades,
+{_r('expectancy', 'expectancy')}, {_r('chained', 'chained_return_pct')}, case when folds = 0 then 'insufficient_history' when coalesce(trades, 0) = 0 then 'zero_completed_trades' else significance end as reason,
+case when folds > 0 and trades > 0 and significance is null then 'significant' else 'insufficient evidence' end as headline, coalesce(warnings, '') as warnings from f left join judged using (strategy, book) left join ch using (strategy, book)""")
+def report_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """Some symbols' trades are booked by year, the others in one book, so both kinds of evidence occur."""
+    number = F.expr("cast(substr(symbol, 2) as bigint)")
+    t = trades(spark, sf).withColumn("book", F.when(number % 3 == 0, F.year("entry_session").cast("string")).otherwise("all"))
+    s = ev.report_sections(t, ["strategy", "book"], 1e7, securities(spark, sf))
+    shown = {"lo": F.col("lo").cast("string"), "hi": F.col("hi").cast("string"), "expectancy": rounded("expectancy"), "chained_return_pct": rounded("chained_return_pct"), "warnings": F.array_join("warnings", ",")}
+    return s.withColumns(shown)
 
 
 @query("objective_score", f"{_PERF} select symbol_group, strategy, {_r('''case when expectancy <= 0 or coalesce(average_win > 0 and average_loss > 2 * average_win, false) or coalesce(profit_factor, 'inf'::double) <= 1.0 or win_loss_ratio is null then 0.0 else win_loss_ratio end''', 'objective')} from perf")
