@@ -1,7 +1,7 @@
 """Transcript parsing: a hidden Markov model recovers the role of each segment, then turns are rendered canonically.
 
 A turn's text is cut into segments at lines that open with a speaker marker ("User:", "### Assistant >"). A segment's
-features are its marker (of its own line, else of the turn's role column if that names a role), its length class,
+features are its marker (of its own line, else of the turn's role column if that is observed and names a role), its length class,
 whether it ends in a question, whether it has several lines and whether its turn is the first. Viterbi finds the likeliest roles
 of a conversation. Emissions of the line features and transitions are counted over all labelled turns.
 
@@ -156,13 +156,16 @@ def render(roles: list[int], texts: list[str]) -> str:
     return "".join(f"<|{ROLES[r]}|>\n{chr(10).join(t).strip()}\n<|end|>\n" for r, t in out)
 
 
-def parse(conversations: DataFrame, model: Model) -> DataFrame:
-    """For every turn: its recovered roles, the first of them, and its canonical rendering."""
+def parse(conversations: DataFrame, model: Model, observed: bool = True) -> DataFrame:
+    """For every turn: its recovered roles, the first of them, and its canonical rendering.
+
+    observed: the role column, where it names a role, is seen as a marker of the turn's first line. Without it roles follow from markers in
+    the text, line features and neighbours alone."""
     rows = _blocks(conversations)
 
     def turns_of(group: list[tuple]) -> tuple[list[tuple], list[tuple]]:
         rows = sorted(group, key=lambda r: (r[3], r[4], r[5] is not None, r[5] or "", r[6] is not None, r[6] or ""))
-        return rows, [(r[6], r[5], r[3] == 0) for r in rows]
+        return rows, [(r[6], r[5] if observed else None, r[3] == 0) for r in rows]
 
     def matrix(key: tuple, group: list[tuple]) -> Iterator[tuple]:
         scores, _ = model.scores(turns_of(group)[1])

@@ -30,6 +30,7 @@ MAX_ROWS = 20_000
 FOLDS = 5
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 LETTERS = 1 << 18  # code points counted at once
+EDGE = 1  # a blank within a gram: no letter, and not 0, so that " e" is another gram than "e"
 _alpha: np.ndarray | None = None
 
 
@@ -55,6 +56,7 @@ def _grams(texts: list[str], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if code[0]:
         code, owner = np.concatenate((np.zeros(1, U64), code)), np.concatenate((owner[:1], owner))
     blank = code == 0
+    code = np.where(blank, U64(EDGE), code)
     a, b, c = code[:-2], code[1:-1], code[2:]
     letter = ~blank
     tag = owner.astype(U64) << U64(44)

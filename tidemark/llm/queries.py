@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import (
@@ -17,8 +18,10 @@ from tidemark.llm._io import shared_dir, table
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles of all turns from their texts alone; the model is fitted on the labelled turns of four folds in five, by conversation."""
     conversations = table(spark, sf_dir, "conversations")
-    return chat_format.parse(conversations, chat_format.fit(conversations))
+    model = chat_format.fit(conversations.where(language_id.fold(F.col("conv_id")) != 0))
+    return chat_format.parse(conversations, model, observed=False)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
