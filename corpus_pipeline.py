@@ -4,7 +4,8 @@ Each stage takes all that the one before kept. All but the last return the colum
 
 Defined results: texts that are null, empty or without letters go in the first stage; of documents that link, the one
 with the smallest doc_id stays, and rows that repeat its doc_id; rows with a null doc_id are kept by the second and
-fourth stages; bytes of repeated passages go from all their copies, and a text of which no word is left goes too; a
+fourth stages; repeated passages, which are strings of 400 bytes or of 51 words that also start elsewhere, go from all their copies
+(op2's contract has the 400 bytes only), and a text of which no word is left goes too; a
 document that holds a benchmark item goes. An empty table gives an empty result.
 """
 
