@@ -8,7 +8,7 @@ import corpus_pipeline
 import numpy as np
 from test_llm_operators import EDGE, docs, prose
 
-from tidemark.llm import suffix_dedup
+from tidemark.llm import queries, suffix_dedup
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -64,3 +64,21 @@ def test_passages_equal_brute_force(spark):
     got = {r["doc_id"]: r["text"] for r in suffix_dedup.deduplicated(docs(spark, texts)).collect()}
     want = {k: x for k, x in enumerate(brute_kept(texts, suffix_dedup.LENGTH, 51)) if x.split()}
     assert got == want
+
+
+def test_op2_counts_passages_of_over_50_words_beside_the_contract(spark, tmp_path):
+    """A passage of 51 words in under 400 bytes shows in n_repeated alone, one of 400 bytes in both; 50 words in neither."""
+    over, fifty, long = words_of(1, 51), words_of(2, 50), prose(7, 90)
+    assert len(over.encode()) < 400 < len(long.encode())
+    texts = [*EDGE, f"one {over} two", f"three {over} four", f"five {fifty} six", f"seven {fifty} eight", f"nine. {long}, ten", f"zero; {long}: no {over} all", over, "a lone text"]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op2_suffix_dedup(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated"]
+    got = sorted(tuple(r) for r in out.collect())
+    assert [x[:5] for x in got] == sorted(tuple(r) for r in suffix_dedup.spans(docs(spark, texts)).collect())
+    size = [len((t or "").encode()) for t in texts]
+    left = [len(x.encode()) for x in brute_kept(texts, suffix_dedup.LENGTH, 51)]
+    assert [x[5] for x in got] == [a - b for a, b in zip(size, left, strict=True)]
+    first = len(EDGE)
+    assert [got[first + i][5] for i in range(4)] == [len(over)] * 2 + [0, 0] and [got[first + i][2] for i in range(4)] == [0] * 4
+    assert got[first + 4][2] > 0 and got[first + 5][5] > got[first + 5][2] > 0

@@ -19,6 +19,7 @@ of all rows share fills no partition.
 
 The same rounds take words in place of bytes (rule WORDS): a passage is then a string of PASSAGE words that also starts
 elsewhere, whatever blanks part them. spans() goes by bytes alone, deduplicated() by both: what either rule finds goes.
+repeats() gives what spans() gives and counts beside it what deduplicated() would remove.
 
 Defined results: null and empty texts have 0 bytes, nothing removed and the digest of the empty string; texts below
 LENGTH bytes are kept (by WORDS those below PASSAGE words); repeated rows are texts of their own, so copies of LENGTH bytes or more all lose all their bytes;
@@ -433,7 +434,13 @@ RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 def spans(docs: DataFrame) -> DataFrame:
     """doc_id and the result of every row of docs(doc_id, text)."""
-    out = _cut(docs.select(F.col("doc_id").cast("long").alias("head"), "text"), (BYTES,), kept_text=False)
+    out = _cut(docs.select(F.col("doc_id").cast("long").alias("head"), "text"), (BYTES,))
+    return out.withColumnRenamed("head", "doc_id")
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """spans(docs) and n_repeated: bytes in repeated strings of LENGTH bytes or PASSAGE words, that is, all that deduplicated() removes."""
+    out = _cut(docs.select(F.col("doc_id").cast("long").alias("head"), "text"), (BYTES, WORDS), counted=True)
     return out.withColumnRenamed("head", "doc_id")
 
 
@@ -445,8 +452,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     return out.select(*(changed.get(c, F.col(f"head.`{c}`")).alias(c) for c in docs.columns))
 
 
-def _cut(docs: DataFrame, rules: tuple[Rule, ...], kept_text: bool) -> DataFrame:
-    """head and result of every row of docs(head, text) by all rules; with kept_text also what is left, null if it has no word."""
+def _cut(docs: DataFrame, rules: tuple[Rule, ...], counted: bool = False, kept_text: bool = False) -> DataFrame:
+    """head and result of every row of docs(head, text) by all rules; with kept_text also what is left, null if it has no word.
+
+    If counted, the result is by the first rule alone, and n_repeated counts the bytes that any rule finds.
+    """
     least = _least(rules)
     parts = max(PARTS, 2 * shuffle_partitions(docs.sparkSession))
     first = saved(_by_text(_ranked_runs(docs, rules, parts)), "runs")
@@ -463,13 +473,17 @@ def _cut(docs: DataFrame, rules: tuple[Rule, ...], kept_text: bool) -> DataFrame
     decided = saved(decided.select("digest", F.when(F.col("whole"), None).otherwise(F.col("a")).alias("a"), F.when(F.col("whole"), None).otherwise(F.col("b")).alias("b"), F.coalesce("whole", F.lit(False)).alias("whole")), "decided")
     wanted = bloom(decided, "digest")
 
-    def row(head: pa.Array, texts: list[bytes], cuts: list[list[tuple[int, int]]]) -> pa.RecordBatch:
-        kept = []
+    def row(head: pa.Array, texts: list[bytes], found: list[list[list[tuple[int, int]]]]) -> pa.RecordBatch:
+        all_cuts = [union(x) for x in found]
+        cuts, kept = [x[0] for x in found] if counted else all_cuts, []
         for raw, cut in zip(texts, cuts, strict=True):
             edges = [0, *(x for pair in cut for x in pair), len(raw)]
             kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if cut else raw)
         columns = [head, pa.array([len(x) for x in texts], pa.int64()), pa.array([len(x) - len(y) for x, y in zip(texts, kept, strict=True)], pa.int64()), pa.array([len(c) for c in cuts], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())]
         names_of = ["head", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+        if counted:
+            columns.append(pa.array([sum(b - a for a, b in c) for c in all_cuts], pa.int64()))
+            names_of.append("n_repeated")
         if kept_text:
             columns.append(pa.array([x.decode("utf-8", "ignore") if x.split() else None for x in kept], pa.string()))
             names_of.append("kept")
@@ -480,7 +494,7 @@ def _cut(docs: DataFrame, rules: tuple[Rule, ...], kept_text: bool) -> DataFrame
             for chunk in chunks(as_bytes(batch.column(1))):
                 maybe = passes(wanted.value, pa.array(digests(chunk)[1]["d"])) & (chunk.end - chunk.start >= least)
                 own = np.flatnonzero(~maybe).tolist()
-                yield row(batch.column(0).take(pa.array([chunk.lo + i for i in own], pa.int64())), [chunk.texts[i] for i in own], [[] for _ in own])
+                yield row(batch.column(0).take(pa.array([chunk.lo + i for i in own], pa.int64())), [chunk.texts[i] for i in own], [[[]] for _ in own])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -488,9 +502,9 @@ def _cut(docs: DataFrame, rules: tuple[Rule, ...], kept_text: bool) -> DataFrame
                 part = batch.slice(lo, 256)
                 texts, a, b, whole = (part.column(i).to_pylist() for i in range(1, 5))
                 raws = [x.encode() for x in texts]
-                yield row(part.column(0), raws, [union([cover(raw, rule, all_of, [x, y]) for rule in rules]) for raw, all_of, x, y in zip(raws, whole, a, b, strict=True)])
+                yield row(part.column(0), raws, [[cover(raw, rule, all_of, [x, y]) for rule in rules] for raw, all_of, x, y in zip(raws, whole, a, b, strict=True)])
 
-    schema = f"head {docs.schema['head'].dataType.simpleString()}, {RESULT}" + (", kept string" if kept_text else "")
+    schema = f"head {docs.schema['head'].dataType.simpleString()}, {RESULT}" + (", n_repeated long" if counted else "") + (", kept string" if kept_text else "")
     touched = _texts(docs, wanted, least, once=False).join(decided.hint("merge"), "digest", "left")
     touched = touched.select("head", "text", "a", "b", F.coalesce("whole", F.lit(False)).alias("whole")).mapInArrow(cut, schema)
     return docs.mapInArrow(untouched, schema).unionByName(touched)
