@@ -1,5 +1,6 @@
 """Ticker resolution against loops over every name of every text."""
 
+import hashlib
 import re
 
 import pytest
@@ -107,3 +108,20 @@ def test_query_equals_loops(spark, sf):
     want = {k: {m for m in plain([tuple(r) for r in listed], {r[0] for r in common}, terms, t) if m[2] >= tickers.LEAST} for k, t in few.items()}
     assert {k: v for k, v in got.items() if k in few} == {k: v for k, v in want.items() if v}
     assert {m for v in got.values() for _, m, _ in v} == {"cashtag", "company_name", "alias", "symbol_context"}
+
+
+def test_one_row_for_each_symbol_of_a_text(spark):
+    text = "$AAPL up. " * 200 + "zest, foods " * 200 + "ARM said ZZZT " * 200
+    rows = resolver.hits(spark.createDataFrame([("1", text)], "id string, text string"), directory(spark)).collect()
+    assert sorted(r["symbol"] for r in rows) == ["AAPL", "ARM", "ZZZT"]
+    whole = {r["symbol"]: r["context"] for r in resolver.resolve(spark.createDataFrame([("1", "zest, foods")], "id string, text string"), directory(spark), digest=True).collect()}
+    assert whole == {"ZZZT": hashlib.sha256(b"zest, foods").hexdigest()}
+
+
+def test_folding_is_that_of_a_search_without_case():
+    cased = "".join(chr(k) for k in range(0x20000) if not 0xD800 <= k < 0xE000 and (chr(k).lower() != chr(k) or chr(k).upper() != chr(k)))
+    same = {}
+    for c in cased:
+        same.setdefault(resolver.folded(c), set()).add(c)
+    assert len(resolver.folded(cased)) == len(cased)
+    assert all(set(re.findall(re.escape(one), cased, re.IGNORECASE)) == those for one, those in same.items() if one == one.casefold())
