@@ -2,6 +2,7 @@
 
 import math
 import random
+from unittest import mock
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from tidemark import catalog
 from tidemark.functions import text
 from tidemark.operators import cross, kernels, trading
 from tidemark.operators import patterns as pat
+from tidemark.plans import portfolio
 from tidemark.sources.adapters import bars, trades
 
 
@@ -171,3 +173,26 @@ def test_flags_stay_false_on_a_short_series(spark):
 
 def bars_of(spark, n):
     return spark.createDataFrame([("A", f"2020-01-0{i + 1}", 1.0, 2.0, 0.5, 1.5, 1.0) for i in range(n)], "symbol string, session string, open double, high double, low double, close double, volume double").withColumn("session", F.to_date("session"))
+
+
+@pytest.mark.parametrize(("head", "low_share"), [(1, 0.0), (1, 0.3), (2, 0.9), (1000, 0.1)])
+def test_ledger_of_a_part_equals_the_whole(spark, sf, head, low_share):
+    whole = sorted(map(tuple, trading.ledger(trades(spark, sf), 100_000.0).collect()))
+    assert sorted(map(tuple, portfolio.ledger(spark, sf, 100_000.0, head, low_share).collect())) == whole
+
+
+def test_ledger_sends_few_trades(spark, tmp_path):
+    n = 4000
+    o = spark.range(n).select(F.col("id").alias("o_orderkey"), F.lit("1-URGENT").alias("o_orderpriority"), F.lit("1996-01-02").cast("timestamp").alias("o_orderdate"))
+    late = F.lit("1996-06-01").cast("timestamp")
+    l = spark.range(n).select(
+        F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.col("id").alias("l_partkey"), F.col("id").alias("l_suppkey"), F.lit(1.0).alias("l_quantity"),
+        (1000.0 + F.col("id") % 7).alias("l_extendedprice"), F.lit(0.0).alias("l_discount"), F.lit(0.01).alias("l_tax"), late.alias("l_shipdate"),
+    )
+    o.write.parquet(f"{tmp_path}/orders.parquet")
+    l.write.parquet(f"{tmp_path}/lineitem.parquet")
+    seen, heads = [], trading.ledger_of_heads
+    with mock.patch.object(trading, "ledger_of_heads", lambda some, *a: seen.append(some.count()) or heads(some, *a)), mock.patch.object(trading, "ledger", side_effect=AssertionError):
+        r = portfolio.ledger(spark, str(tmp_path), 100_000.0, 64, 0.0).collect()
+    whole = trading.ledger(trades(spark, str(tmp_path)), 100_000.0).collect()
+    assert [tuple(x) for x in r] == [tuple(x) for x in whole] and r[0]["taken"] + r[0]["skipped"] == n and seen[0] < 1000

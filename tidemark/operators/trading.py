@@ -170,6 +170,67 @@ def ledger(trades: DataFrame, cash: float, positions: int = 8, share: float = 0.
     return trades.select("strategy", "trade_id", "entry_session", "exit_session", "entry_price", "exit_price", "cost").groupBy("strategy", F.year("entry_session").alias("run")).applyInPandas(kernel, schema)
 
 
+def ledger_of_heads(some: DataFrame, days: DataFrame, low: float, cash: float, positions: int = 8, share: float = 0.15) -> DataFrame:
+    """What ledger() gives, from a part of the trades, and whether it is sure of it: strategy, run, taken, skipped, final_cash,
+    max_drawdown_pct, sure.
+
+    days(strategy, entry_session, trades) counts all trades. some has a flag `head`: of each day the first trades in order, all of them up
+    to some place, are heads; of the trades behind that place it has at least those of a price of at most `low`. A day whose slots are taken by its heads, or
+    whose cash then buys nothing above `low`, needs no other trade; on any other day the run ends and is not sure."""
+
+    def kernel(key: tuple, f: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        f, d = f.sort_values(["entry_session", "trade_id"], ignore_index=True), d.sort_values("entry_session", ignore_index=True)
+        rows = list(zip(f["exit_session"], f["entry_price"], f["exit_price"], f["cost"], f["head"], strict=True))
+        entries = f["entry_session"].to_numpy()
+        free, open_, taken, top, worst, sure = cash, [], 0, cash, 0.0, True
+
+        def release(today) -> None:
+            nonlocal free, open_
+            still = []
+            for day, value in open_:
+                if day <= today:
+                    free += value
+                else:
+                    still.append((day, value))
+            open_ = still
+
+        def may_buy_unseen() -> bool:
+            return len(open_) < positions and min(free, cash * share) > low
+
+        for today, n in zip(d["entry_session"], d["trades"], strict=True):
+            release(today)
+            if len(open_) >= positions:
+                continue
+            a, b = (int(np.searchsorted(entries, today, s)) for s in ("left", "right"))
+            for leave, price, out, cost, head in rows[a:b]:
+                release(today)
+                if len(open_) >= positions:
+                    break
+                if not head and may_buy_unseen():
+                    sure = False
+                    break
+                shares = int(min(free, cash * share) // price) if price > 0 else 0
+                if shares < 1:
+                    continue
+                free -= shares * price
+                open_.append((leave, shares * out - cost))
+                taken += 1
+                worth = free + sum(v for _, v in open_)
+                top = max(top, worth)
+                worst = min(worst, (worth - top) / top * 100)
+            if b - a < n:
+                release(today)
+                sure = sure and not may_buy_unseen()
+            if not sure:
+                break
+        return pd.DataFrame({"strategy": [key[0]], "run": [key[1]], "taken": [taken], "skipped": [int(d["trades"].sum()) - taken], "final_cash": [free + sum(v for _, v in open_)], "max_drawdown_pct": [worst], "sure": [sure]})
+
+    run = F.year("entry_session").alias("run")
+    schema = "strategy string, run int, taken long, skipped long, final_cash double, max_drawdown_pct double, sure boolean"
+    left = some.select("strategy", "trade_id", "entry_session", "exit_session", "entry_price", "exit_price", "cost", "head", run).groupBy("strategy", "run")
+    return left.cogroup(days.select("strategy", "entry_session", "trades", run).groupBy("strategy", "run")).applyInPandas(kernel, schema)
+
+
 def sensitivity(trades: DataFrame, stops: list[float]) -> DataFrame:
     rows = trades.withColumn("stop", F.explode(F.array(*(F.lit(s) for s in stops))))
     return rows.groupBy("stop", "strategy").agg(F.count("*").alias("trades"), F.avg(F.greatest(F.col("return_pct"), -F.col("stop"))).alias("expectancy"))

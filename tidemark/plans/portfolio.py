@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import band, ramp_down, ramp_up, rounded
 from tidemark.operators import trading as tr
 from tidemark.registry import query
-from tidemark.sources.adapters import BARS, TRADES, bars, trades
+from tidemark.sources.adapters import BARS, TRADES, bars, table, trades
 
 _R = lambda x, n: f"round_even({x} + 3e-8, 6) + 0.0 as {n}"
 
@@ -115,10 +115,49 @@ def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
     return b.select("strategy", "trades", *(rounded(c).alias(c) for c in ("mean", "low", "high")))
 
 
+HEAD, MORE, LOW_SHARE, HEADS = 512, 8, 0.1, 2_000_000  # orders of a day, times as many when they don't do; share of the cheapest lines; orders that are broadcast
+
+
+def ledger(spark: SparkSession, sf: str, cash: float, head: int = HEAD, low_share: float = LOW_SHARE) -> DataFrame:
+    """tr.ledger() over all trades, without sending them all.
+
+    Trades of a day are taken in the order of their ids, which begin with the order's key, and few fill the slots. So the ledger is run over the lines of
+    the first orders of each day and over the cheapest lines of the others; all lines are only counted by day. The kernel knows where that
+    is not enough: such runs are done again with more orders of a day, and at last over all of their trades."""
+    o, l = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    day, price = F.to_date("o_orderdate"), F.col("l_extendedprice") / F.col("l_quantity")
+    o = o.select("o_orderkey", "o_orderdate", "o_orderpriority", day.alias("day"), F.concat(F.col("o_orderkey").cast("string"), F.lit("-")).alias("key"))
+    sizes = {r["day"]: r["n"] for r in o.groupBy("day").agg(F.count("*").alias("n")).collect()}  # one row a day
+    if None in sizes or all(n <= head for n in sizes.values()):
+        return tr.ledger(trades(spark, sf), cash)
+    low = l.agg(F.percentile_approx(F.when(price > 0, price), low_share)).first()[0] or 0.0
+    days = trades(spark, sf).groupBy("strategy", "entry_session").agg(F.count("*").alias("trades"))
+    days = spark.createDataFrame(days.collect(), days.schema)  # one row a strategy and day
+    run, runs, done = F.struct("strategy", F.year("entry_session")), None, []
+
+    def left(some: DataFrame) -> DataFrame:
+        return some if runs is None else some.where(F.col("strategy").isin(sorted({s for s, _ in runs})) & run.isin(*(F.struct(F.lit(s), F.lit(y)) for s, y in runs)))
+
+    while any(n > head for n in sizes.values()):
+        nth = F.row_number().over(Window.partitionBy("day").orderBy("key"))
+        cuts = F.broadcast(spark.createDataFrame(o.select("day", "key", nth.alias("n")).where(F.col("n") == head).select("day", "key").collect(), "day date, cut string"))  # one row a day
+        marked = o.join(cuts, "day", "left").withColumn("head", F.coalesce(F.col("key") <= F.col("cut"), F.lit(True)))
+        first, rest = marked.where("head"), marked.where("not head")
+        first = F.broadcast(first) if sum(min(n, head) for n in sizes.values()) <= HEADS else first
+        some = trades(spark, sf, orders=first).withColumn("head", F.lit(True)).unionByName(trades(spark, sf, l.where(price.between(0, low)), rest).withColumn("head", F.lit(False)))
+        found = tr.ledger_of_heads(left(some), left(days), low, cash).collect()  # one row a strategy and year
+        done += [r for r in found if r["sure"]]
+        runs = sorted((r["strategy"], r["run"]) for r in found if not r["sure"])
+        years = {y for _, y in runs}
+        o, sizes, head = o.where(F.year("day").isin(years)), {d: n for d, n in sizes.items() if d.year in years}, head * MORE
+    sure = spark.createDataFrame(done, "strategy string, run int, taken long, skipped long, final_cash double, max_drawdown_pct double, sure boolean").drop("sure")
+    return sure.unionByName(tr.ledger(left(trades(spark, sf, orders=o)), cash)) if runs else sure
+
+
 @query("backtest_ledger")
 def backtest_ledger(spark: SparkSession, sf: str) -> DataFrame:
     """Cash-constrained ledger of each strategy and year: one sequential kernel for each run."""
-    r = tr.ledger(trades(spark, sf), 100_000.0)
+    r = ledger(spark, sf, 100_000.0)
     return r.select("strategy", "run", "taken", "skipped", rounded("final_cash").alias("final_cash"), rounded("max_drawdown_pct").alias("max_drawdown_pct"))
 
 
