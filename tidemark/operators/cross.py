@@ -14,15 +14,15 @@ from tidemark.operators.indicators import sma
 from tidemark.operators.kernels import cluster
 
 
-def returns(bars: DataFrame) -> DataFrame:
-    """Bars with one-day returns of the symbol and of the benchmark (mean close of a session)."""
-    bench = bars.groupBy("session").agg(F.avg("close").alias("bclose"))
-    j = bars.join(bench, "session")
+def returns(bars: DataFrame, bench: DataFrame | None = None) -> DataFrame:
+    """Bars with one-day returns of the symbol and of the benchmark (mean close of a session); bench(session, bclose, ...), one row a session,
+    is broadcast where it is given."""
+    j = bars.join(bars.groupBy("session").agg(F.avg("close").alias("bclose")) if bench is None else F.broadcast(bench), "session")
     return j.withColumn("ret", ratio(F.col("close"), lag("close")) - 1).withColumn("bret", ratio(F.col("bclose"), lag("bclose")) - 1)
 
 
-def relative_strength(bars: DataFrame) -> DataFrame:
-    return returns(bars).withColumn("rs_line", ratio(1 + F.col("ret"), 1 + F.col("bret")))
+def relative_strength(bars: DataFrame, bench: DataFrame | None = None) -> DataFrame:
+    return returns(bars, bench).withColumn("rs_line", ratio(1 + F.col("ret"), 1 + F.col("bret")))
 
 
 def beta(bars: DataFrame, n: int = 60) -> DataFrame:
@@ -91,11 +91,11 @@ def clustered_levels(swings: DataFrame, lookback: int = 100, tolerance: float =
     return found.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("resistance", "support")})
 
 
-def strength(bars: DataFrame, n: int = 20) -> DataFrame:
+def strength(bars: DataFrame, n: int = 20, bench: DataFrame | None = None) -> DataFrame:
     """Relative strength against the benchmark: the line, its slope over n rows, and the share of its last n values that are at most the
     current one (null until n values are there), from 0 to 100 as the score."""
     w = by_symbol().rowsBetween(-(n - 1), 0)
-    r = relative_strength(bars).withColumn("rs_slope", (F.col("rs_line") - lag("rs_line", n)) / n).withColumn("lines", F.collect_list("rs_line").over(w))
+    r = relative_strength(bars, bench).withColumn("rs_slope", (F.col("rs_line") - lag("rs_line", n)) / n).withColumn("lines", F.collect_list("rs_line").over(w))
     percentile = F.when(F.size("lines") >= n, percentile_in(F.col("lines"), F.col("rs_line")))
     return r.withColumn("rs_percentile", percentile).withColumn("rs_score", percentile * 100).drop("lines")
 
