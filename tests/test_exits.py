@@ -4,8 +4,10 @@ import datetime as dt
 
 import pytest
 
+from tidemark.operators import indicators as ind
 from tidemark.operators.exits import Rules, exits, walk
 from tidemark.plans import positions
+from tidemark.sources import adapters
 
 DAY = dt.date(2024, 1, 1)
 NAN = float("nan")
@@ -73,3 +75,23 @@ def test_query_closes_what_it_opened(spark, sf):
         out.sort(key=lambda r: -r["remaining"])
         assert sum(r["shares"] for r in out) + out[-1]["remaining"] == held[i]["shares"] and all(r["session"] > str(held[i]["entry_session"]) for r in out)
     assert {r["reason"] for r in rows} >= {"stop_loss", "gap_through_stop", "partial_target", "target", "time_stop", "trailing_stop", "moving_average_exit"}
+
+
+def test_positions_and_bars_come_from_one_exchange(spark, sf):
+    held, series = positions.held_and_series(spark, sf)
+    assert sorted(map(str, held.collect())) == sorted(map(str, positions.positions(spark, sf).collect()))
+    assert {(r["symbol"], r["session"]): r["close"] for r in series.collect()} == {(r["symbol"], r["session"]): r["close"] for r in adapters.bars(spark, sf).collect()}
+    x = positions.position_exits(spark, sf)
+    sent = [line for line in x._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+    assert sum("REPARTITION_BY_COL" in line for line in sent) == 2 and not [line for line in sent if "session" in line]  # AQE runs the two once
+
+
+def test_a_missing_true_range_is_made(spark):
+    b = [bar(k, 100.0 + k % 5, 104.0 + k % 3, 97.0 - k % 4, 101.0 + k % 7) for k in range(1, 30)]
+    names = ["symbol", "session", "open", "high", "low", "close", "volume", "average"]
+    series = spark.createDataFrame([tuple(x[n] for n in names) for x in b], "symbol string, session date, open double, high double, low double, close double, volume double, average double")
+    schema = "position_id string, symbol string, direction string, entry_session date, entry_price double, shares long, stop double, target1 double, target2 double, hold int, report date"
+    held = spark.createDataFrame([tuple(position(entry_session=DAY + dt.timedelta(15), stop=50.0, target1=200.0, target2=300.0).values())], schema)
+    ranged = series.join(ind.smoothed(series, ("atr14",)).withColumnRenamed("atr14", "atr"), ["symbol", "session"])
+    rules = Rules(trail=0.5)
+    assert exits(held, series, rules).collect() == exits(held, ranged, rules).collect() != []

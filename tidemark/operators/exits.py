@@ -23,6 +23,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tidemark.operators.kernels import smoothed_frame
+
 SCHEMA = "position_id string, symbol string, session date, reason string, price double, shares long, remaining long, target_index int, stop double"
 
 
@@ -100,12 +102,15 @@ def walk(p: dict, bars: list[dict], rules: Rules) -> list[tuple]:
 
 def exits(positions: DataFrame, bars: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Rows of SCHEMA for positions(position_id, symbol, direction, entry_session, entry_price, shares, stop, target1, target2, hold, report)
-    and bars(symbol, session, open, high, low, close, volume, atr, average)."""
+    and bars(symbol, session, open, high, low, close, volume, atr, average); where bars have no atr, it is the one of 14 bars."""
+    ranged = "atr" in bars.columns
 
     def both(held: pd.DataFrame, series: pd.DataFrame) -> pd.DataFrame:
         rows: list[tuple] = []
         if len(held) and len(series):
             series = series.sort_values("session", ignore_index=True)
+            if not ranged:
+                series["atr"] = smoothed_frame(series, ("atr14",))["atr14"]
             days = series["session"].to_numpy()
             table = series.to_dict("records")
             for p in held.to_dict("records"):
@@ -116,7 +121,7 @@ def exits(positions: DataFrame, bars: DataFrame, rules: Rules = Rules()) -> Data
         return out.astype({"target_index": "Int32"})
 
     held = positions.select("position_id", "symbol", "direction", "entry_session", "entry_price", "shares", "stop", "target1", "target2", "hold", "report")
-    series = bars.select("symbol", "session", "open", "high", "low", "close", "volume", "atr", "average")
+    series = bars.select("symbol", "session", "open", "high", "low", "close", "volume", *(["atr"] if ranged else []), "average")
     return held.groupBy("symbol").cogroup(series.groupBy("symbol")).applyInPandas(both, SCHEMA)
 
 
